@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cortigraph.functions.keys import latest_version
-from cortigraph.llm import bpe, similar
+from cortigraph.functions.keys import file_key, latest_version, patient_key
+from cortigraph.llm import bpe, quota, similar, splits
 from cortigraph.session import table
 
 
@@ -34,6 +34,77 @@ def p3_knn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir, "similarity", 16, True)
 
 
+def _windows(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    rows = latest_version(table(spark, sf_dir, "window_meta"), "window_id", "ingested_at", columns)
+    return rows.withColumn("patient_id", patient_key(F.col("patient_id")))
+
+
+def _quota(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counts = ["n_requested", "preictal_count", "interictal_count", "min_per_category"]
+    plans = latest_version(table(spark, sf_dir, "sampling_result"), "plan_id", "loaded_at", counts)
+    targets = table(spark, sf_dir, "sampling_target").withColumn("patient_id", patient_key(F.col("patient_id")))
+    windows = _windows(spark, sf_dir, ["patient_id", "label"]).where(F.col("label").isin(0, 1))
+    return quota.quota_sample(windows, "window_id", ["patient_id", "label"], quota.needs_of_plans(plans, targets), "plan_id", "needed")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir)[1].where(F.col("deficit") > 0).select("plan_id", "patient_id", "label")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir)[1].select("plan_id", "patient_id", "label", "needed", "available", "drawn", "deficit")
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir)[0].select("plan_id", "patient_id", "label", "window_id")
+
+
+def _related(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The windows with a name each, and (name, component) of all patients and recordings."""
+    known = table(spark, sf_dir, "file_info").select(file_key(F.col("file_name")).alias("known")).where("known is not null").distinct()
+    rows = _windows(spark, sf_dir, ["patient_id", "file_name", "seizure_file"]).select("window_id", "patient_id", file_key(F.col("file_name")).alias("f"), file_key(F.col("seizure_file")).alias("z"))
+    ties = rows.groupBy("patient_id", "f", "z").agg(F.count(F.lit(1)).alias("n"))
+    for c in ("f", "z"):
+        ties = ties.join(known, F.col(c) == F.col("known"), "left").withColumn(c, F.concat(F.lit("r:"), "known")).drop("known")
+    ties = splits.cut_lineage(ties.withColumn("p", F.concat(F.lit("p:"), "patient_id")).groupBy("p", "f", "z").agg(F.sum("n").alias("n")))
+    ids = splits.number_names(ties.select(F.explode(F.array("p", "f", "z")).alias("name")))
+    link = lambda a, b: ties.select(F.coalesce(a, b).alias("a"), F.coalesce(b, a).alias("b"))
+    pairs = link("p", "f").unionAll(link("f", "z")).unionAll(link("p", "z")).where("a is not null").distinct()
+    edges = pairs.join(ids.select(F.col("name").alias("a"), F.col("node").alias("u")), "a").join(ids.select(F.col("name").alias("b"), F.col("node").alias("v")), "b")
+    parts = splits.components(edges.select("u", "v")).join(ids, "node").select("name", "component")
+    return ties, parts
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, parts = _related(spark, sf_dir)
+    patients = parts.where(F.col("name").startswith("p:")).select(F.expr("substr(name, 3)").alias("patient"), "component")
+    one, two = patients.withColumnRenamed("patient", "patient_lo"), patients.withColumnRenamed("patient", "patient_hi")
+    return one.join(two, "component").where("patient_lo < patient_hi").select("patient_lo", "patient_hi")
+
+
+def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ties, parts = _related(spark, sf_dir)
+    groups = ties.select(F.coalesce("p", "f", "z").alias("name"), "n").join(parts, "name").groupBy(F.col("component").alias("group")).agg(F.sum("n").alias("size"))
+    return splits.split_groups(groups), parts
+
+
+def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every window; windows that name nothing go to train, each alone."""
+    assigned, parts = _splits(spark, sf_dir)
+    known = parts.where(F.col("name").startswith("r:")).select(F.expr("substr(name, 3)").alias("known"))
+    rows = _windows(spark, sf_dir, ["patient_id", "file_name", "seizure_file"]).select("window_id", "patient_id", file_key(F.col("file_name")).alias("f"), file_key(F.col("seizure_file")).alias("z"))
+    for c in ("f", "z"):
+        rows = rows.join(known, F.col(c) == F.col("known"), "left").withColumn(c, F.concat(F.lit("r:"), "known")).drop("known")
+    named = rows.select("window_id", F.coalesce(F.concat(F.lit("p:"), "patient_id"), "f", "z").alias("name"))
+    where = parts.join(assigned, F.col("component") == F.col("group")).select("name", "split")
+    return named.join(where, "name", "left").select("window_id", F.coalesce("split", F.lit("train")).alias("split"))
+
+
+def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, _ = _splits(spark, sf_dir)
+    return assigned.groupBy("split").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("size").alias("n_windows"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -45,5 +116,22 @@ def p6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.groupBy(F.col("k.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.sum("k.n").alias("n_chars"))
 
 
-FOUND = {"p3_found": p3_found, "p3_knn_features": p3_knn_features, "p3_knn_similarity": p3_knn_similarity, "p6_ids": p6_ids, "p6_lengths": p6_lengths}
-SQL = {}
+FOUND = {"p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p5_split": p5_split, "p5_totals": p5_totals, "p3_found": p3_found, "p3_knn_features": p3_knn_features, "p3_knn_similarity": p3_knn_similarity, "p6_ids": p6_ids, "p6_lengths": p6_lengths}
+
+_FILE = "nullif(lower(trim(regexp_replace({}, '^.*[/\\\\]', ''), chr(9) || chr(10) || chr(13) || chr(160) || ' ')), '')"
+_PATIENT = "nullif(lower(translate(patient_id, chr(9) || chr(10) || chr(13) || chr(160) || ' -_', '')), '')"
+_REPORT = f"""
+WITH plans AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY loaded_at DESC NULLS LAST, n_requested DESC NULLS LAST, preictal_count DESC NULLS LAST, interictal_count DESC NULLS LAST, min_per_category DESC NULLS LAST) AS rn FROM sampling_result)
+  WHERE rn = 1 AND n_requested IS NOT NULL AND preictal_count IS NOT NULL AND interictal_count IS NOT NULL),
+t AS (SELECT plan_id, pid, sum(weight) AS weight FROM (SELECT DISTINCT plan_id, {_PATIENT} AS pid, weight FROM sampling_target WHERE weight > 0) WHERE pid IS NOT NULL GROUP BY 1, 2),
+tot AS (SELECT plan_id, sum(weight) AS total FROM t GROUP BY 1),
+w AS (SELECT pid, label, count(*) AS n FROM (SELECT {_PATIENT} AS pid, label, row_number() OVER (PARTITION BY window_id ORDER BY ingested_at DESC NULLS LAST, patient_id DESC NULLS LAST, label DESC NULLS LAST) AS rn FROM window_meta) WHERE rn = 1 GROUP BY 1, 2),
+need AS (SELECT p.plan_id, t.pid AS patient_id, l.label,
+  greatest(CAST(floor(coalesce(p.n_requested * t.weight * (CASE WHEN l.label = 1 THEN preictal_count ELSE interictal_count END) / nullif(total * (preictal_count + interictal_count), 0), 0) + 0.5 + 1e-9) AS BIGINT), coalesce(min_per_category, 0)) AS needed
+  FROM plans p JOIN t ON t.plan_id = p.plan_id JOIN tot ON tot.plan_id = p.plan_id CROSS JOIN (SELECT unnest([0, 1]) AS label) l),
+report AS (SELECT need.*, coalesce(n, 0) AS available, least(needed, coalesce(n, 0)) AS drawn, needed - least(needed, coalesce(n, 0)) AS deficit FROM need LEFT JOIN w ON w.pid = need.patient_id AND w.label = need.label)
+"""
+SQL = {
+    "p4_found": _REPORT + "SELECT plan_id, patient_id, label FROM report WHERE deficit > 0",
+    "p4_report": _REPORT + "SELECT plan_id, patient_id, label, needed, available, drawn, deficit FROM report",
+}
