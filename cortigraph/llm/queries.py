@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cortigraph.functions.keys import file_key, latest_version, patient_key
-from cortigraph.llm import bpe, quota, similar, splits
+from cortigraph.llm import bpe, quota, sentences, similar, splits
 from cortigraph.session import table
 
 
@@ -116,7 +116,16 @@ def p6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.groupBy(F.col("k.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.sum("k.n").alias("n_chars"))
 
 
-FOUND = {"p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p5_split": p5_split, "p5_totals": p5_totals, "p3_found": p3_found, "p3_knn_features": p3_knn_features, "p3_knn_similarity": p3_knn_similarity, "p6_ids": p6_ids, "p6_lengths": p6_lengths}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the corpus says of the dots after short tokens."""
+    return sentences.abbreviations(table(spark, sf_dir, "documents"), "text").where("kind <> ''")
+
+
+FOUND = {"p8_found": p8_found, "p8_abbreviations": p8_abbreviations, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p5_split": p5_split, "p5_totals": p5_totals, "p3_found": p3_found, "p3_knn_features": p3_knn_features, "p3_knn_similarity": p3_knn_similarity, "p6_ids": p6_ids, "p6_lengths": p6_lengths}
 
 _FILE = "nullif(lower(trim(regexp_replace({}, '^.*[/\\\\]', ''), chr(9) || chr(10) || chr(13) || chr(160) || ' ')), '')"
 _PATIENT = "nullif(lower(translate(patient_id, chr(9) || chr(10) || chr(13) || chr(160) || ' -_', '')), '')"
