@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cortigraph.functions.keys import file_key, latest_version, patient_key
-from cortigraph.llm import bpe, quota, sentences, similar, splits
+from cortigraph.llm import bpe, leakage, quota, sentences, similar, splits
 from cortigraph.session import table
 
 
@@ -116,6 +116,24 @@ def p6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.groupBy(F.col("k.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.sum("k.n").alias("n_chars"))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", "lang")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("kind = 'verbatim'").select("doc_id", "item_id").distinct()
+
+
+def p7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an item's wording and other values."""
+    return _leaks(spark, sf_dir).where("kind = 'template'").select("doc_id", "item_id", "n_words", "n_changed")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold each item, by kind."""
+    return _leaks(spark, sf_dir).groupBy("item_id", "kind").agg(F.count_distinct("doc_id").alias("n_docs"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -125,7 +143,7 @@ def p8_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.abbreviations(table(spark, sf_dir, "documents"), "text").where("kind <> ''")
 
 
-FOUND = {"p8_found": p8_found, "p8_abbreviations": p8_abbreviations, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p5_split": p5_split, "p5_totals": p5_totals, "p3_found": p3_found, "p3_knn_features": p3_knn_features, "p3_knn_similarity": p3_knn_similarity, "p6_ids": p6_ids, "p6_lengths": p6_lengths}
+FOUND = {"p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p8_found": p8_found, "p8_abbreviations": p8_abbreviations, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p5_split": p5_split, "p5_totals": p5_totals, "p3_found": p3_found, "p3_knn_features": p3_knn_features, "p3_knn_similarity": p3_knn_similarity, "p6_ids": p6_ids, "p6_lengths": p6_lengths}
 
 _FILE = "nullif(lower(trim(regexp_replace({}, '^.*[/\\\\]', ''), chr(9) || chr(10) || chr(13) || chr(160) || ' ')), '')"
 _PATIENT = "nullif(lower(translate(patient_id, chr(9) || chr(10) || chr(13) || chr(160) || ' -_', '')), '')"
