@@ -1,6 +1,6 @@
 """All registered queries of the core."""
 
-from cortigraph.plans import problems
+from cortigraph.plans import problems, signals
 
-FOUND = {**problems.FOUND}
-SQL = {**problems.SQL}
+FOUND = {**problems.FOUND, **signals.FOUND}
+SQL = {**problems.SQL, **signals.SQL}
