@@ -1,6 +1,6 @@
 """All registered queries of the core."""
 
-from cortigraph.plans import problems, signals
+from cortigraph.plans import problems, signals, timing
 
-FOUND = {**problems.FOUND, **signals.FOUND}
-SQL = {**problems.SQL, **signals.SQL}
+FOUND = {**problems.FOUND, **signals.FOUND, **timing.FOUND}
+SQL = {**problems.SQL, **signals.SQL, **timing.SQL}
