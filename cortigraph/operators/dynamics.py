@@ -35,8 +35,8 @@ def evolve(scale_edges: DataFrame, nodes: DataFrame, couplings: list[float], h:
         raise ValueError(f"more than {max_nodes} nodes: sample them first")
     start = initial_state(nodes)
     batches = [couplings[i : i + batch] for i in range(0, len(couplings), batch)]
-    scales = scale_edges.select("scale").distinct()
-    seeds = scales.crossJoin(start).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(batches) - 1))))
+    scales = scale_edges.select(F.col("scale").alias("on_scale")).distinct()
+    seeds = scales.crossJoin(start).withColumn("in_part", F.explode(F.sequence(F.lit(0), F.lit(len(batches) - 1))))
     edges = scale_edges.select("scale", "i", "j", "w").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(batches) - 1))))
     names = [f"{c}_{s}" for c in "xyz" for s in STATS]
     schema = "scale int, coupling double, node bigint, " + ", ".join(f"{n} double" for n in names) if output == "stats" else "scale int, coupling double, node bigint, x array<double>, y array<double>, z array<double>"
@@ -50,9 +50,9 @@ def evolve(scale_edges: DataFrame, nodes: DataFrame, couplings: list[float], h:
             i, j, w = np.searchsorted(ids, e.column("i").to_numpy()), np.searchsorted(ids, e.column("j").to_numpy()), e.column("w").to_numpy()
             a[i, j] = w
             a[j, i] = w
-        eps = np.array(batches[s.column("part")[0].as_py()])
+        eps = np.array(batches[s.column("in_part")[0].as_py()])
         path = ode.Network(a, eps, field, mode).trajectory(np.repeat(state[None], len(eps), axis=0), h, steps, transient, method)
-        n, scale = len(ids), s.column("scale")[0].as_py()
+        n, scale = len(ids), s.column("on_scale")[0].as_py()
         out = {"scale": np.full(n * len(eps), scale, np.int32), "coupling": np.repeat(eps, n), "node": np.tile(ids, len(eps))}
         if output == "stats":
             for c, p in zip("xyz", np.moveaxis(path, -1, 0)):
@@ -63,7 +63,7 @@ def evolve(scale_edges: DataFrame, nodes: DataFrame, couplings: list[float], h:
             out[c] = pa.array(list(path[..., ::stride, k].reshape(n * len(eps), -1)), pa.list_(pa.float64()))
         return pa.table(out)
 
-    return edges.groupBy("scale", "part").cogroup(seeds.groupBy("scale", "part")).applyInArrow(run, schema)
+    return edges.groupBy("scale", "part").cogroup(seeds.groupBy("on_scale", "in_part")).applyInArrow(run, schema)
 
 
 def sync_with_centre(paths: DataFrame) -> DataFrame:

@@ -198,20 +198,21 @@ def block_topk(queries: DataFrame, vectors: DataFrame, k: int, method: str = "pe
     prepare = METHODS[method][0]
     extra = ["fold"] if group else []
     q = queries.select("id", prepare(A.doubles(F.col("v"))).alias("v"), *extra)
-    x = vectors.select("id", prepare(A.doubles(F.col("v"))).alias("v"), *extra)
+    # Other names on this side: both may come from one table, and cogroup resolves columns by name.
+    x = vectors.select(F.col("id").alias("other"), prepare(A.doubles(F.col("v"))).alias("u"), *[F.col(c).alias("fold_of_other") for c in extra])
     nq, nv = -(-max(1, q.count()) // block), -(-max(1, x.count()) // block)
-    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = q.withColumn("a", at(nq)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
-    right = x.withColumn("b", at(nv)).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = q.withColumn("a", at("id", nq)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    right = x.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("d", at("other", nv))
 
     def best(s: pa.Table, t: pa.Table) -> pa.Table:
         if not s.num_rows or not t.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
-        si, ti = s.column("id").to_numpy(), t.column("id").to_numpy()
+        si, ti = s.column("id").to_numpy(), t.column("other").to_numpy()
         order = np.argsort(ti, kind="stable")
-        w = _products(_rows(s.column("v")), _rows(t.column("v"))[order], method, 1.0)
+        w = _products(_rows(s.column("v")), _rows(t.column("u"))[order], method, 1.0)
         ti = ti[order]
-        out = (s.column("fold").to_numpy()[:, None] == t.column("fold").to_numpy()[order][None, :]) if group else si[:, None] == ti[None, :]
+        out = (s.column("fold").to_numpy()[:, None] == t.column("fold_of_other").to_numpy()[order][None, :]) if group else si[:, None] == ti[None, :]
         w[out] = -np.inf
         top = np.argsort(-np.round(w, 12), axis=1, kind="stable")[:, :k]
         r = np.repeat(np.arange(len(si)), top.shape[1])
@@ -219,7 +220,7 @@ def block_topk(queries: DataFrame, vectors: DataFrame, k: int, method: str = "pe
         keep = np.isfinite(w[r, c])
         return pa.table({"id": si[r[keep]], "other": ti[c[keep]], "w": w[r[keep], c[keep]]})
 
-    winners = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, "id bigint, other bigint, w double")
+    winners = left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInArrow(best, "id bigint, other bigint, w double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("w", 12).desc(), F.col("other")))
     return winners.withColumn("rank", rank).where(F.col("rank") <= k)
 

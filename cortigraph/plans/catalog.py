@@ -1,6 +1,6 @@
 """All registered queries of the core."""
 
-from cortigraph.plans import problems, signals, timing
+from cortigraph.plans import graphs, problems, signals, timing
 
-FOUND = {**problems.FOUND, **signals.FOUND, **timing.FOUND}
-SQL = {**problems.SQL, **signals.SQL, **timing.SQL}
+FOUND = {**problems.FOUND, **graphs.FOUND, **signals.FOUND, **timing.FOUND}
+SQL = {**problems.SQL, **graphs.SQL, **signals.SQL, **timing.SQL}
