@@ -12,7 +12,7 @@ from cortigraph.functions import arrays as A
 from cortigraph.functions.keys import latest_version, patient_key
 from cortigraph.operators import evaluation
 from cortigraph.plans.signals import trials
-from cortigraph.session import table
+from cortigraph.session import cut_lineage, table
 
 _COLUMNS = ["patient_id", "noise_type", "noise_level", "n_samples", "n_class0", "n_class1", "feature_dim", "error", "scores"]
 
@@ -142,7 +142,9 @@ def consensus_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = trials(spark, sf_dir).where("label in (0, 1)").withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "sample_id"), F.lit(5)).cast("int"))
-    d = d.withColumn("label", F.col("label").cast("double")).withColumn("features", array_to_vector(F.coalesce("v", F.array().cast("array<double>")))).select("sample_id", "label", "fold", "features")
+    # Fitting reads the rows many times; written once, they also can't be reached by filters on predictions.
+    d = cut_lineage(d.select("sample_id", "label", "fold", "v"))
+    d = d.withColumn("label", F.col("label").cast("double")).withColumn("features", array_to_vector("v")).select("sample_id", "label", "fold", "features")
     return StandardScaler(inputCol="features", outputCol="x", withMean=True).fit(d.where("fold > 0")).transform(d).drop("features").withColumnRenamed("x", "features")
 
 
