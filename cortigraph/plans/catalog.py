@@ -1,6 +1,6 @@
 """All registered queries of the core."""
 
-from cortigraph.plans import graphs, problems, results, signals, timing
+from cortigraph.plans import graphs, problems, results, signals, streams, timing
 
-FOUND = {**problems.FOUND, **graphs.FOUND, **signals.FOUND, **timing.FOUND, **results.FOUND}
-SQL = {**problems.SQL, **graphs.SQL, **signals.SQL, **timing.SQL, **results.SQL}
+FOUND = {**problems.FOUND, **graphs.FOUND, **signals.FOUND, **timing.FOUND, **results.FOUND, **streams.FOUND}
+SQL = {**problems.SQL, **graphs.SQL, **signals.SQL, **timing.SQL, **results.SQL, **streams.SQL}
