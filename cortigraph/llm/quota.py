@@ -53,7 +53,7 @@ def quota_sample(items: DataFrame, item_id: str, strata: list[str], needs: DataF
         needs.select(F.col(plan).alias("_plan"), *[F.col(c).alias(n) for c, n in zip(strata, names)], F.col(needed).cast("bigint").alias("_need"))
         .join(available, names, "left")
         .withColumn("_n", F.coalesce("_n", F.lit(0)))
-        .withColumn("_take", F.greatest(F.lit(0), F.least("_need", "_n")))
+        .withColumn("_take", F.greatest(F.lit(0), F.least(F.coalesce("_need", F.lit(0)), "_n")))
         .withColumn("_p", F.when(F.col("_n") > 0, F.least(F.lit(1.0), (k + sigmas * F.sqrt(F.greatest(k, F.lit(0.0))) + 1) / F.col("_n"))))
     )
     cat = ["_plan", *names]

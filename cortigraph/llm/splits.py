@@ -12,26 +12,40 @@ from cortigraph.session import cut_lineage
 BITS = 1 << 20
 
 
+def _key(c: str) -> F.Column:
+    """Order of nodes: by hash, then id, so that it says nothing of the graph."""
+    return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+
+
+def _oriented(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """u, v with u before v; loops and repeats left out."""
+    first = _key(a) < _key(b)
+    pairs = edges.where(F.col(a) != F.col(b)).select(F.when(first, F.col(a)).otherwise(F.col(b)).alias("u"), F.when(first, F.col(b)).otherwise(F.col(a)).alias("v"))
+    return pairs.distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of a graph: node, component (the least node id).
+    """Connected components of a graph: node, component (a number that all its nodes share).
 
     edges: u, v (bigint), any direction, repeats and loops allowed. A node appears
     if it is in an edge. Rows with a null end are ignored; no edges, no rows.
 
-    Each round hooks every node with a smaller neighbour to its least one, jumps
-    two steps along the new parents (shortcutting) and relabels the edges; edges
-    within a tree disappear. The parents found are then followed to the root by
+    Nodes are ordered by hash: in a random order every other node or so comes
+    after a neighbour, whatever the shape of the graph, so rounds grow with the
+    logarithm of its size. Each round hooks every such node to its first
+    neighbour, jumps two steps along the new parents (shortcutting) and
+    relabels the edges; edges within a tree disappear. The parents found are then followed to the root by
     pointer jumping. All of it is joins of tables; a round is written to the
     checkpoint folder, and only counts reach the driver.
     """
-    edges = edges.where("u is not null and v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    live = cut_lineage(edges.where("u < v"))
+    given = edges.where("u is not null and v is not null").select("u", "v")
+    nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    live = cut_lineage(_oriented(given, "u", "v"))
     forest = []
     for _ in range(max_rounds):
         if live.isEmpty():
             break
-        hooks = live.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
+        hooks = live.groupBy(F.col("v").alias("node")).agg(F.min(_key("u")).alias("k")).select("node", F.col("k.id").alias("parent"))
         for _ in range(2):
             up = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
             hooks = hooks.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"))
@@ -40,16 +54,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         one = hooks.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
         two = hooks.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
         moved = live.join(one, "u", "left").join(two, "v", "left").select(F.coalesce("pu", "u").alias("a"), F.coalesce("pv", "v").alias("b"))
-        live = cut_lineage(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        live = cut_lineage(_oriented(moved, "a", "b"))
     else:
         raise RuntimeError(f"components: edges left after {max_rounds} rounds")
     parents = nodes.select("node", F.col("node").alias("parent"))
     for f in forest:
         parents = parents.unionAll(f)
-    parents = cut_lineage(parents.groupBy("node").agg(F.min("parent").alias("parent")))
+    parents = cut_lineage(parents.groupBy("node").agg(F.min(_key("parent")).alias("k")).select("node", F.col("k.id").alias("parent")))
     for _ in range(max_rounds):
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        jumped = cut_lineage(parents.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") < F.col("parent")).alias("moved")))
+        jumped = cut_lineage(parents.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")))
         parents = jumped.select("node", "parent")
         if jumped.where("moved").isEmpty():
             break
