@@ -28,3 +28,24 @@ def spread_rank(df: DataFrame, keys: list[str], band: Column, order: list[Column
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     joined = inner.join(sums, on)
     return joined.withColumn(name, F.col("_before") + F.col("_rn")).drop("_band", "_rn", "_before", "_sband", *[f"_k{i}" for i in range(len(keys))])
+
+
+def range_band(df: DataFrame, column: str, bands: int = 256) -> Column:
+    """Number of the value range a row falls in, ranges holding about as many rows each: at most `bands` cuts."""
+    cuts = df.agg(F.percentile_approx(column, [i / bands for i in range(1, bands)], 10 * bands).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0)
+
+
+def running_total(df: DataFrame, keys: list[str], band: Column, order: list[Column], value: str, name: str) -> DataFrame:
+    """Sum of `value` over the earlier rows of each group by (band, *order), without one task per group; from 0."""
+    banded = df.withColumn("_band", band)
+    inner = Window.partitionBy(*keys, "_band").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    sums = banded.groupBy(*keys, "_band").agg(F.sum(value).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_band").alias("_sband"), "_before")
+    on = F.col("_band").eqNullSafe(F.col("_sband"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = banded.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, on)
+    return joined.withColumn(name, F.col("_before") + F.col("_in")).drop("_band", "_in", "_before", "_sband", *[f"_k{i}" for i in range(len(keys))])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cortigraph.functions.arrays import unit_hash
+from cortigraph.functions.ranking import range_band, running_total
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
@@ -47,14 +48,14 @@ def summary(df: DataFrame, truth: str, predicted: str, by: list[str] | None = No
 def auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
     """ROC AUC of a binary truth (0, 1) by average ranks of the scores.
 
-    Scores are first counted by value, so ranks come from running sums over the
-    distinct scores.
+    Scores are first counted by value; ranks come from running sums over the
+    distinct scores, in ranges of the score.
     """
     by = by or []
     d = df.where(F.col(truth).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score))
     v = d.groupBy(*by, score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("q"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    u = v.withColumn("u", F.col("p") * (F.coalesce(F.sum("q").over(below), F.lit(0)) + F.col("q") / 2))
+    below = running_total(v, by, range_band(v, score), [F.col(score)], "q", "_below")
+    u = below.withColumn("u", F.col("p") * (F.col("_below") + F.col("q") / 2))
     a = F.try_divide(F.sum("u"), F.sum("p") * F.sum("q"))
     out = [F.sum("p").alias("positives"), F.sum("q").alias("negatives"), a.alias("auc")]
     return u.groupBy(*by).agg(*out) if by else u.agg(*out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cortigraph.session import cut_lineage
@@ -10,14 +10,15 @@ from cortigraph.session import cut_lineage
 HOUR_MS = 3_600_000
 
 
-def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, block: int = HOUR_MS) -> DataFrame:
+def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, block: float = HOUR_MS, touch: bool = True) -> DataFrame:
     """Merge intervals into maximal periods and list the gaps between them.
 
     Input: one row per interval, bounds as whole milliseconds (bigint). Output:
     `keys`, kind ('period' or 'gap'), start_ms, end_ms. Rows with a null key or
     bound, and rows that don't end after their start, are ignored; intervals that
     touch belong to one period; repeated rows count once; other columns are
-    dropped; an empty table gives an empty result.
+    dropped; an empty table gives an empty result. With touch=False intervals that
+    only touch stay apart, and bounds may be of any numeric type.
 
     An entity's intervals are first merged within blocks of `block` milliseconds
     of start time by session_window with the interval's own length as its gap.
@@ -33,6 +34,8 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, block
         rows = rows.where(F.col(c).isNotNull())
     # At most one row per entity and start travels on: repeated marks collapse before the shuffle.
     longest = rows.where("_e > _s").withColumn("_b", F.floor(F.col("_s") / F.lit(block))).groupBy(*k, "_b", "_s").agg(F.max("_e").alias("_e"))
+    if not touch:
+        return _joined(cut_lineage(longest.select(*k, "_b", "_s", "_e")), keys, k, F.col("_s") >= F.col("_prev"))
     length = F.col("_e") - F.col("_s")
     gap = F.make_interval(days=F.try_divide(length, F.lit(86_400_000)).cast("int"), secs=(length % 86_400_000) / F.lit(1000).cast("decimal(18,3)"))
     # The merged pieces are read several times below; they are written once.
@@ -41,6 +44,11 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, block
         .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
         .select(*k, "_b", "_s", "_e"),
     )
+    return _joined(pieces, keys, k, F.col("_s") > F.col("_prev"))
+
+
+def _joined(pieces: DataFrame, keys: list[str], k: list[str], apart: Column) -> DataFrame:
+    """Periods and gaps over the pieces of all blocks; `apart` tells whether a piece begins a period."""
     in_block = Window.partitionBy(*k, "_b").orderBy("_s")
     across = Window.partitionBy(*k).orderBy("_b")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -51,7 +59,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, block
         pieces.join(blocks, [*k, "_b"])
         .withColumn("_prev", F.greatest("_carry", reached))
         .withColumn("_last", F.greatest("_carry", F.max("_e").over(in_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-        .where("_prev is null or _s > _prev")
+        .where(F.col("_prev").isNull() | apart)
     )
     # What follows the last period of a block: the first period of the next block that begins one.
     head_blocks = heads.groupBy(*k, "_b").agg(F.min(F.struct("_s", "_prev")).alias("_first"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cortigraph.operators.intervals import periods_and_gaps
+
 
 def sliding(df: DataFrame, start: str, end: str, length: float, step: float) -> DataFrame:
     """start_sec, end_sec of the complete windows of each span [start, end); step 0 takes the one in the middle."""
@@ -89,13 +91,10 @@ def exclusion_zones(events: DataFrame, files: DataFrame, gap: float) -> DataFram
     return e.select("patient_id", lo.alias("lo"), hi.alias("hi")).where("hi > lo")
 
 
-def merge_strict(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping spans (lo, hi) merged; touching ones stay apart."""
-    w = Window.partitionBy(*keys).orderBy("lo", "hi")
-    reached = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.withColumn("_new", F.when(reached.isNull() | (F.col("lo") >= reached), 1).otherwise(0))
-    island = flagged.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_g")
+def merge_strict(spans: DataFrame, keys: list[str], block: float = 3600.0) -> DataFrame:
+    """Overlapping spans (lo, hi) merged; touching ones stay apart. Spread over blocks of time."""
+    merged = periods_and_gaps(spans, keys, "lo", "hi", block, touch=False).where("kind = 'period'")
+    return merged.select(*keys, F.col("start_ms").alias("lo"), F.col("end_ms").alias("hi"))
 
 
 def interictal(files: DataFrame, events: DataFrame, length: float, step: float, gap: float, width: float = 3600.0) -> DataFrame:
