@@ -178,24 +178,29 @@ class Item:
             # Every run has a window that finds it: by its wording, else by its words.
             self.seeds |= good or {int(rolled(np.array([k[2] for k in keys], np.uint64), w)[0])}
         self.template = [slots.of(w)[1] for w in self.words]
+        n = self.span = min(TEMPLATE_WORDS, len(self.template))
+        self.starts: dict[tuple, list[int]] = {}
+        for i in range(len(self.template) - n + 1):
+            self.starts.setdefault(tuple(self.template[i : i + n]), []).append(i)
 
 
-def filled_in(item: Item, words: list[str], slots: Slots) -> tuple[int, int]:
+def filled_in(item: Item, words: list[str], template: list[str], windows: dict[int, dict[tuple, list[int]]]) -> tuple[int, int]:
     """(words, changed slots) of the longest run of the item's wording with other values.
 
     The values must be consistent: a value of the item stands for one value of the
     document throughout, and back. (0, 0) if there is no run of TEMPLATE_WORDS.
+    `windows` keeps the document's windows by length for the next item.
     """
-    n = min(TEMPLATE_WORDS, len(item.template))
+    n = item.span
     if n < SEED:
         return 0, 0
-    template = [slots.of(w)[1] for w in words]
-    starts: dict[tuple, list[int]] = {}
-    for i in range(len(item.template) - n + 1):
-        starts.setdefault(tuple(item.template[i : i + n]), []).append(i)
+    if n not in windows:
+        windows[n] = {}
+        for j in range(len(template) - n + 1):
+            windows[n].setdefault(tuple(template[j : j + n]), []).append(j)
     best = (0, 0)
-    for j in range(len(template) - n + 1):
-        for i in starts.get(tuple(template[j : j + n]), ()):
+    for shared in item.starts.keys() & windows[n].keys():
+        for i, j in ((i, j) for i in item.starts[shared] for j in windows[n][shared]):
             if i and j and item.template[i - 1] == template[j - 1]:
                 continue  # part of a longer run
             there: dict[str, str] = {}
@@ -267,11 +272,12 @@ def _pass(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, str |
                 plain = [f" {' '.join(w)} " for w in words]
                 left = [f" {' '.join(k for k in (slots.of(x)[0] for x in w) if k)} " if "�" in s else "" for w, s in zip(words, forms)]
                 letters = ["".join(w) for w in words]
+                template, windows = [slots.of(w)[1] for w in words[-1]], {}
                 for item_id in sorted(items):
                     x = made.get(item_id) or made.setdefault(item_id, Item(item_id, *texts[item_id], slots))
                     where = letters if x.unspaced else plain
                     verbatim = any(p in s for s in where for p in x.passages) or not x.unspaced and any(p in s for s in left if s for p in x.lossy_passages)
-                    run, changed = (len(x.letters) if x.unspaced else len(x.words), 0) if verbatim else (0, 0) if x.unspaced else filled_in(x, words[-1], slots)
+                    run, changed = (len(x.letters) if x.unspaced else len(x.words), 0) if verbatim else (0, 0) if x.unspaced else filled_in(x, words[-1], template, windows)
                     if run:
                         rows.append(i)
                         for o, v in zip(out, (item_id, "verbatim" if verbatim else "template", run, changed)):
