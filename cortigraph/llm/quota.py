@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cortigraph.functions.ranking import spread_rank
+from cortigraph.session import cut_lineage
 
 #: Ranks of a category that one row of work covers.
 RANGE = 65_536
@@ -45,16 +46,18 @@ def quota_sample(items: DataFrame, item_id: str, strata: list[str], needs: DataF
     pool = items.select(*[F.col(c).alias(n) for c, n in zip(strata, names)], F.col(item_id).alias("_item"))
     for n in names:
         pool = pool.where(F.col(n).isNotNull())
+    # Items, categories and accepted ranks are read several times each; they are written once.
+    pool = cut_lineage(pool)
     salt = F.lit(seed)
     ranked = spread_rank(pool, names, _band("_item", salt), [F.xxhash64("_item", salt), F.col("_item")], "_rank")
     available = pool.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     k = F.col("_need").cast("double")
-    categories = (
+    categories = cut_lineage(
         needs.select(F.col(plan).alias("_plan"), *[F.col(c).alias(n) for c, n in zip(strata, names)], F.col(needed).cast("bigint").alias("_need"))
         .join(available, names, "left")
         .withColumn("_n", F.coalesce("_n", F.lit(0)))
         .withColumn("_take", F.greatest(F.lit(0), F.least(F.coalesce("_need", F.lit(0)), "_n")))
-        .withColumn("_p", F.when(F.col("_n") > 0, F.least(F.lit(1.0), (k + sigmas * F.sqrt(F.greatest(k, F.lit(0.0))) + 1) / F.col("_n"))))
+        .withColumn("_p", F.when(F.col("_n") > 0, F.least(F.lit(1.0), (k + sigmas * F.sqrt(F.greatest(k, F.lit(0.0))) + 1) / F.col("_n")))),
     )
     cat = ["_plan", *names]
     ranges = categories.where("_take > 0").withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(RANGE).cast("bigint"))))
@@ -84,7 +87,7 @@ def quota_sample(items: DataFrame, item_id: str, strata: list[str], needs: DataF
             yield pa.RecordBatch.from_arrays([b.column(0).take(cat_of(rep, np.int64)), cat_of(ranks, np.int64), cat_of(prio, np.float64)], names=["c", "_rank", "_prio"])
 
     kind = work.schema["c"].dataType.simpleString()
-    accepted = work.mapInArrow(accept, f"c {kind}, _rank bigint, _prio double").select("c.*", "_rank", "_prio")
+    accepted = cut_lineage(work.mapInArrow(accept, f"c {kind}, _rank bigint, _prio double").select("c.*", "_rank", "_prio"))
     kept = spread_rank(accepted, cat, F.floor(F.col("_prio") * BANDS).cast("int"), [F.col("_prio"), F.col("_rank")], "_k").where("_k <= _take").select(*cat, "_rank")
     # Categories that accepted too few: the rest comes from the ranks they left.
     got = accepted.groupBy(*cat).agg(F.count(F.lit(1)).alias("_got"))
