@@ -162,3 +162,26 @@ SQL = {
     "p4_found": _REPORT + "SELECT plan_id, patient_id, label FROM report WHERE deficit > 0",
     "p4_report": _REPORT + "SELECT plan_id, patient_id, label, needed, available, drawn, deficit FROM report",
 }
+
+_VECTORS = """WITH b AS (SELECT sample_id AS id, CAST({c} AS DOUBLE[]) AS v FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY built_at DESC NULLS LAST, {c} DESC NULLS LAST) AS rn FROM feature_bundle) WHERE rn = 1),
+t AS (SELECT * FROM b WHERE len(v) = {d} AND len(list_filter(v, lambda x: isfinite(x))) = {d} AND len(list_filter(v, lambda x: x <> 0)) > 0),
+c AS (SELECT id, {centred} AS v FROM t), u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM c)
+"""
+_NEAREST = """, p AS (SELECT a.id, b.id AS other, list_dot_product(a.v, b.v) / (a.n * b.n) AS w FROM u a JOIN u b ON a.id % 50 = 0 AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, other) AS rk FROM p)
+SELECT id AS sample_id, other AS other_id, round(w, 6) AS similarity, CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 5"""
+_KNOWN = f"(SELECT DISTINCT {_FILE.format('file_name')} AS known FROM file_info)"
+SQL |= {
+    "p3_found": _VECTORS.format(c="features", d=64, centred="v") + "SELECT a.id AS sample_lo, b.id AS sample_hi FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.90",
+    "p3_knn_features": _VECTORS.format(c="features", d=64, centred="v") + _NEAREST,
+    "p3_knn_similarity": _VECTORS.format(c="similarity", d=16, centred="list_transform(v, lambda x: x - list_avg(v))") + _NEAREST,
+    "p5_found": f"""
+WITH RECURSIVE w AS (SELECT {_PATIENT} AS p, {_FILE.format('file_name')} AS f, {_FILE.format('seizure_file')} AS z FROM (
+  SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY ingested_at DESC NULLS LAST, patient_id DESC NULLS LAST, file_name DESC NULLS LAST, seizure_file DESC NULLS LAST) AS rn FROM window_meta) WHERE rn = 1),
+k AS {_KNOWN},
+t AS (SELECT DISTINCT 'p:' || p AS p, 'r:' || a.known AS f, 'r:' || b.known AS z FROM w LEFT JOIN k a ON f = a.known LEFT JOIN k b ON z = b.known),
+e0 AS (SELECT p AS a, f AS b FROM t UNION SELECT f, z FROM t UNION SELECT p, z FROM t),
+e AS (SELECT a, b FROM e0 WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e0 WHERE a IS NOT NULL AND b IS NOT NULL),
+reach AS (SELECT DISTINCT p, p AS n FROM t WHERE p IS NOT NULL UNION SELECT r.p, e.b FROM reach r JOIN e ON r.n = e.a)
+SELECT substr(p, 3) AS patient_lo, substr(n, 3) AS patient_hi FROM reach WHERE n LIKE 'p:%' AND p < n""",
+}
