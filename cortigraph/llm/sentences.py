@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cortigraph.llm.mojibake import repair
@@ -82,7 +82,8 @@ def paragraphs(s: str) -> Iterator[tuple[int, int]]:
     yield at, len(s)
 
 
-_FOLLOWS = re.compile(r"\.(\s*)(\S?)")
+_DOTTED = re.compile(rf"(?<![^\W_])((?:[^\W_]|[.\-�ºª{_MARKS}]){{1,24}})(?<!\.)\.(?!\.)(?=(\s*)(\S?))")
+_UNIT = re.compile(r"[!?…]|\n[^\S\n]*\r?\n")
 
 
 def _places(text: str, word: str) -> Iterator[int]:
@@ -101,6 +102,7 @@ class Document:
     def __init__(self, text: str, corpus: dict[str, str]):
         self.text, self.corpus = text, corpus
         self._seen: dict[str, str | None] = {}
+        self._dots: dict[str, tuple[bool, bool]] | None = None
         self._danda: bool | None = None
 
     def kind(self, token: str) -> str | None:
@@ -110,30 +112,54 @@ class Document:
         return self._seen[token]
 
     def _kind(self, token: str) -> str | None:
-        if token in self.corpus:
-            return self.corpus[token] or None
-        known = SEEDS.get(token)
-        if known:
-            return known
-        if len(token) > 6 or token.isdigit():
+        if token.isdigit():
             return None
-        if "�" in token and len(token) <= 4:
-            return NUMBER
-        # Unambiguous occurrences elsewhere: inside a sentence, at the end of a block of lines, without a dot.
-        text, within = self.text, 0
-        if text.count(token + ".") < 2:
-            return None
-        for at in _places(text, token):
-            e = at + len(token)
-            m = _FOLLOWS.match(text, e)
-            if not m:
-                if text[e : e + 1].isspace():
-                    return None
-            elif not m.group(2) or m.group(1).count("\n") > 1:
-                return None
-            elif m.group(2).islower() or m.group(2) in ",;:":
-                within += 1
-        return NEVER if within else None
+        # The document says whether it is an abbreviation; what may follow one is for the corpus and the list to say.
+        own, known = self._own(token), SEEDS.get(token)
+        kind = self.corpus.get(token, known)
+        if own:
+            return kind or known or NEVER
+        if own is False:
+            return END if kind == END else None
+        if kind is not None:
+            return kind or None
+        return NUMBER if "�" in token and len(token) <= 4 else None
+
+    def _own(self, token: str) -> bool | None:
+        """Is this an abbreviation by its unambiguous occurrences here? None if there are none, or of both kinds.
+
+        For it: the dot before a comma, or before a small letter in text with capitals.
+        Against it: the dot at the end of a block of lines, or no dot after a lower-case word.
+        """
+        if self._dots is None:
+            self._dots = self._occurrences()
+        within, against = self._dots.get(token, (False, False))
+        return None if within == against else within
+
+    def _occurrences(self) -> dict[str, tuple[bool, bool]]:
+        """(for, against) of every token with a dot, in one pass over the text."""
+        text, within, against = self.text, set(), set()
+        unit, seen = 0, set()
+        for m in _DOTTED.finditer(text):
+            token, gap, nxt = m.groups()
+            if _COMPOSE.search(token):
+                token = unicodedata.normalize("NFC", token).translate(_INVISIBLE)
+            tokens = {token, token.rpartition("-")[2]}
+            seen |= tokens
+            if not nxt or gap.count("\n") > 1:
+                against |= tokens
+            elif nxt in ",;:":
+                within |= tokens
+            elif gap and nxt.islower():
+                before = _UNIT.split(text[max(unit, m.start() - 400) : m.end()])[-1]
+                if not (before.islower() and text[m.start(3) : m.start(3) + 40].islower()):
+                    within |= tokens
+            unit = m.end()
+        words = text.split()
+        plain = seen.intersection(words)
+        if plain:
+            against |= {w for before, w in zip(words, words[1:]) if w in plain and before.rstrip(",")[-1:].islower()}
+        return {t: (t in within, t in against) for t in within | against}
 
     def proper(self, word: str) -> bool:
         """Is this capitalised word seen with its capital after a lower-case word, and never in lower case?"""
@@ -268,18 +294,18 @@ def units(text: str, corpus: dict[str, str]) -> list[tuple[int, int]]:
     return out if places is None else [(places[x], places[y - 1] + (places[y] - places[y - 1])) for x, y in out]
 
 
-_SHORT = re.compile(r"(?<![^\W_])((?:[^\W\d_]|[.\-]){1,6})(?<!\.)\.(?!\.)(?=(\s*)(\S*))")
+_WORDS = re.compile(r"(?<![^\W_])((?:[^\W\d_]|[.\-]){1,24})(?<!\.)\.(?!\.)(?=(\s*)(\S*))")
 
 
 def dot_evidence(text: str, counts: Counter) -> None:
-    """Count what follows short tokens with a dot: block end, lower case or comma, digit, capital."""
+    """Count what follows tokens with a dot: block end, lower case or comma, digit, capital."""
     s, _ = repair(text)
     for a, b in paragraphs(s):
         if "." not in s[a:b]:
             continue
         p = s[a:b]
         spans = quote_spans(p) if any(q in p for q in _QUOTES) else []
-        for m in _SHORT.finditer(p):
+        for m in _WORDS.finditer(p):
             at = m.end()
             if any(x < at < y for x, y in spans):
                 continue
@@ -294,14 +320,20 @@ def dot_evidence(text: str, counts: Counter) -> None:
             counts[m.group(1), kind, word[:3] if kind == "c" else ""] += 1
 
 
-def abbreviations(df: DataFrame, text: str, least: int = 20) -> DataFrame:
+def _bound(k: Column, n: Column, sign: int, z: float = 1.96) -> Column:
+    """Wilson's bound of the rate k / n: the lower one at sign -1, the upper one at 1."""
+    return (k + z * z / 2 + sign * z * F.sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z)
+
+
+def abbreviations(df: DataFrame, text: str, rate: float = 0.1) -> DataFrame:
     """token, kind of the tokens whose dots the corpus explains: counts over all documents.
 
-    A token that hardly ever closes a block of lines although its dot is met
-    `least` times or more is an abbreviation: before numbers, before names (many
-    different words follow it) or inside sentences. One that closes blocks and is also followed by lower case
+    A token that closes a block of lines at less than `rate` of its dots is an
+    abbreviation: before numbers, inside sentences, or before names (no word
+    makes up half of what follows). One that closes blocks more often and is also followed by lower case
     can do both. A token that closes blocks and is otherwise followed by capitals
-    is no abbreviation (kind ''), whatever the list of known ones says.
+    is no abbreviation (kind ''), whatever the list of known ones says. Every rate
+    is held against its 95 % confidence bound; a token too rare for one is left out.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,16 +351,17 @@ def abbreviations(df: DataFrame, text: str, least: int = 20) -> DataFrame:
     seen = df.select(text).mapInArrow(count, "token string, follows string, word string, n bigint")
     n = lambda k: F.coalesce(F.sum(F.when(F.col("follows") == k, F.col("n"))), F.lit(0))
     seen = seen.groupBy("token", "follows", "word").agg(F.sum("n").alias("n"))
-    words = F.count_if(F.col("follows") == "c")
-    by = seen.groupBy("token").agg(words.alias("words"), F.sum("n").alias("all"), n("e").alias("e"), n("l").alias("l"), n("n").alias("num"), n("c").alias("cap")).where(F.col("all") >= least)
-    inner = F.col("l") + F.col("num")
+    top = F.coalesce(F.max(F.when(F.col("follows") == "c", F.col("n"))), F.lit(0))
+    by = seen.groupBy("token").agg(top.alias("top"), F.sum("n").alias("all"), n("e").alias("e"), n("l").alias("l"), n("n").alias("num"))
+    least = lambda k: _bound(k, F.col("all"), -1)
+    most = lambda k: _bound(k, F.col("all"), 1)
+    inner, inside = F.col("l") + F.col("num"), most(F.col("e")) <= rate
     kind = (
-        F.when((F.col("e") <= 0.02 * F.col("all")) & (F.col("num") >= 0.8 * F.col("all")), NUMBER)
-        .when((F.col("e") <= 0.02 * F.col("all")) & (F.col("l") >= 0.5 * F.col("all")), NEVER)
-        .when((F.col("e") <= 0.02 * F.col("all")) & (F.col("words") >= 12), NAME)
-        .when(F.col("e") <= 0.02 * F.col("all"), F.lit(None))
-        .when(inner >= 0.3 * F.col("all"), END)
-        .otherwise("")
+        F.when(inside & (least(F.col("num")) >= 0.8), NUMBER)
+        .when(inside & (least(F.col("l")) >= 0.5), NEVER)
+        .when(inside & (most(F.col("top")) <= 0.5) & (most(inner) <= 0.5), NAME)
+        .when((least(F.col("e")) > rate) & (least(inner) >= 0.3), END)
+        .when((least(F.col("e")) > rate) & (most(inner) < 0.3), "")
     )
     return by.select("token", kind.alias("kind")).where("kind is not null")
 
@@ -337,7 +370,7 @@ def abbreviations(df: DataFrame, text: str, least: int = 20) -> DataFrame:
 BROADCAST = 100_000
 
 
-def split_sentences(df: DataFrame, id_column: str, text: str, least: int = 20) -> DataFrame:
+def split_sentences(df: DataFrame, id_column: str, text: str, rate: float = 0.1) -> DataFrame:
     """Id column, start_char, end_char: one row per sentence unit of every text.
 
     Offsets count code points from 0, the end is exclusive, blanks around a unit
@@ -346,14 +379,15 @@ def split_sentences(df: DataFrame, id_column: str, text: str, least: int = 20) -
     texts: one counts the evidence of dots over the whole corpus, with sums
     combined before the only shuffle; the other splits each text by itself.
 
-    The corpus' list holds tokens of at most six characters met `least` times; its
-    size is checked, and above the limit the operator refuses rather than
-    broadcast it.
+    A dot is judged by the text's own unambiguous occurrences of its token, then
+    by the corpus, then by the fixed list. Of the corpus the abbreviations are
+    broadcast, and the end marks that the list or a lost letter would overrule;
+    above the limit of size the operator refuses.
     """
     spark = df.sparkSession
-    found = abbreviations(df, text, least).take(BROADCAST + 1)
+    found = abbreviations(df, text, rate).where((F.col("kind") != "") | F.col("token").isin(*SEEDS) | F.col("token").contains("�")).take(BROADCAST + 1)
     if len(found) > BROADCAST:
-        raise ValueError("too many abbreviations for a broadcast: raise `least`")
+        raise ValueError("too many abbreviations for a broadcast: lower `rate`")
     shared = spark.sparkContext.broadcast({r["token"]: r["kind"] for r in found})
     id_type = df.schema[id_column].dataType.simpleString()
 

@@ -53,6 +53,22 @@ def test_document_decides_unknown_abbreviations():
     assert pieces("It cost 4 xyz. for two. The xyz. Bolo was late.") == ["It cost 4 xyz. for two.", "The xyz. Bolo was late."]
 
 
+def test_document_comes_before_corpus_and_list():
+    for token in ("near", "approxim"):
+        want = [f"It cost 4 {token}. for two.", f"The {token}. Bolo was late."]
+        assert pieces(" ".join(want), {"near": ""}) == want
+    assert pieces("They saw the fig again. Ana ate one fig. Bolo sat.", {"fig": sentences.NAME}) == ["They saw the fig again.", "Ana ate one fig.", "Bolo sat."]
+    flat = "the lamp of the old river stood there for many days. it rained on the lamp and on all of the roofs.\n\nIt rained for many days. Bolo left."
+    assert pieces(flat)[-1] == "Bolo left."
+
+
+def test_corpus_is_judged_by_rates(spark):
+    names = [(i, f"They met prezident. {chr(65 + i % 26)}olo{i} there." if i % 32 else "They met their prezident.") for i in range(640)]
+    rare = [(i, f"Foo zz. {chr(65 + i)}olo sat.") for i in range(20)]
+    kinds = {r["token"]: r["kind"] for r in sentences.abbreviations(spark.createDataFrame(names + rare, "doc_id bigint, text string"), "text").collect()}
+    assert kinds["prezident"] == sentences.NAME and kinds["there"] == "" and "zz" not in kinds
+
+
 def test_all_text_is_covered():
     for text in (" ".join(CASES[0]), "a. b! c? 5.5. X", "«a. B» c. D", "x" * 5000 + ". Y" * 500):
         assert "".join(pieces(text)).replace(" ", "") == text.replace(" ", "")
