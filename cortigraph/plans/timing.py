@@ -59,9 +59,10 @@ def interictal_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preictal_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = seizures(spark, sf_dir).groupBy("patient_id", "file_name").agg(F.min("start_sec").cast("double").alias("onset"))
+    """Windows before every onset of a file; one that lies before several onsets is a row of each."""
+    e = seizures(spark, sf_dir).select("patient_id", "file_name", F.col("start_sec").cast("double").alias("onset")).distinct()
     w = windows.preictal(e, files(spark, sf_dir), 60.0, 0.5, 600.0)
-    return w.select("patient_id", "file_name", F.round("start_sec", 3).alias("start_sec"), F.size("segments").alias("n_segments"))
+    return w.select("patient_id", "file_name", F.round("onset", 3).alias("onset"), F.round("start_sec", 3).alias("start_sec"), F.size("segments").alias("n_segments"))
 
 
 def file_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
