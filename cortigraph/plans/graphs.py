@@ -32,6 +32,11 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(similarity.all_pairs(vectors(spark, sf_dir), "pearson", LEAST))
 
 
+def positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole graph: all pairs of positive weight."""
+    return cut_lineage(similarity.all_pairs(vectors(spark, sf_dir), "pearson"))
+
+
 def _adjacency(w: np.ndarray) -> np.ndarray:
     return 1 - np.exp(-np.maximum(w, 0) / 3.0)
 
@@ -131,34 +136,38 @@ def correlation_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _sampled(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """Hybrid sample of n nodes (the same on all scales) and its nested scales."""
-    nodes = cut_lineage(sampling.pick_nodes(vectors(spark, sf_dir).select(F.col("id").alias("node")), "node", n))
-    e = cut_lineage(graph.induced(sparse(spark, sf_dir), nodes))
+def _sampled(spark: SparkSession, sf_dir: str, most: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """All nodes, above `most` a hybrid sample of them (the same on all scales), and the nested scales of their whole graph."""
+    nodes = cut_lineage(sampling.pick_nodes(vectors(spark, sf_dir).select(F.col("id").alias("node")), "node", most))
+    e = cut_lineage(graph.induced(positive(spark, sf_dir), nodes))
     r = e.agg(F.min("w"), F.max("w")).first()
-    return nodes, graph.cut(e, [t - 1e-12 for t in graph.uniform_thresholds(r[0] or 0.0, r[1] or 0.0, 4)])
+    return nodes, graph.cut(e, [t - 1e-12 for t in graph.uniform_thresholds(r[0] or 0.0, r[1] or 0.0, SCALES)])
 
 
 def eigen_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, scales = _sampled(spark, sf_dir, 400)
+    nodes, scales = _sampled(spark, sf_dir)
     return graph.eigen_metrics(scales, "scale", nodes.count())
 
 
 def persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, scales = _sampled(spark, sf_dir, 400)
+    _, scales = _sampled(spark, sf_dir)
     return graph.persistence(scales, "scale").groupBy("scale", "dim").agg(F.count(F.lit(1)).alias("n_bars"), F.count_if(F.col("death") < float("inf")).alias("n_closed"))
 
 
+#: Coupling strengths of the sweep: 0 to 20 by 0.5.
+COUPLINGS = [k / 2 for k in range(41)]
+
+
 def _dynamics(**options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        nodes, scales = _sampled(spark, sf_dir, 200)
-        return dynamics.evolve(scales, nodes, [0.0, 0.5, 1.0, 2.0], h=0.01, steps=300, transient=200, **options)
+        nodes, scales = _sampled(spark, sf_dir)
+        return dynamics.evolve(scales, nodes, COUPLINGS, h=1e-3, steps=3000, transient=2000, batch=4, **options)
 
     return query
 
 
 def sync_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dynamics.sync_with_centre(_dynamics(output="trajectory", stride=4)(spark, sf_dir))
+    return dynamics.sync_with_centre(_dynamics(output="trajectory")(spark, sf_dir))
 
 
 def lyapunov(spark: SparkSession, sf_dir: str) -> DataFrame:
