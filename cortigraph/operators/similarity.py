@@ -168,6 +168,34 @@ def pair_summary(vectors: DataFrame, thresholds: list[float], method: str = "pea
     return sums.groupBy("scale", "node").agg(F.sum("degree").alias("degree"), F.sum("edges").alias("edges"), F.sum("squares").alias("squares"))
 
 
+def pair_shift(vectors: DataFrame, changed: DataFrame, method: str = "pearson", block: int = BLOCK) -> DataFrame:
+    """Mean |d| over the full matrix, Frobenius norm and largest |d|; d: changed minus old similarity of a pair, of either sign.
+
+    changed: the same ids with other vectors. Both vectors of a row travel side by
+    side, so each block pair returns three sums and no pairs.
+    """
+    prepare = METHODS[method][0]
+    both = vectors.select("id", prepare(A.doubles(F.col("v"))).alias("_v")).join(changed.select("id", prepare(A.doubles(F.col("v"))).alias("_w")), "id")
+    # They are prepared, so that the tiles take them as they are.
+    tiles, _ = _blocks(both.select("id", F.concat("_v", "_w").alias("v")), "rbf", block)
+
+    def product(t: pa.Table) -> pa.Table:
+        own, v = t.column("own").to_numpy(), _rows(t.column("v"))
+        a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+        m, o, half = own == a, own == b, v.shape[1] // 2
+        d = np.abs(_products(v[m, half:], v[o, half:], method, 1.0) - _products(v[m, :half], v[o, :half], method, 1.0))
+        if a == b:
+            d = np.triu(d, 1)
+        return pa.table({"own": [float(m.sum()) if a == b else 0.0], "d": [float(d.sum())], "squares": [float((d * d).sum())], "most": [float(d.max(initial=0.0))]})
+
+    s = tiles.groupBy("a", "b").applyInArrow(product, "own double, d double, squares double, most double")
+    return s.agg(
+        (2 * F.coalesce(F.sum("d"), F.lit(0.0)) / F.greatest(F.coalesce(F.sum("own"), F.lit(0.0)), F.lit(1.0)) ** 2).alias("mean_abs"),
+        F.sqrt(2 * F.coalesce(F.sum("squares"), F.lit(0.0))).alias("frobenius"),
+        F.coalesce(F.max("most"), F.lit(0.0)).alias("max_abs"),
+    )
+
+
 def pair_range(vectors: DataFrame, method: str = "pearson", block: int = BLOCK, weight=None) -> tuple[float, float]:
     """Least and largest positive weight of all pairs."""
     tiles, _ = _blocks(vectors, method, block)

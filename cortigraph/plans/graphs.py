@@ -10,7 +10,7 @@ from cortigraph.functions import arrays as A
 from cortigraph.operators import dynamics, evaluation, graph, noise, sampling, similarity
 from cortigraph.session import cut_lineage, table
 
-#: Weight from which pairs are edges in the sparse graphs below.
+#: Weight from which pairs are edges in pearson_edges, cosine_edges and induced_subgraph.
 LEAST = 0.25
 SCALES = 10
 
@@ -28,7 +28,7 @@ def _edges(method: str, least: float, gamma: float = 1.0):
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph of the queries below; made once and read several times."""
+    """The graph of the pairs above LEAST; made once and read several times."""
     return cut_lineage(similarity.all_pairs(vectors(spark, sf_dir), "pearson", LEAST))
 
 
@@ -63,31 +63,31 @@ def multiscale_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multiscale_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = sparse(spark, sf_dir)
+    e = positive(spark, sf_dir)
     limits = [t - 1e-12 for t in graph.percentile_thresholds(e, 5)]
     return graph.cut(e, limits).groupBy("scale").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.min("w"), 6).alias("least"))
 
 
 def multiscale_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = sparse(spark, sf_dir)
+    e = positive(spark, sf_dir)
     r = e.agg(F.min("w"), F.max("w")).first()
     return graph.cut(e, [t - 1e-12 for t in graph.uniform_thresholds(r[0], r[1], 6)], band=True).groupBy("scale").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("w"), 5).alias("weight"))
 
 
 def multiscale_band_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.rank_bands(sparse(spark, sf_dir), 7).groupBy("scale").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.min("w"), 6).alias("low"), F.round(F.max("w"), 6).alias("high"))
+    return graph.rank_bands(positive(spark, sf_dir), 7).groupBy("scale").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.min("w"), 6).alias("low"), F.round(F.max("w"), 6).alias("high"))
 
 
 def kernel_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.all_pairs(vectors(spark, sf_dir), "pearson", LEAST).select("i", "j", F.round(graph.kernel_weight(F.col("w")), 6).alias("w"))
+    return similarity.all_pairs(vectors(spark, sf_dir), "pearson").select("i", "j", F.round(graph.kernel_weight(F.col("w")), 6).alias("w"))
 
 
 def gaussian_kernel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.gaussian_weight(sparse(spark, sf_dir)).select("i", "j", F.round("w", 6).alias("w"))
+    return graph.gaussian_weight(positive(spark, sf_dir)).select("i", "j", F.round("w", 6).alias("w"))
 
 
 def sparsified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.sparsify(sparse(spark, sf_dir)).select("i", "j", F.round("w", 6).alias("w"))
+    return graph.sparsify(positive(spark, sf_dir)).select("i", "j", F.round("w", 6).alias("w"))
 
 
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,25 +98,25 @@ def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.knn_graph(sparse(spark, sf_dir), 3).select("i", "j", F.round("w", 6).alias("w"))
+    return graph.knn_graph(positive(spark, sf_dir), 3).select("i", "j", F.round("w", 6).alias("w"))
 
 
 def laplacian_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.laplacian(sparse(spark, sf_dir)).select("row", "column", F.round("value", 5).alias("value"))
+    return graph.laplacian(positive(spark, sf_dir)).select("row", "column", F.round("value", 5).alias("value"))
 
 
 def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = graph.degree_stats(sparse(spark, sf_dir), vectors(spark, sf_dir).count())
+    d = graph.degree_stats(positive(spark, sf_dir), vectors(spark, sf_dir).count())
     return d.select("edges", "isolated", *[F.round(c, 5).alias(c) for c in ("avg_degree", "max_degree", "min_degree")])
 
 
 def leave_one_out_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = graph.leave_one_out(sparse(spark, sf_dir), vectors(spark, sf_dir).count())
+    d = graph.leave_one_out(positive(spark, sf_dir), vectors(spark, sf_dir).count())
     return d.select("node", *[F.round(c, 5).alias(c) for c in ("d_sum", "d_mean", "d_std")])
 
 
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = graph.triangles(sparse(spark, sf_dir))
+    t = graph.triangles(positive(spark, sf_dir))
     return t.select(F.explode(F.array("i", "j", "k")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_triangles"))
 
 
@@ -126,12 +126,10 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correlation_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change of the graph by white noise of several strengths."""
-    v = vectors(spark, sf_dir)
-    clean, n, out = sparse(spark, sf_dir), v.count(), None
+    """Change of all correlations by white noise of several strengths."""
+    v, out = vectors(spark, sf_dir), None
     for ratio in (0.1, 0.5, 1.0):
-        noisy = similarity.all_pairs(noise.gaussian(v, "v", "id", ratio), "pearson", LEAST)
-        row = graph.correlation_shift(clean, noisy, n).withColumn("ratio", F.lit(ratio))
+        row = similarity.pair_shift(v, noise.gaussian(v, "v", "id", ratio)).withColumn("ratio", F.lit(ratio))
         out = row if out is None else out.unionByName(row)
     return out
 

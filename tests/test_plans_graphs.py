@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from cortigraph.operators import dynamics
+from cortigraph.operators import dynamics, similarity
 from cortigraph.plans import graphs
 
 
@@ -34,3 +34,26 @@ def test_whole_sweep(spark, embeddings, monkeypatch, name):
     monkeypatch.setattr(dynamics, "evolve", evolve)
     graphs.FOUND[name](spark, embeddings[0])
     assert asked["couplings"] == list(np.arange(0, 20.5, 0.5)) and (asked["steps"], asked["transient"], asked["h"]) == (3000, 2000, 1e-3) and asked.get("stride", 1) == 1
+
+
+def test_every_positive_pair_is_an_edge(spark, embeddings):
+    at, r = embeddings
+    w = r[np.triu_indices(420, 1)]
+    n = int((w > 0).sum())
+    assert graphs.degree_stats(spark, at).first()["edges"] == n
+    assert graphs.sparsified(spark, at).count() == (w >= 1e-6).sum()
+    for name in ("kernel_adjacency", "gaussian_kernel_edges"):
+        assert graphs.FOUND[name](spark, at).count() == n
+    assert graphs.multiscale_percentile(spark, at).where("scale = 2").first()["n_edges"] == (w > 0)[w >= np.median(w[w > 0])].sum()
+
+
+def test_shift_counts_pairs_of_either_sign(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(30, 16))
+    u = v + rng.normal(size=v.shape)
+    frame = lambda x: spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "id bigint, v array<double>")
+    d = np.corrcoef(u) - np.corrcoef(v)
+    for block in (7, 64):
+        got = similarity.pair_shift(frame(v), frame(u), block=block).first()
+        assert tuple(got) == pytest.approx((np.abs(d).mean(), np.linalg.norm(d), np.abs(d).max()))
+    assert tuple(similarity.pair_shift(frame(v[:0]), frame(u[:0])).first()) == (0.0, 0.0, 0.0)
