@@ -6,7 +6,7 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -115,13 +115,20 @@ class Slots:
         return got
 
 
-_DIGIT = re.compile(r"\d")
-_KATAKANA = re.compile("[ァ-ヺー]")
+_DIGITS = re.compile(r"\d+")
+_KATAKANA = re.compile("[ァ-ヺー]+")
+_PIECE = re.compile(r"\d+|[ァ-ヺー]+|.", re.S)
+
+
+def pieces_of(letters: str) -> tuple[list[str], list[str]]:
+    """Letters with every number and katakana word as one piece, and the same with those as placeholders."""
+    pieces = _PIECE.findall(letters)
+    return pieces, [_NUMBER if p[0].isdigit() else _NAME if _KATAKANA.match(p) else p for p in pieces]
 
 
 def _letter_values(letters: str) -> tuple[np.ndarray, np.ndarray]:
-    """Letters as numbers, literally and with digits and katakana names as placeholders."""
-    masked = _KATAKANA.sub("ア", _DIGIT.sub("0", letters))
+    """Letters as numbers, literally and with numbers and katakana words as one placeholder each."""
+    masked = _KATAKANA.sub("ア", _DIGITS.sub("0", letters))
     mix = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
     return mix(letters), mix(masked)
 
@@ -159,7 +166,9 @@ class Item:
             self.lossy_passages = self.passages
             if n:
                 literal, template = _letter_values(self.letters)
-                self.seeds.update(rolled(literal, n).tolist(), rolled(template, n).tolist())
+                self.words, self.template = pieces_of(self.letters)
+                self._spans(LETTERS)
+                self.seeds.update(rolled(literal, n).tolist(), rolled(template, self.span).tolist())
             return
         n = min(WORDS, len(self.words))
         runs = [self.words[i : i + n] for i in range(len(self.words) - n + 1)] if n else []
@@ -178,7 +187,11 @@ class Item:
             # Every run has a window that finds it: by its wording, else by its words.
             self.seeds |= good or {int(rolled(np.array([k[2] for k in keys], np.uint64), w)[0])}
         self.template = [slots.of(w)[1] for w in self.words]
-        n = self.span = min(TEMPLATE_WORDS, len(self.template))
+        self._spans(TEMPLATE_WORDS)
+
+    def _spans(self, most: int) -> None:
+        """Where each window of the template begins."""
+        n = self.span = min(most, len(self.template))
         self.starts: dict[tuple, list[int]] = {}
         for i in range(len(self.template) - n + 1):
             self.starts.setdefault(tuple(self.template[i : i + n]), []).append(i)
@@ -188,7 +201,7 @@ def filled_in(item: Item, words: list[str], template: list[str], windows: dict[i
     """(words, changed slots) of the longest run of the item's wording with other values.
 
     The values must be consistent: a value of the item stands for one value of the
-    document throughout, and back. (0, 0) if there is no run of TEMPLATE_WORDS.
+    document throughout, and back. (0, 0) if there is no run of the item's span.
     `windows` keeps the document's windows by length for the next item.
     """
     n = item.span
@@ -202,19 +215,32 @@ def filled_in(item: Item, words: list[str], template: list[str], windows: dict[i
     for shared in item.starts.keys() & windows[n].keys():
         for i, j in ((i, j) for i in item.starts[shared] for j in windows[n][shared]):
             if i and j and item.template[i - 1] == template[j - 1]:
-                continue  # part of a longer run
-            there: dict[str, str] = {}
-            back: dict[str, str] = {}
-            changed, k = 0, 0
-            while i + k < len(item.template) and j + k < len(template) and item.template[i + k] == template[j + k]:
-                a, b = item.words[i + k], words[j + k]
-                if item.template[i + k] in (_NAME, _NUMBER):
-                    if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                        break
-                    changed += a != b
-                k += 1
-            if k >= n and changed and k > best[0]:
-                best = (k, changed)
+                continue  # inside a run of the template, which is walked from its start
+            best = max(best, consistent_run(item.words, words, item.template, template, i, j, n))
+    return best
+
+
+def consistent_run(ours: Sequence[str], theirs: Sequence[str], template: Sequence[str], other: Sequence[str], i: int, j: int, least: int) -> tuple[int, int]:
+    """(length, changed slots) of the longest consistent run of `least` or more on the diagonal from (i, j), as long as the templates agree.
+
+    At a conflict the run goes on behind the earlier occurrence of the conflicting value.
+    """
+    best, first, changed, k = (0, 0), 0, [0], 0
+    there: dict[str, tuple[str, int]] = {}
+    back: dict[str, tuple[str, int]] = {}
+    while i + k < len(template) and j + k < len(other) and template[i + k] == other[j + k]:
+        a, b = ours[i + k], theirs[j + k]
+        slot = template[i + k] in (_NAME, _NUMBER)
+        if slot:
+            for x, y, map_ in ((a, b, there), (b, a, back)):
+                was = map_.get(x)
+                if was and was[0] != y and was[1] >= first:
+                    first = was[1] + 1
+            there[a], back[b] = (b, k), (a, k)
+        changed.append(changed[-1] + (slot and a != b))
+        k += 1
+        if k - first >= least and changed[k] > changed[first]:
+            best = max(best, (k - first, changed[k] - changed[first]))
     return best
 
 
@@ -227,7 +253,7 @@ def _pass(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, str |
     slots = Slots(wording)
     known = [Item(i, lang, t, slots) for i, lang, t in items]
     widths = sorted({x.width for x in known if x.width and not x.unspaced})
-    letter_widths = sorted({x.width for x in known if x.width and x.unspaced})
+    letter_widths = sorted({w for x in known if x.width and x.unspaced for w in (x.width, x.span)})
     signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
     windows = [(signed(h), x.id) for x in known for h in x.seeds]
     shared = spark.sparkContext.broadcast((wording, widths, letter_widths, np.array(sorted({h for x in known for h in x.seeds}), np.uint64), {i: (lang, t) for i, lang, t in items}))
@@ -273,11 +299,12 @@ def _pass(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, str |
                 left = [f" {' '.join(k for k in (slots.of(x)[0] for x in w) if k)} " if "�" in s else "" for w, s in zip(words, forms)]
                 letters = ["".join(w) for w in words]
                 template, windows = [slots.of(w)[1] for w in words[-1]], {}
+                unspaced = (*pieces_of(letters[-1]), {})
                 for item_id in sorted(items):
                     x = made.get(item_id) or made.setdefault(item_id, Item(item_id, *texts[item_id], slots))
                     where = letters if x.unspaced else plain
                     verbatim = any(p in s for s in where for p in x.passages) or not x.unspaced and any(p in s for s in left if s for p in x.lossy_passages)
-                    run, changed = (len(x.letters) if x.unspaced else len(x.words), 0) if verbatim else (0, 0) if x.unspaced else filled_in(x, words[-1], template, windows)
+                    run, changed = (len(x.letters) if x.unspaced else len(x.words), 0) if verbatim else filled_in(x, *unspaced) if x.unspaced else filled_in(x, words[-1], template, windows)
                     if run:
                         rows.append(i)
                         for o, v in zip(out, (item_id, "verbatim" if verbatim else "template", run, changed)):
@@ -296,7 +323,9 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     it has fewer), or LETTERS consecutive letters and digits for items in
     languages written without blanks; n_words is then the item's length. kind
     'template': no such passage, but at least TEMPLATE_WORDS words of the item's
-    wording in which names and numbers were replaced, each consistently.
+    wording in which names and numbers were replaced, each consistently; in languages
+    without blanks at least LETTERS letters in which numbers and katakana words were
+    (each counts as one letter; names in Han letters can't be told from wording).
 
     Documents and items are canonicalised alike (see `canonical`), words that
     aren't part of the items' wording, numbers and units become typed

@@ -44,6 +44,25 @@ def test_other_values_must_be_consistent(spark):
     assert (1, 1, "template") in got and not any(k == "verbatim" for *_, k in got)
 
 
+def test_other_values_without_blanks(spark):
+    ja = "タハスシは532年に古い橋のそばで灯りを55個数え、それからルラミキに渡して家へ帰った。"
+    e = spark.createDataFrame([(1, ZH, "zh"), (2, ja, "ja")], "item_id bigint, text string, lang string")
+    docs = [(1, ZH.replace("532", "41").replace("55", "7")), (2, ja.replace("タハスシ", "ミロ").replace("532", "1041").replace("55", "7")), (3, ja[:16]), (4, "没有。" + ZH[::-1])]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in leakage.leaked_items(d, "doc_id", "text", e, "item_id", "text", "lang").collect()}
+    assert {(2, 2, "template")} <= got and {x[:2] for x in got} == {(1, 1), (2, 2)}
+
+
+def test_run_behind_a_conflict():
+    wording = frozenset("item and then came with many good words about the".split())
+    ours = "item 3 and item 5 then came with many good words about the Bolo item and Rima then came with many good words about the 8 items".split()
+    theirs = [{"3": "7", "5": "7", "Bolo": "Xu", "8": "9"}.get(w, w) for w in ours]
+    item = leakage.Item(1, "en", " ".join(ours), slots := leakage.Slots(wording))
+    words = [w.lower() for w in theirs]
+    length, changed = leakage.filled_in(item, words, [slots.of(w)[1] for w in words], {})
+    assert (length, changed) == (len(ours) - 2, 3)
+
+
 def test_lost_and_wrong_letters(spark):
     item = "¿Cuántas de las 815 casas de Lanixakar compró Drahulwara después de que Modenisi dejó Lemanizel en 617?"
     d = spark.createDataFrame([(1, item.encode().decode("cp1252", "replace")), (2, item.encode("cp1252").decode("utf-8", "replace")), (3, item)], "doc_id bigint, text string")
