@@ -7,14 +7,19 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cortigraph.session import shuffle_partitions
+from cortigraph.session import cut_lineage, shuffle_partitions
 
 
 def partition_salts(spark: SparkSession, n: int) -> list[int]:
     """For each of n hash partitions an integer that Spark's hash puts there."""
-    rows = spark.range(64 * n).select(F.col("id").cast("int").alias("v"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("v").alias("v")).collect()
-    found = {r.p: r.v for r in rows}
-    return [found.get(p, p) for p in range(n)]
+    found: dict[int, int] = {}
+    first, step = 0, 64 * n
+    while len(found) < n:
+        part = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")
+        for r in spark.range(first, first + step).select(F.col("id").cast("int").alias("v"), part).groupBy("p").agg(F.min("v").alias("v")).collect():
+            found.setdefault(r.p, r.v)
+        first += step
+    return [found[p] for p in range(n)]
 
 
 def pack(loads: list[tuple[object, int]], n: int) -> dict[object, int]:
@@ -32,11 +37,11 @@ class LoadPlan:
     """Where the rows of each key go.
 
     cells: hash cell of light keys to task salt. heavy: one row per shard of a
-    heavy key (_key, _shard, _shards, _salt).
+    heavy key (_key, _shard, _shards, _salt). loads: planned rows of each task.
     """
 
-    def __init__(self, cells: DataFrame, heavy: DataFrame, n_cells: int, tasks: int):
-        self.cells, self.heavy, self.n_cells, self.tasks = cells, heavy, n_cells, tasks
+    def __init__(self, cells: DataFrame, heavy: DataFrame, n_cells: int, loads: list[int]):
+        self.cells, self.heavy, self.n_cells, self.loads, self.tasks = cells, heavy, n_cells, loads, len(loads)
 
 
 def plan_loads(df: DataFrame, key: str, tasks: int | None = None, pieces_per_task: int = 4, n_cells: int = 2048) -> LoadPlan:
@@ -64,63 +69,68 @@ def plan_loads(df: DataFrame, key: str, tasks: int | None = None, pieces_per_tas
     for r in big:
         items += [(("key", r["_key"], s), -(-r["_n"] // shards[r["_key"]])) for s in range(shards[r["_key"]])]
     placed = pack(items, tasks)
+    planned = [0] * tasks
+    for item, load in items:
+        planned[placed[item]] += load
     salt = partition_salts(spark, tasks)
     kind = df.schema[key].dataType.simpleString()
     cells = spark.createDataFrame([(k[1], salt[t]) for k, t in placed.items() if k[0] == "cell"], "_cell int, _salt int")
     heavy = spark.createDataFrame([(k[1], k[2], shards[k[1]], salt[t]) for k, t in placed.items() if k[0] == "key"], f"_key {kind}, _shard int, _shards int, _salt int")
-    return LoadPlan(cells, heavy, n_cells, tasks)
+    return LoadPlan(cells, heavy, n_cells, planned)
+
+
+def _placed(df: DataFrame, key: str, shard: Column, plan: LoadPlan) -> DataFrame:
+    """df with _shard and _salt; `shard` may use _shards, the shards of the row's key (null for light keys).
+
+    Both lists are bounded by the plan's parameters (n_cells, tasks * pieces_per_task).
+    """
+    counts = F.broadcast(plan.heavy.groupBy("_key").agg(F.first("_shards").alias("_shards")))
+    heavy = F.broadcast(plan.heavy.select(F.col("_key").alias("_hk"), F.col("_shard").alias("_hs"), F.col("_salt").alias("_hsalt")))
+    cell = F.when(F.col("_shards").isNull(), F.pmod(F.xxhash64(key), F.lit(plan.n_cells)).cast("int"))
+    rows = df.where(F.col(key).isNotNull()).join(counts, F.col(key) == F.col("_key"), "left").drop("_key")
+    rows = rows.withColumn("_shard", shard).withColumn("_cell", cell)
+    rows = rows.join(F.broadcast(plan.cells), "_cell", "left").join(heavy, (F.col(key) == F.col("_hk")) & (F.col("_shard") == F.col("_hs")), "left")
+    return rows.withColumn("_salt", F.coalesce("_hsalt", "_salt")).drop("_hk", "_hs", "_hsalt", "_cell", "_shards")
 
 
 def fragment_replicate(df: DataFrame, key: str, spread: list[str], side: DataFrame, side_key: str, plan: LoadPlan) -> DataFrame:
-    """Left join of a skewed table with its matching side, on the plan's tasks.
+    """Rows and their matching side on the plan's tasks: _key, _shard, _salt, _row, _side.
 
     Rows of a heavy key are dealt over its shards by the hash of `spread` and the
-    matching row is replicated to those shards only; rows of light keys go where
-    their cell was packed. The result is partitioned by _salt and has _shard
-    (0 for light keys), so that a grouping by (_salt, key) needs no shuffle.
-    Rows with a null key match nothing and are left out.
+    matching side is replicated to those shards only; what belongs to light keys
+    goes where their cell was packed. Both travel in one exchange by _salt alone,
+    whose partitions are the plan's tasks: of _row and _side (structs) one is
+    null. A grouping or window by (_salt, _shard, _key) needs no further shuffle.
+    Rows with a null key match nothing and are left out, and so are sides that no
+    row needs.
     """
-    # Both lists are bounded by the plan's parameters (n_cells, tasks * pieces_per_task).
-    counts = F.broadcast(plan.heavy.groupBy("_key").agg(F.first("_shards").alias("_shards")))
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(plan.n_cells)).cast("int")
-    left = (
-        df.where(F.col(key).isNotNull())
-        .join(counts, F.col(key) == counts["_key"], "left")
-        .drop("_key")
-        .withColumn("_shard", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_shards")), F.lit(0)).cast("int"))
-        .withColumn("_cell", F.when(F.col("_shards").isNull(), cell(key)))
-    )
-    heavy = plan.heavy.select(F.col("_key").alias("_hk"), F.col("_shard").alias("_hs"), F.col("_salt").alias("_hsalt"))
-    place = lambda d, k: (
-        d.join(F.broadcast(plan.cells), "_cell", "left")
-        .join(F.broadcast(heavy), (F.col(k) == F.col("_hk")) & (F.col("_shard") == F.col("_hs")), "left")
-        .withColumn("_salt", F.coalesce("_hsalt", "_salt"))
-        .drop("_hk", "_hs", "_hsalt", "_cell", "_shards")
-    )
-    left = place(left, key).repartition(plan.tasks, "_salt")
-    right = (
-        side.where(F.col(side_key).isNotNull())
-        .join(counts, F.col(side_key) == counts["_key"], "left")
-        .drop("_key")
-        .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shards"), F.lit(1)) - 1)))
-        .withColumn("_cell", F.when(F.col("_shards").isNull(), cell(side_key)))
-    )
-    right = place(right, side_key).where("_salt is not null").withColumnRenamed("_salt", "_rsalt").withColumnRenamed("_shard", "_rshard").repartition(plan.tasks, "_rsalt")
-    on = (F.col("_salt") == F.col("_rsalt")) & (F.col(key) == F.col(side_key)) & (F.col("_shard") == F.col("_rshard"))
-    return left.join(right.hint("merge"), on, "left").drop("_rsalt", "_rshard")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shards"), F.lit(1)) - 1))
+    one = df.withColumn("_row", F.struct(*[F.col(c) for c in df.columns])).withColumn("_k", F.col(key)).select("_k", "_row", *[F.col(c).alias(f"_sp{i}") for i, c in enumerate(spread)])
+    dealt = F.coalesce(F.pmod(F.xxhash64(*[f"_sp{i}" for i in range(len(spread))]), F.col("_shards")), F.lit(0)).cast("int")
+    two = side.select(F.col(side_key).alias("_k"), F.struct(*[F.col(c) for c in side.columns]).alias("_side"))
+    left = _placed(one, "_k", dealt, plan).select(F.col("_k").alias("_key"), "_shard", "_salt", "_row")
+    right = _placed(two, "_k", copies, plan).where("_salt is not null").select(F.col("_k").alias("_key"), "_shard", "_salt", "_side")
+    return left.unionByName(right, allowMissingColumns=True).repartition(plan.tasks, "_salt")
 
 
 def top_per_key(df: DataFrame, key: str, order: list[Column], k: int, spread: list[str], side: DataFrame, side_key: str, tasks: int | None = None) -> DataFrame:
     """The first k rows of each key by `order`, joined to the matching side.
 
-    Each shard keeps its own first k, then the shards' winners of a key are
-    merged: at most k rows per shard reach the merge. `order` must be total for
-    ties to be defined. Rows with a null key are left out; an empty table gives an
-    empty result; columns of df and side must have different names.
+    Each shard keeps its own first k on the task the plan packed it to, with the
+    side that was replicated there; then the shards' winners of a key are merged:
+    at most k rows per shard reach the merge. `order` must be total for ties to be
+    defined; columns of df and side must have different names, and side has one
+    row per key (of several the first by value is taken). Rows with a null key are
+    left out; rows without a side get nulls; an empty table gives an empty result.
     """
+    df = cut_lineage(df)  # read for the loads and for the shards
     plan = plan_loads(df, key, tasks)
-    joined = fragment_replicate(df, key, spread, side, side_key, plan)
-    shard = Window.partitionBy("_salt", "_shard", key).orderBy(*order)
-    winners = joined.withColumn("_rank", F.row_number().over(shard)).where(F.col("_rank") <= k)
-    whole = Window.partitionBy(key).orderBy(*order)
-    return winners.withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= k).drop("_salt", "_shard", "_rank")
+    both = fragment_replicate(df, key, spread, side, side_key, plan)
+    values = both.select("_key", "_shard", "_salt", "_side", F.col("_row").isNotNull().alias("_is_row"), "_row.*")
+    shard = Window.partitionBy("_salt", "_shard", "_key").orderBy("_is_row", "_side", *order)
+    placed = values.withColumn("_found", F.first("_side", ignorenulls=True).over(shard)).withColumn("_at", F.row_number().over(shard))
+    # The side comes before the rows, so that k rows are among the first k + 1.
+    winners = placed.where((F.col("_at") <= k + 1) & F.col("_is_row")).select("_key", "_found", *df.columns)
+    whole = Window.partitionBy("_key").orderBy(*order)
+    best = winners.withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= k)
+    return best.select(*df.columns, *[F.col(f"_found.{c}").alias(c) for c in side.columns])

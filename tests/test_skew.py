@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cortigraph.operators.skew import pack, partition_salts, plan_loads, top_per_key
+from cortigraph.operators.skew import fragment_replicate, pack, partition_salts, plan_loads, top_per_key
 
 SCHEMA = "key string, id bigint, n int, clean string"
 
@@ -47,3 +47,34 @@ def test_packing_and_salts(spark):
     salts = partition_salts(spark, 8)
     parts = spark.createDataFrame([(s,) for s in salts], "s int").select(F.pmod(F.hash("s"), F.lit(8)).alias("p")).collect()
     assert [r["p"] for r in parts] == list(range(8))
+
+
+def skewed(spark):
+    return spark.range(6000).select("id", F.when(F.col("id") < 3000, F.lit("hot")).when(F.col("id") < 4000, F.lit("warm")).otherwise(F.concat(F.lit("k"), (F.col("id") % 300).cast("string"))).alias("key"))
+
+
+def test_tasks_hold_what_was_planned(spark):
+    df = skewed(spark)
+    plan = plan_loads(df, "key", tasks=8)
+    side = df.select(F.col("key").alias("info_key")).distinct().withColumn("clean", F.upper("info_key"))
+    placed = fragment_replicate(df, "key", ["id"], side, "info_key", plan).withColumn("task", F.spark_partition_id())
+    rows = {r["task"]: (r["n"], r["salts"]) for r in placed.where("_row is not null").groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_salt").alias("salts")).collect()}
+    assert sum(n for n, _ in rows.values()) == 6000 and 0 <= sum(plan.loads) - 6000 < plan.heavy.count()  # shards are rounded up
+    # Shards of a heavy key are dealt by hash, so a task may be off by their chance deviation only.
+    assert len(rows) == 8 and all(salts == 1 and abs(n - plan.loads[t]) < 0.1 * plan.loads[t] for t, (n, salts) in rows.items())
+    assert max(plan.loads) <= 1.05 * 6000 / 8
+    copies = {r["_key"]: r["n"] for r in placed.where("_side is not null").groupBy("_key").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shards = {r["_key"]: r["_shards"] for r in plan.heavy.collect()}
+    assert all(copies[k] == shards.get(k, 1) for k in copies) and set(shards) == {"hot", "warm"}
+
+
+def test_one_exchange_by_task(spark):
+    df = skewed(spark)
+    side = df.select(F.col("key").alias("info_key")).distinct()
+    top = top_per_key(df, "key", [F.col("id").desc()], 2, ["id"], side, "info_key", 8)
+    top.collect()
+    plan = top._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    wide = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert sum("_salt" in x for x in wide) == 1
+    assert all(x.count("_salt") == 1 and "_shard" not in x for x in wide if "_salt" in x)
+    assert "SortMergeJoin" not in plan
