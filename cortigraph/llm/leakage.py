@@ -5,8 +5,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Container, Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,11 @@ WORDS, LETTERS = 12, 24
 SEED, FIRM = 8, 3
 #: Words of a passage that is the same but for its values.
 TEMPLATE_WORDS = 16
-#: Items of one pass over the documents; more are taken in several passes.
-ITEMS_PER_PASS = 20_000
+#: Bits of the filters that stand for sets of words and windows in the scan: their size doesn't grow with the items.
+FILTER_BITS = 1 << 26
 UNSPACED = ("zh", "ja")
 
-# Units counted in texts of this kind, by language.
-UNITS = frozenset("marks coins days loads houses years gulden säcke höfe écus caisses maisons monedas cajas casas moedas caixas монет домов ящиков monet domów skrzyń km kg m".split())
-
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _BLOCK = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|h[1-6]|table)\b[^<>]*>", re.I)
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿͏؜᠎]")
 _MARK = re.compile("[̀-ͯ]")
@@ -95,11 +93,40 @@ def rolled(values: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+class Filter:
+    """A set of 64-bit hashes as two bits each of FILTER_BITS: nothing in it is missed, few others are taken for members."""
+
+    def __init__(self, slots: np.ndarray, bits: np.ndarray):
+        dense = np.zeros(FILTER_BITS >> 6, np.uint64)
+        dense[slots] = bits
+        self.dense, self.raw = dense, memoryview(dense).cast("B")
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for shift in (0, 32):
+            at = (hashes >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
+            out &= (self.dense[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+    def __contains__(self, word: str) -> bool:
+        h = _hash(word)
+        a, b = h & (FILTER_BITS - 1), h >> 32 & (FILTER_BITS - 1)
+        return bool(self.raw[a >> 3] >> (a & 7) & 1 and self.raw[b >> 3] >> (b & 7) & 1)
+
+
+def filter_of(hashes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Filter's content for a table of hashes (hash bigint): at most FILTER_BITS / 64 numbers, whatever the table."""
+    at = F.explode(F.array(*[F.shiftrightunsigned("hash", n).bitwiseAND(F.lit(FILTER_BITS - 1)) for n in (0, 32)]))
+    bits = hashes.select(at.alias("at")).select((F.col("at") / 64).cast("int").alias("slot"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int")).alias("bit"))
+    t = bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    return t.column("slot").to_numpy(), t.column("bits").to_numpy().astype(np.uint64)
+
+
 class Slots:
     """Typed placeholders: numbers, units, and every word that is no part of the items' wording."""
 
-    def __init__(self, wording: frozenset[str]):
-        self.wording = wording
+    def __init__(self, wording: Container[str], units: Container[str] = frozenset()):
+        self.wording, self.units = wording, units
         self.keys: dict[str, tuple[str, str, int, int]] = {}
 
     def of(self, word: str) -> tuple[str, str, int, int]:
@@ -107,7 +134,7 @@ class Slots:
         got = self.keys.get(word)
         if got is None:
             key = lossy(word)
-            slot = _NUMBER if word.isdigit() else _UNIT if word in UNITS else key if key in self.wording else _NAME
+            slot = _NUMBER if word.isdigit() else _UNIT if key in self.units else key if key in self.wording else _NAME
             got = (key, slot, _hash(key), _hash(slot))
             if len(self.keys) > 300_000:
                 self.keys.clear()
@@ -158,7 +185,7 @@ class Item:
         self.unspaced = (lang or "").lower()[:2] in UNSPACED
         self.words = words_of(s)
         self.letters = letters_of(s)
-        self.seeds: set[int] = set()
+        self.seeds: dict[int, int] = {}
         if self.unspaced:
             n = min(LETTERS, len(self.letters))
             self.width = n
@@ -168,7 +195,7 @@ class Item:
                 literal, template = _letter_values(self.letters)
                 self.words, self.template = pieces_of(self.letters)
                 self._spans(LETTERS)
-                self.seeds.update(rolled(literal, n).tolist(), rolled(template, self.span).tolist())
+                self.seeds |= dict.fromkeys(rolled(literal, n).tolist(), n) | dict.fromkeys(rolled(template, self.span).tolist(), self.span)
             return
         n = min(WORDS, len(self.words))
         runs = [self.words[i : i + n] for i in range(len(self.words) - n + 1)] if n else []
@@ -178,17 +205,22 @@ class Item:
         for r in runs:
             keys = [k for k in map(slots.of, r) if k[0]]
             self.lossy_passages.add(f" {' '.join(k[0] for k in keys)} ")
-            w = self.width = min(SEED, len(keys))
+            w = min(SEED, len(keys))
             if not w:
                 continue
+            self.width = w
             template = np.array([k[3] for k in keys], np.uint64)
             firm = [sum(k[1] != _NAME for k in keys[i : i + w]) for i in range(len(keys) - w + 1)]
             good = {int(h) for h, f in zip(rolled(template, w), firm) if f >= FIRM}
             # Every run has a window that finds it: by its wording, else by its words.
-            self.seeds |= good or {int(rolled(np.array([k[2] for k in keys], np.uint64), w)[0])}
+            self.seeds |= dict.fromkeys(good or {int(rolled(np.array([k[2] for k in keys], np.uint64), w)[0])}, w)
         self.template = [slots.of(w)[1] for w in self.words]
         self._spans(TEMPLATE_WORDS)
 
+    def windows(self) -> Iterator[tuple[int, int]]:
+        """(hash, width) of the windows that find the item."""
+        yield from self.seeds.items()
+
     def _spans(self, most: int) -> None:
         """Where each window of the template begins."""
         n = self.span = min(most, len(self.template))
@@ -244,24 +276,104 @@ def consistent_run(ours: Sequence[str], theirs: Sequence[str], template: Sequenc
     return best
 
 
-def _pass(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, str | None, str]]) -> DataFrame:
+def _signed(h: np.ndarray) -> np.ndarray:
+    return h.astype(np.uint64).view(np.int64)
+
+
+def word_counts(items: DataFrame, text: str) -> DataFrame:
+    """hash, n_items, n, n_counted of the items' words: items and places they stand in, places behind a number."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for v in b.column(0):
+                seen: dict[str, list[int]] = {}
+                before = ""
+                for w in words_of(canonical(v.as_py())):
+                    if (key := lossy(w)) and not w.isdigit():
+                        n = seen.setdefault(key, [0, 0])
+                        n[0] += 1
+                        n[1] += before.isdigit()
+                    before = w
+                out[0].extend(map(_hash, seen))
+                for i in (0, 1):
+                    out[i + 1].extend(n[i] for n in seen.values())
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(out[0], np.uint64))), *[pa.array(x, pa.int64()) for x in out[1:]]], names=["hash", "n", "n_counted"])
+
+    one = items.select(text).mapInArrow(count, "hash bigint, n bigint, n_counted bigint")
+    return one.groupBy("hash").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n").alias("n"), F.sum("n_counted").alias("n_counted"))
+
+
+def covered(item: Item, text: str, words: list[str]) -> set[int]:
+    """Places of the words (one blank before and after each in `text`) that hold the item's passages."""
+    out: set[int] = set()
+    starts = None
+    for p in item.passages:
+        at = text.find(p)
+        while at >= 0:
+            if starts is None:
+                starts = [0, *accumulate(len(w) + 1 for w in words)]
+            first = bisect_right(starts, at) - 1
+            out.update(range(first, first + p.count(" ") - 1))
+            at = text.find(p, at + 1)
+    return out
+
+
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, item_lang: str) -> DataFrame:
+    """(doc id, item_id, kind, n_words, n_changed): documents that hold items.
+
+    kind 'verbatim': at least WORDS consecutive words of the item (all of them if
+    it has fewer), or LETTERS consecutive letters and digits for items in
+    languages written without blanks; n_words is then the item's length. kind
+    'template': no such passage, but at least TEMPLATE_WORDS words of the item's
+    wording in which names and numbers were replaced, each consistently; in languages
+    without blanks at least LETTERS letters in which numbers and katakana words were
+    (each counts as one letter; names in Han letters can't be told from wording).
+    A passage that is another item verbatim is no template of this one.
+
+    Documents and items are canonicalised alike (see `canonical`); numbers, units
+    and words that aren't part of the items' wording become typed placeholders,
+    and windows of SEED words are joined by hash. Wording are the words of two
+    items or more, units those of them that stand behind a number in half of their
+    places or more; both are counted over all items. The passages of the joined pairs
+    are then compared, so a shared hash or template alone reports nothing. Lost
+    letters (U+FFFD) match any letter. Null, empty and repeated items and texts:
+    null and empty match nothing, repeated documents give repeated rows, null
+    document ids stay null; item ids are unique.
+
+    Words, windows and texts of the items are tables. What the scan of the
+    documents is given of them are filters of a fixed size, so neither the driver
+    nor a broadcast holds more when there are more items, and one pass over the
+    documents does for any number; what a filter lets through in vain dies in the
+    join. Documents without a shared window are dropped in the scan; there is no
+    shuffle of texts but of those with one.
+    """
     spark = docs.sparkSession
-    met: Counter = Counter()
-    for _, _, t in items:
-        met.update({lossy(w) for w in words_of(canonical(t))})
-    wording = frozenset(w for w, n in met.items() if n > 1 and w)
-    slots = Slots(wording)
-    known = [Item(i, lang, t, slots) for i, lang, t in items]
-    widths = sorted({x.width for x in known if x.width and not x.unspaced})
-    letter_widths = sorted({w for x in known if x.width and x.unspaced for w in (x.width, x.span)})
-    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-    windows = [(signed(h), x.id) for x in known for h in x.seeds]
-    shared = spark.sparkContext.broadcast((wording, widths, letter_widths, np.array(sorted({h for x in known for h in x.seeds}), np.uint64), {i: (lang, t) for i, lang, t in items}))
+    rows = items.where(F.col(item_id).isNotNull() & (F.length(item_text) > 0)).select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_lang).alias("lang"), F.col(item_text).alias("text"))
     id_type = docs.schema[doc_id].dataType.simpleString()
+    words = cut_lineage(word_counts(rows, "text").where("n_items > 1"))
+    wording = spark.sparkContext.broadcast((filter_of(words), filter_of(words.where("2 * n_counted >= n"))))
+
+    def slots_of() -> Slots:
+        return Slots(Filter(*wording.value[0]), Filter(*wording.value[1]))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = slots_of()
+        for b in batches:
+            found = []
+            for i, lang, t in zip(*(c.to_pylist() for c in b.columns)):
+                x = Item(i, lang, t, slots)
+                found += [(h, i, w, x.unspaced) for h, w in x.windows()]
+            h, i, w, u = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(h, np.uint64))), pa.array(i, pa.int64()), pa.array(w, pa.int32()), pa.array(u, pa.bool_())], names=["hash", "item_id", "width", "unspaced"])
+
+    sought = cut_lineage(rows.mapInArrow(windows, "hash bigint, item_id bigint, width int, unspaced boolean"))
+    kinds = [(r["unspaced"], r["width"]) for r in sought.select("unspaced", "width").distinct().collect()]  # widths are at most SEED and LETTERS
+    shared = spark.sparkContext.broadcast((sorted(w for u, w in kinds if not u), sorted(w for u, w in kinds if u), filter_of(sought)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wording, widths, letter_widths, sought, _ = shared.value
-        slots = Slots(wording)
+        widths, letter_widths, content = shared.value
+        slots, known = slots_of(), Filter(*content)
         for b in batches:
             rows, hits, texts = [], [], []
             for i, v in enumerate(b.column(1)):
@@ -272,78 +384,63 @@ def _pass(docs: DataFrame, doc_id: str, text: str, items: list[tuple[int, str |
                 if _HYPHEN.search(t):
                     forms.append(canonical(_HYPHEN.sub("", t)))
                 found = np.concatenate([seeds_of(s, slots, widths, letter_widths) for s in forms])
-                at = np.searchsorted(sought, found)
-                at[at == len(sought)] = 0
-                hit = np.unique(found[sought[at] == found]) if len(sought) else found[:0]
+                hit = np.unique(found[known.holds(found)])
                 if len(hit):
                     rows.append(i)
-                    hits.append(hit.astype(np.int64))
+                    hits.append(_signed(hit))
                     texts.append("\x00".join(forms))
             ids = b.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(hits, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["id", "hits", "forms"])
 
     # Only documents that share a window with an item go on; they are written once and read twice.
     held = cut_lineage(docs.select(doc_id, text).mapInArrow(find, f"id {id_type}, hits array<bigint>, forms string").withColumn("row", F.monotonically_increasing_id()))
-    table = spark.createDataFrame(windows, "hash bigint, item_id bigint") if windows else spark.createDataFrame([], "hash bigint, item_id bigint")
-    pairs = held.select("row", F.explode("hits").alias("hash")).join(F.broadcast(table), "hash").groupBy("row").agg(F.collect_set("item_id").alias("items"))
+    pairs = held.select("row", F.explode("hits").alias("hash")).join(sought.select("hash", "item_id").distinct(), "hash").select("row", "item_id").distinct()
+    pairs = pairs.join(rows, "item_id").groupBy("row").agg(F.collect_list(F.struct("item_id", "lang", "text")).alias("items"))
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wording, _, _, _, texts = shared.value
-        slots, made = Slots(wording), {}
+        slots, made = slots_of(), {}
         for b in batches:
             rows, out = [], ([], [], [], [])
             for i, (forms, items) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                forms = forms.split("\x00")
-                words = [words_of(s) for s in forms]
-                plain = [f" {' '.join(w)} " for w in words]
-                left = [f" {' '.join(k for k in (slots.of(x)[0] for x in w) if k)} " if "�" in s else "" for w, s in zip(words, forms)]
-                letters = ["".join(w) for w in words]
-                template, windows = [slots.of(w)[1] for w in words[-1]], {}
-                unspaced = (*pieces_of(letters[-1]), {})
-                for item_id in sorted(items):
-                    x = made.get(item_id) or made.setdefault(item_id, Item(item_id, *texts[item_id], slots))
-                    where = letters if x.unspaced else plain
-                    verbatim = any(p in s for s in where for p in x.passages) or not x.unspaced and any(p in s for s in left if s for p in x.lossy_passages)
-                    run, changed = (len(x.letters) if x.unspaced else len(x.words), 0) if verbatim else filled_in(x, *unspaced) if x.unspaced else filled_in(x, words[-1], template, windows)
-                    if run:
-                        rows.append(i)
-                        for o, v in zip(out, (item_id, "verbatim" if verbatim else "template", run, changed)):
-                            o.append(v)
+                if len(made) > 20_000:
+                    made.clear()
+                known = [made.get(r["item_id"]) or made.setdefault(r["item_id"], Item(r["item_id"], r["lang"], r["text"], slots)) for r in items]
+                for item_id, verbatim, run, changed in held_items(forms.split("\x00"), sorted(known, key=lambda x: x.id), slots):
+                    rows.append(i)
+                    for o, v in zip(out, (item_id, "verbatim" if verbatim else "template", run, changed)):
+                        o.append(v)
             cols = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *cols], names=["id", "item_id", "kind", "n_words", "n_changed"])
 
     both = held.join(pairs, "row").select("id", "forms", "items")
-    return both.mapInArrow(prove, f"id {id_type}, item_id bigint, kind string, n_words int, n_changed int")
-
-
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, item_lang: str) -> DataFrame:
-    """(doc id, item_id, kind, n_words, n_changed): documents that hold items.
-
-    kind 'verbatim': at least WORDS consecutive words of the item (all of them if
-    it has fewer), or LETTERS consecutive letters and digits for items in
-    languages written without blanks; n_words is then the item's length. kind
-    'template': no such passage, but at least TEMPLATE_WORDS words of the item's
-    wording in which names and numbers were replaced, each consistently; in languages
-    without blanks at least LETTERS letters in which numbers and katakana words were
-    (each counts as one letter; names in Han letters can't be told from wording).
-
-    Documents and items are canonicalised alike (see `canonical`), words that
-    aren't part of the items' wording, numbers and units become typed
-    placeholders, and windows of SEED words are joined by hash. The passages of
-    the joined pairs are then compared, so a shared hash or template alone
-    reports nothing. Lost letters (U+FFFD) match any letter. Null, empty and
-    repeated items and texts: null and empty match nothing, repeated documents
-    give repeated rows, null document ids stay null; item ids are unique.
-
-    The items are a test set: they are collected, ITEMS_PER_PASS at a time, each
-    pass reading the documents once. Documents without a shared window are
-    dropped in the scan; there is no shuffle of texts but of those with one.
-    """
-    rows = items.where(F.col(item_id).isNotNull() & (F.length(item_text) > 0)).select(item_id, item_lang, item_text)
-    passes = max(1, -(-rows.count() // ITEMS_PER_PASS))
-    out = None
-    for p in range(passes):
-        part = rows.where(F.pmod(F.xxhash64(item_id), F.lit(passes)) == p)
-        found = _pass(docs, doc_id, text, [(r[0], r[1], r[2]) for r in part.collect()])
-        out = found if out is None else out.unionAll(found)
-    return out.withColumnRenamed("id", doc_id)
+    return both.mapInArrow(prove, f"id {id_type}, item_id bigint, kind string, n_words int, n_changed int").withColumnRenamed("id", doc_id)
+
+
+def held_items(forms: list[str], items: list[Item], slots: Slots) -> Iterator[tuple[int, bool, int, int]]:
+    """(item id, verbatim, words, changed slots) of the items that a document's canonical forms hold."""
+    words = [words_of(s) for s in forms]
+    plain = [f" {' '.join(w)} " for w in words]
+    left = [f" {' '.join(k for k in (slots.of(x)[0] for x in w) if k)} " if "�" in s else "" for w, s in zip(words, forms)]
+    letters = ["".join(w) for w in words]
+    taken: set[int] = set()
+    rest, others = letters[-1], []
+    for x in items:
+        where = letters if x.unspaced else plain
+        if any(p in s for s in where for p in x.passages) or not x.unspaced and any(p in s for s in left if s for p in x.lossy_passages):
+            yield x.id, True, len(x.letters) if x.unspaced else len(x.words), 0
+            if x.unspaced:
+                for p in x.passages:
+                    rest = rest.replace(p, "\x02" * len(p))
+            else:
+                taken |= covered(x, plain[-1], words[-1])
+        else:
+            others.append(x)
+    if not others:
+        return
+    # What is an item verbatim can't be a template of another.
+    template, windows = ["\x02" if i in taken else slots.of(w)[1] for i, w in enumerate(words[-1])], {}
+    unspaced = (*pieces_of(rest), {})
+    for x in others:
+        run, changed = filled_in(x, *unspaced) if x.unspaced else filled_in(x, words[-1], template, windows)
+        if run:
+            yield x.id, False, run, changed

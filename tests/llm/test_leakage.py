@@ -81,3 +81,37 @@ def test_repair_keeps_places():
     s, places = repair("a Ã© â€œb")
     assert s == "a é “b" and [places[i] for i in (0, 2, 4, 5)] == [0, 2, 5, 8] and places[-1] == 9
     assert repair("plain é text") == ("plain é text", None)
+
+
+def test_items_may_be_stored_in_any_pieces(spark):
+    items = [(i, f"In {100 + i} the ordinary orchard of Place{i} was described by Name{i} and later sent to Town{i} for {i} coins and {i} houses.", "en") for i in range(60)]
+    e = spark.createDataFrame(items, "item_id bigint, text string, lang string")
+    docs = [(i, items[i][1] if i % 2 else items[i][1].replace(f"Town{i}", "Velda").replace(f"Name{i}", "Mirko")) for i in range(0, 60, 7)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    run = lambda e: sorted(map(tuple, leakage.leaked_items(d, "doc_id", "text", e, "item_id", "text", "lang").collect()))
+    assert run(e.repartition(1)) == run(e.repartition(13)) and len(run(e.repartition(3, "item_id"))) > len(docs)
+
+
+def test_units_are_learnt(spark):
+    e = spark.createDataFrame([(i, f"They gave {i} lanterns to the man and the lanterns of {i} men were red.") for i in range(9)] + [(9, "The old tower.")], "item_id bigint, text string")
+    got = {r["hash"]: (r["n_items"], r["n"], r["n_counted"]) for r in leakage.word_counts(e, "text").collect()}
+    of = lambda w: got[int(leakage._signed(leakage.np.array([leakage._hash(w)], leakage.np.uint64))[0])]
+    assert of("lanterns") == (9, 18, 9) and of("men") == (9, 9, 9) and of("the") == (10, 19, 0) and of("tower") == (1, 1, 0)
+
+
+def test_filter_holds_its_words(spark):
+    words = [f"word{i}" for i in range(3000)]
+    h = leakage._signed(leakage.np.array([leakage._hash(w) for w in words], leakage.np.uint64))
+    f = leakage.Filter(*leakage.filter_of(spark.createDataFrame([(int(x),) for x in h], "hash bigint")))
+    assert all(w in f for w in words) and sum(f"other{i}" in f for i in range(3000)) < 3
+    assert f.holds(h.view(leakage.np.uint64)).all()
+
+
+def test_one_item_verbatim_is_no_template_of_another(spark):
+    items = [(i, f"In {100 + i} the ordinary orchard of Place{i} was described by Name{i} and later sent to Town{i} for {i} coins that the old man had.", "en") for i in range(8)]
+    e = spark.createDataFrame(items, "item_id bigint, text string, lang string")
+    decoy = "In 7 the ordinary orchard of Velda was closed and nobody came to see it before the spring of that year."
+    d = spark.createDataFrame([(1, "Before. " + items[3][1] + " After."), (2, items[3][1].replace("Town3", "Velda")), (3, decoy)], "doc_id bigint, text string")
+    got = [tuple(r)[:3] for r in leakage.leaked_items(d, "doc_id", "text", e, "item_id", "text", "lang").collect()]
+    assert [x for x in got if x[0] == 1] == [(1, 3, "verbatim")]
+    assert not [x for x in got if x[0] == 3] and (2, 3) in {x[:2] for x in got}
