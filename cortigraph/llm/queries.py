@@ -143,7 +143,12 @@ def p8_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.abbreviations(table(spark, sf_dir, "documents"), "text").where("kind <> ''")
 
 
-FOUND = {"p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p8_found": p8_found, "p8_abbreviations": p8_abbreviations, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p5_split": p5_split, "p5_totals": p5_totals, "p3_found": p3_found, "p3_knn_features": p3_knn_features, "p3_knn_similarity": p3_knn_similarity, "p6_ids": p6_ids, "p6_lengths": p6_lengths}
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What decided about the dots after tokens: the document, the corpus or the fixed list."""
+    return sentences.dot_sources(table(spark, sf_dir, "documents"), "text")
+
+
+FOUND = {"p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p8_found": p8_found, "p8_abbreviations": p8_abbreviations, "p8_sources": p8_sources, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p5_split": p5_split, "p5_totals": p5_totals, "p3_found": p3_found, "p3_knn_features": p3_knn_features, "p3_knn_similarity": p3_knn_similarity, "p6_ids": p6_ids, "p6_lengths": p6_lengths}
 
 _FILE = "nullif(lower(trim(regexp_replace({}, '^.*[/\\\\]', ''), chr(9) || chr(10) || chr(13) || chr(160) || ' ')), '')"
 _PATIENT = "nullif(lower(translate(patient_id, chr(9) || chr(10) || chr(13) || chr(160) || ' -_', '')), '')"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ _HARD = frozenset("。！？｡．।॥؟۔։")
 _AFTER = frozenset(")]}’')】）")
 _WORD = re.compile(r"[^\W_]+(?:[.\-'’][^\W_]+)*")
 _MARKS = "\u0300-\u036f\u00ad\u200b-\u200d\u2060\ufeff"
-_TOKEN = re.compile(rf"(?:[^\W_]|[.\-�ºª{_MARKS}])+$")
+_IN_TOKEN = frozenset(".-�ºª\u00ad\u200b\u200c\u200d\u2060\ufeff") | frozenset(map(chr, range(0x300, 0x370)))
 _COMPOSE = re.compile(f"[{_MARKS}]")
 _JOINED = frozenset("とっはをがのにもでへやか")
 _INVISIBLE = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff"))
@@ -43,10 +44,30 @@ def _caseless(c: str) -> bool:
     return c.isalpha() and c.lower() == c.upper()
 
 
+def _closed_by(marks: list[tuple[int, str]], q: str, closers: str) -> dict[int, int]:
+    """Mark that closes each mark `q`, where marks `q` nest and `closers` end them."""
+    if q in closers:
+        level = None
+    else:
+        level, depth = [], 0
+        for _, p in marks:
+            depth += (p == q) - (p in closers)
+            level.append(depth)
+    out, last = {}, {}
+    for i in range(len(marks) - 1, -1, -1):
+        p = marks[i][1]
+        if p == q and (level[i] - 1 if level else 0) in last:
+            out[i] = last[level[i] - 1 if level else 0]
+        if p in closers:
+            last[level[i] if level else 0] = i
+    return out
+
+
 def quote_spans(s: str) -> list[tuple[int, int]]:
     """(open, close) of paired quotation marks, outermost only; unpaired marks are text."""
     marks = [(m.start(), m.group()) for m in re.finditer(f"[{_QUOTES}]", s)]
     spans, i, n = [], 0, len(marks)
+    pairs: dict[tuple[str, str], dict[int, int]] = {}
     while i < n:
         at, q = marks[i]
         closers = _OPEN.get(q)
@@ -57,17 +78,10 @@ def quote_spans(s: str) -> list[tuple[int, int]]:
         elif q == "“" and at and s[at - 1].isalnum():
             closers = None
         if closers:
-            depth, j = 1, i + 1
-            while j < n:
-                p = marks[j][1]
-                if p in closers:
-                    depth -= 1
-                    if not depth:
-                        break
-                elif p == q and p != '"':
-                    depth += 1
-                j += 1
-            if j < n:
+            if (q, closers) not in pairs:
+                pairs[q, closers] = _closed_by(marks, q, closers)
+            j = pairs[q, closers].get(i)
+            if j is not None:
                 spans.append((at, marks[j][0]))
                 i = j
         i += 1
@@ -82,18 +96,13 @@ def paragraphs(s: str) -> Iterator[tuple[int, int]]:
     yield at, len(s)
 
 
-_DOTTED = re.compile(rf"(?<![^\W_])((?:[^\W_]|[.\-�ºª{_MARKS}]){{1,24}})(?<!\.)\.(?!\.)(?=(\s*)(\S?))")
+# A token is taken from where its run of letters, digits, dots and hyphens begins.
+_DOTTED = re.compile(rf"(?<![^\W_])(?<![.\-�ºª{_MARKS}])((?:[^\W_]|[.\-�ºª{_MARKS}])+)(?<!\.)\.(?!\.)(?=(\s*)(\S?))")
 _UNIT = re.compile(r"[!?…]|\n[^\S\n]*\r?\n")
-
-
-def _places(text: str, word: str) -> Iterator[int]:
-    """Where the word stands as a whole."""
-    at = text.find(word)
-    while at >= 0:
-        e = at + len(word)
-        if not (at and text[at - 1].isalnum()) and not text[e : e + 1].isalnum():
-            yield at
-        at = text.find(word, e)
+_UPPER = re.compile(r"[^\W\d_]")
+_PARTS = re.compile(r"[^\W_]+")
+#: A longer run of letters, dots and hyphens is no abbreviation (hosts, chains of initials): its last part is looked at.
+LONGEST = 64
 
 
 class Document:
@@ -101,29 +110,54 @@ class Document:
 
     def __init__(self, text: str, corpus: dict[str, str]):
         self.text, self.corpus = text, corpus
-        self._seen: dict[str, str | None] = {}
+        self._seen: dict[str, tuple[str | None, str]] = {}
         self._dots: dict[str, tuple[bool, bool]] | None = None
         self._danda: bool | None = None
+        self._upper: list[int] | None = None
+        self._words: tuple[set[str], set[str]] | None = None
+        self.sources: Counter = Counter()
 
     def kind(self, token: str) -> str | None:
         """What the dot after this token is: a kind of abbreviation, or None for an end mark."""
-        if token not in self._seen:
-            self._seen[token] = self._kind(token)
-        return self._seen[token]
-
-    def _kind(self, token: str) -> str | None:
+        found = self._seen.get(token)
+        if found is None:
+            found = self._seen[token] = self._kind(token)
+        self.sources[found[1]] += 1
+        return found[0]
+
+    def token_before(self, start: int, a: int) -> str:
+        """The token that ends at `a`, not before `start`."""
+        s, i, first = self.text, a, max(start, a - LONGEST)
+        while i > first and (s[i - 1].isalnum() or s[i - 1] in _IN_TOKEN):
+            i -= 1
+        return s[i:a]
+
+    def upper(self) -> list[int]:
+        """Places of the capitals."""
+        if self._upper is None:
+            self._upper = [m.start() for m in _UPPER.finditer(self.text) if not (c := m.group()).islower() and c.lower() != c]
+        return self._upper
+
+    def flat(self, a: int, b: int) -> bool:
+        """Letters with case between a and b, and no capital among them."""
+        up = self.upper()
+        k = bisect_left(up, a)
+        return not (k < len(up) and up[k] < b) and any(self.text[i].islower() for i in range(a, min(b, len(self.text))))
+
+    def _kind(self, token: str) -> tuple[str | None, str]:
+        """Kind and what decided it: the document, the corpus, the list, or nothing."""
         if token.isdigit():
-            return None
+            return None, "none"
         # The document says whether it is an abbreviation; what may follow one is for the corpus and the list to say.
         own, known = self._own(token), SEEDS.get(token)
         kind = self.corpus.get(token, known)
         if own:
-            return kind or known or NEVER
+            return kind or known or NEVER, "document"
         if own is False:
-            return END if kind == END else None
+            return END if kind == END else None, "document"
         if kind is not None:
-            return kind or None
-        return NUMBER if "�" in token and len(token) <= 4 else None
+            return kind or None, "corpus" if token in self.corpus else "list"
+        return NUMBER if "�" in token and len(token) <= 4 else None, "none"
 
     def _own(self, token: str) -> bool | None:
         """Is this an abbreviation by its unambiguous occurrences here? None if there are none, or of both kinds.
@@ -140,8 +174,11 @@ class Document:
         """(for, against) of every token with a dot, in one pass over the text."""
         text, within, against = self.text, set(), set()
         unit, seen = 0, set()
+        ends: list[int] | None = None
         for m in _DOTTED.finditer(text):
             token, gap, nxt = m.groups()
+            if len(token) > LONGEST:
+                continue
             if _COMPOSE.search(token):
                 token = unicodedata.normalize("NFC", token).translate(_INVISIBLE)
             tokens = {token, token.rpartition("-")[2]}
@@ -151,8 +188,10 @@ class Document:
             elif nxt in ",;:":
                 within |= tokens
             elif gap and nxt.islower():
-                before = _UNIT.split(text[max(unit, m.start() - 400) : m.end()])[-1]
-                if not (before.islower() and text[m.start(3) : m.start(3) + 40].islower()):
+                if ends is None:
+                    ends = [u.end() for u in _UNIT.finditer(text)]
+                k = bisect_right(ends, m.end())
+                if not (self.flat(max(unit, ends[k - 1] if k else 0), m.end()) and text[m.start(3) : m.start(3) + 40].islower()):
                     within |= tokens
             unit = m.end()
         words = text.split()
@@ -163,8 +202,21 @@ class Document:
 
     def proper(self, word: str) -> bool:
         """Is this capitalised word seen with its capital after a lower-case word, and never in lower case?"""
-        before = any(self.text[:at].rstrip(" ,")[-1:].islower() for at in _places(self.text, word))
-        return before and not any(True for _ in _places(self.text, word.lower()))
+        if self._words is None:
+            named, words = set(), set()
+            for m in _WORD.finditer(self.text):
+                whole = m.group()
+                for at, w in {(m.start(), whole), *((p.start(), p.group()) for p in _PARTS.finditer(self.text, m.start(), m.end()))}:
+                    words.add(w)
+                    if w[0].isupper() and w not in named:
+                        i = at
+                        while i and self.text[i - 1] in " ,":
+                            i -= 1
+                        if i and self.text[i - 1].islower():
+                            named.add(w)
+            self._words = named, words
+        named, words = self._words
+        return word in named and word.lower() not in words
 
     def danda(self) -> bool:
         if self._danda is None:
@@ -174,8 +226,7 @@ class Document:
 
 def _dot(s: str, a: int, start: int, after: int, nxt: str, gap: bool, doc: Document) -> bool:
     """Does the single dot at `a` end a sentence? `after`: place of the next character `nxt`."""
-    m = _TOKEN.search(s, max(start, a - 24), a)
-    token = m.group() if m else ""
+    token = doc.token_before(start, a)
     if not gap and not (nxt.isupper() or nxt in "¿¡" or nxt in _OPEN or (_caseless(nxt) and token[-1:].isalpha())):
         return False
     if _COMPOSE.search(token):
@@ -205,11 +256,6 @@ def _dot(s: str, a: int, start: int, after: int, nxt: str, gap: bool, doc: Docum
     return False
 
 
-def _flat(s: str, unit: int, a: int, after: int) -> bool:
-    """Text without any capitals on either side: a small letter says nothing there."""
-    return a - unit > 20 and s[unit:a].islower() and s[after : after + 40].islower()
-
-
 def boundaries(s: str, start: int, end: int, doc: Document) -> list[int]:
     """Ends of units inside the paragraph s[start:end]."""
     para = s[start:end]
@@ -262,7 +308,7 @@ def boundaries(s: str, start: int, end: int, doc: Document) -> list[int]:
         if s[b - 1] in _HARD:
             if nxt in "、，,":
                 continue
-        elif nxt in ",;:，、،%" or nxt.islower() and not (gap and _flat(s, unit, a, after)):
+        elif nxt in ",;:，、،%" or nxt.islower() and not (gap and a - unit > 20 and s[after : after + 40].islower() and doc.flat(unit, a)):
             continue
         elif "…" in m.group() or (b - a > 1 and m.group().strip(".") == ""):
             if not (nxt.isupper() or nxt in _OPEN or nxt in "¿¡"):
@@ -277,10 +323,12 @@ def boundaries(s: str, start: int, end: int, doc: Document) -> list[int]:
     return cuts
 
 
-def units(text: str, corpus: dict[str, str]) -> list[tuple[int, int]]:
-    """(start, end) of every unit of a text, in code points, without blanks around it."""
+def units(text: str, corpus: dict[str, str], sources: Counter | None = None) -> list[tuple[int, int]]:
+    """(start, end) of every unit of a text, in code points, without blanks around it; `sources` counts what judged the dots."""
     s, places = repair(text)
     doc = Document(s, corpus)
+    if sources is not None:
+        doc.sources = sources
     out = []
     for a, b in paragraphs(s):
         at = a
@@ -294,7 +342,8 @@ def units(text: str, corpus: dict[str, str]) -> list[tuple[int, int]]:
     return out if places is None else [(places[x], places[y - 1] + (places[y] - places[y - 1])) for x, y in out]
 
 
-_WORDS = re.compile(r"(?<![^\W_])((?:[^\W\d_]|[.\-]){1,24})(?<!\.)\.(?!\.)(?=(\s*)(\S*))")
+# Letters after a digit and a hyphen are a token; inside a run of letters, dots and hyphens none begins.
+_WORDS = re.compile(r"(?<![^\W_])(?<![^\W\d_][.\-])(?<![.\-][.\-])((?:[^\W\d_]|[.\-])+)(?<!\.)\.(?!\.)(?=(\s*)(\S{0,3}))")
 
 
 def dot_evidence(text: str, counts: Counter) -> None:
@@ -305,9 +354,12 @@ def dot_evidence(text: str, counts: Counter) -> None:
             continue
         p = s[a:b]
         spans = quote_spans(p) if any(q in p for q in _QUOTES) else []
+        k = 0
         for m in _WORDS.finditer(p):
             at = m.end()
-            if any(x < at < y for x, y in spans):
+            while k < len(spans) and spans[k][1] <= at:
+                k += 1
+            if k < len(spans) and spans[k][0] < at or m.end(1) - m.start(1) > LONGEST:
                 continue
             word = m.group(3)
             c = word[:1]
@@ -370,6 +422,32 @@ def abbreviations(df: DataFrame, text: str, rate: float = 0.1) -> DataFrame:
 BROADCAST = 100_000
 
 
+def _shared(df: DataFrame, text: str, rate: float):
+    """The corpus's abbreviations for the tasks, and the end marks that the list or a lost letter would overrule."""
+    found = abbreviations(df, text, rate).where((F.col("kind") != "") | F.col("token").isin(*SEEDS) | F.col("token").contains("�")).take(BROADCAST + 1)
+    if len(found) > BROADCAST:
+        raise ValueError("too many abbreviations for a broadcast: lower `rate`")
+    return df.sparkSession.sparkContext.broadcast({r["token"]: r["kind"] for r in found})
+
+
+def dot_sources(df: DataFrame, text: str, rate: float = 0.1) -> DataFrame:
+    """source, n: how many questions about the dot after a token the document, the corpus and the fixed list decided.
+
+    'none': a digit, or a token that nobody knows; its shape and what follows decide.
+    """
+    shared = _shared(df, text, rate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sources: Counter = Counter()
+            for v in b.column(0):
+                if t := v.as_py():
+                    units(t, shared.value, sources)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sources), pa.string()), pa.array(list(sources.values()), pa.int64())], names=["source", "n"])
+
+    return df.select(text).mapInArrow(run, "source string, n bigint").groupBy("source").agg(F.sum("n").alias("n"))
+
+
 def split_sentences(df: DataFrame, id_column: str, text: str, rate: float = 0.1) -> DataFrame:
     """Id column, start_char, end_char: one row per sentence unit of every text.
 
@@ -380,15 +458,12 @@ def split_sentences(df: DataFrame, id_column: str, text: str, rate: float = 0.1)
     combined before the only shuffle; the other splits each text by itself.
 
     A dot is judged by the text's own unambiguous occurrences of its token, then
-    by the corpus, then by the fixed list. Of the corpus the abbreviations are
-    broadcast, and the end marks that the list or a lost letter would overrule;
-    above the limit of size the operator refuses.
+    by the corpus, then by the fixed list (see `dot_sources` for their shares). Of
+    the corpus the abbreviations are broadcast, and the end marks that the list or
+    a lost letter would overrule; above the limit of size the operator refuses.
+    The work on a text grows with its length.
     """
-    spark = df.sparkSession
-    found = abbreviations(df, text, rate).where((F.col("kind") != "") | F.col("token").isin(*SEEDS) | F.col("token").contains("�")).take(BROADCAST + 1)
-    if len(found) > BROADCAST:
-        raise ValueError("too many abbreviations for a broadcast: lower `rate`")
-    shared = spark.sparkContext.broadcast({r["token"]: r["kind"] for r in found})
+    shared = _shared(df, text, rate)
     id_type = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,3 +82,36 @@ def test_frames_and_corpus(spark):
     out = sentences.split_sentences(df, "doc_id", "text").collect()
     assert sum(r["doc_id"] == 5 for r in out) == 2 and sum(r["doc_id"] is None for r in out) == 2
     assert sentences.split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("piece", ["A b. c. d ", "a-", "x.", "A.B.", "“ ", "-", "Etc. Bolo etc. Rima ", "a b c d\nE ", "No. ", "桐霁。", "He said \"no. ", ". " ])
+def test_long_texts_take_time_by_their_length(piece):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = piece * (n // len(piece))
+        counts = sentences.Counter()
+        began = time.process_time()
+        out = pieces(text, {"Etc": sentences.END})
+        sentences.dot_evidence(text, counts)
+        took.append(time.process_time() - began)
+        assert "".join("".join(out).split()) == "".join(text.split())
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_long_tokens():
+    token = "Oberlandesgerichtspräsidentenstellvertreter"
+    want = [f"It cost 4 {token}. for two.", f"The {token}. Bolo was late."]
+    assert pieces(" ".join(want)) == want
+
+
+def test_unpaired_marks_beside_pairs():
+    assert pieces("“One “two. Three” four. Five. Six") == ["“One “two.", "Three” four.", "Five.", "Six"] or pieces("“One “two. Three” four. Five. Six") == ["“One “two. Three” four.", "Five.", "Six"]
+    assert sentences.quote_spans("“a “b” c") == [(3, 5)] and sentences.quote_spans("„a “b ”c") == [(0, 3)] and sentences.quote_spans("“a “b” c”") == [(0, 8)]
+
+
+def test_sources_of_decisions(spark):
+    df = spark.createDataFrame([(1, "It cost 4 xyz. for two. The xyz. Bolo was late."), (2, "Dr. Bolo left."), (3, None)], "doc_id bigint, text string")
+    got = {r["source"]: r["n"] for r in sentences.dot_sources(df, "text").collect()}
+    assert got["document"] >= 1 and got["list"] >= 1
