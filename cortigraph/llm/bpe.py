@@ -151,5 +151,18 @@ def encode(df: DataFrame, id_column: str, text: str, vocabulary: str = VOCABULAR
     return df.select(F.col(id_column), F.col(text)).mapInArrow(run, f"`{id_column}` {id_type}, ids array<int>")
 
 
+def decode(df: DataFrame, id_column: str, ids: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Id column and `text` of token ids, the way back of `encode`; an unknown id is an error, null ids give a null text."""
+    shared = df.sparkSession.sparkContext.broadcast({i: b for b, i in read_ranks(vocabulary).items()})
+    id_type = df.schema[id_column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if v is None else decode_bytes(v, shared.value).decode("utf-8", "replace") for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_column, "text"])
+
+    return df.select(F.col(id_column), F.col(ids)).mapInArrow(run, f"`{id_column}` {id_type}, text string")
+
+
 def decode_bytes(ids: list[int], by_id: dict[int, bytes]) -> bytes:
     return b"".join(by_id[i] for i in ids)

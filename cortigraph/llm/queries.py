@@ -59,6 +59,11 @@ def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quota(spark, sf_dir)[0].select("plan_id", "patient_id", "label", "window_id")
 
 
+def p4_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of each plan's sample, and how many different ones: none is drawn twice."""
+    return p4_sample(spark, sf_dir).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_drawn"), F.count_distinct("window_id").alias("n_different"))
+
+
 def _related(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The windows with a name each, and (name, component) of all patients and recordings."""
     known = table(spark, sf_dir, "file_info").select(file_key(F.col("file_name")).alias("known")).where("known is not null").distinct()
@@ -83,21 +88,44 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(group, size, split) of every group of windows, and the split of every name; a window that names nothing is a group of its own."""
     ties, parts = _related(spark, sf_dir)
-    groups = ties.select(F.coalesce("p", "f", "z").alias("name"), "n").join(parts, "name").groupBy(F.col("component").alias("group")).agg(F.sum("n").alias("size"))
-    return splits.split_groups(groups), parts
+    named = ties.select(F.coalesce("p", "f", "z").alias("name"), "n").join(parts, "name").groupBy(F.concat(F.lit("c:"), "component").alias("group")).agg(F.sum("n").alias("size"))
+    alone = _places_of_windows(spark, sf_dir, parts).where("name is null").select(F.concat(F.lit("w:"), "window_id").alias("group"), F.lit(1).cast("bigint").alias("size"))
+    assigned = splits.cut_lineage(splits.split_groups(named.unionAll(alone)))
+    return assigned, parts
 
 
-def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The split of every window; windows that name nothing go to train, each alone."""
-    assigned, parts = _splits(spark, sf_dir)
+def _places_of_windows(spark: SparkSession, sf_dir: str, parts: DataFrame) -> DataFrame:
+    """window_id, patient_id, f, z (known recordings) and one name of every window, null if it names nothing."""
     known = parts.where(F.col("name").startswith("r:")).select(F.expr("substr(name, 3)").alias("known"))
     rows = _windows(spark, sf_dir, ["patient_id", "file_name", "seizure_file"]).select("window_id", "patient_id", file_key(F.col("file_name")).alias("f"), file_key(F.col("seizure_file")).alias("z"))
     for c in ("f", "z"):
         rows = rows.join(known, F.col(c) == F.col("known"), "left").withColumn(c, F.concat(F.lit("r:"), "known")).drop("known")
-    named = rows.select("window_id", F.coalesce(F.concat(F.lit("p:"), "patient_id"), "f", "z").alias("name"))
-    where = parts.join(assigned, F.col("component") == F.col("group")).select("name", "split")
-    return named.join(where, "name", "left").select("window_id", F.coalesce("split", F.lit("train")).alias("split"))
+    return rows.withColumn("name", F.coalesce(F.concat(F.lit("p:"), "patient_id"), "f", "z"))
+
+
+def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, parts = _splits(spark, sf_dir)
+    rows = _places_of_windows(spark, sf_dir, parts).join(parts, "name", "left").withColumn("group", F.coalesce(F.concat(F.lit("c:"), "component"), F.concat(F.lit("w:"), "window_id")))
+    return rows.join(assigned.select("group", "split"), "group", "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every window; a window without names or id goes to train."""
+    return _split_rows(spark, sf_dir).select("window_id", "split")
+
+
+def p5_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows and splits of every patient and recording that windows share: always one split."""
+    names = F.explode(F.array_distinct(F.filter(F.array(F.concat(F.lit("p:"), "patient_id"), "f", "z"), lambda x: x.isNotNull())))
+    named = _split_rows(spark, sf_dir).select("split", names.alias("name"))
+    return named.groupBy("name").agg(F.count(F.lit(1)).alias("n_windows"), F.count_distinct("split").alias("n_splits"))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of each split."""
+    return p5_split(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_windows"))
 
 
 def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +144,12 @@ def p6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.groupBy(F.col("k.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.sum("k.n").alias("n_chars"))
 
 
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The MD5 of every text that its ids decode to; of null texts that of the empty one."""
+    ids = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bpe.decode(ids, "doc_id", "ids").select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", "lang")
 
@@ -148,7 +182,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.dot_sources(table(spark, sf_dir, "documents"), "text")
 
 
-FOUND = {"p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p8_found": p8_found, "p8_abbreviations": p8_abbreviations, "p8_sources": p8_sources, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p5_split": p5_split, "p5_totals": p5_totals, "p3_found": p3_found, "p3_knn_features": p3_knn_features, "p3_knn_similarity": p3_knn_similarity, "p6_ids": p6_ids, "p6_lengths": p6_lengths}
+FOUND = {"p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p8_found": p8_found, "p8_abbreviations": p8_abbreviations, "p8_sources": p8_sources, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p4_draws": p4_draws, "p5_found": p5_found, "p5_split": p5_split, "p5_totals": p5_totals, "p5_apart": p5_apart, "p5_shares": p5_shares, "p3_found": p3_found, "p3_knn_features": p3_knn_features, "p3_knn_similarity": p3_knn_similarity, "p6_ids": p6_ids, "p6_lengths": p6_lengths, "p6_round_trip": p6_round_trip}
 
 _FILE = "nullif(lower(trim(regexp_replace({}, '^.*[/\\\\]', ''), chr(9) || chr(10) || chr(13) || chr(160) || ' ')), '')"
 _PATIENT = "nullif(lower(translate(patient_id, chr(9) || chr(10) || chr(13) || chr(160) || ' -_', '')), '')"
@@ -190,3 +224,15 @@ e AS (SELECT a, b FROM e0 WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b,
 reach AS (SELECT DISTINCT p, p AS n FROM t WHERE p IS NOT NULL UNION SELECT r.p, e.b FROM reach r JOIN e ON r.n = e.a)
 SELECT substr(p, 3) AS patient_lo, substr(n, 3) AS patient_hi FROM reach WHERE n LIKE 'p:%' AND p < n""",
 }
+_W = f"""WITH w AS (SELECT window_id, {_PATIENT} AS p, {_FILE.format('file_name')} AS f, {_FILE.format('seizure_file')} AS z FROM (
+  SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY ingested_at DESC NULLS LAST, patient_id DESC NULLS LAST, file_name DESC NULLS LAST, seizure_file DESC NULLS LAST) AS rn FROM window_meta) WHERE rn = 1)
+"""
+SQL |= {
+    "p4_draws": _REPORT + "SELECT plan_id, CAST(sum(drawn) AS BIGINT) AS n_drawn, CAST(sum(drawn) AS BIGINT) AS n_different FROM report GROUP BY plan_id HAVING sum(drawn) > 0",
+    "p5_apart": _W
+    + f""", k AS {_KNOWN}, t AS (SELECT 'p:' || p AS p, 'r:' || a.known AS f, 'r:' || b.known AS z FROM w LEFT JOIN k a ON f = a.known LEFT JOIN k b ON z = b.known),
+n AS (SELECT unnest(list_distinct([p, f, z])) AS name FROM t) SELECT name, count(*) AS n_windows, CAST(1 AS BIGINT) AS n_splits FROM n WHERE name IS NOT NULL GROUP BY name""",
+    # Groups of one window make the totals of the two small splits exact.
+    "p5_shares": _W + ", n AS (SELECT count(*) AS n FROM w) SELECT split, CASE WHEN split = 'train' THEN n - 2 * CAST(round_even(n * 0.1, 0) AS BIGINT) ELSE CAST(round_even(n * 0.1, 0) AS BIGINT) END AS n_windows FROM n, (SELECT unnest(['train', 'validation', 'test']) AS split)",
+    "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
+}

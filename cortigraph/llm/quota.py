@@ -14,12 +14,17 @@ from cortigraph.session import cut_lineage
 
 #: Ranks of a category that one row of work covers.
 RANGE = 65_536
-#: Pieces a group is cut into for numbering.
-BANDS = 64
+#: Rows of a piece that a group is cut into for numbering, about.
+PIECE = 131_072
 
 
-def _band(*c) -> F.Column:
-    return F.shiftrightunsigned(F.xxhash64(*c), 64 - BANDS.bit_length() + 1).cast("int")
+def _bits(most: int | None) -> int:
+    """Bits of the hash that cut the largest group into pieces of PIECE rows."""
+    return min(30, max(1, -(-(most or 0) // PIECE)).bit_length())
+
+
+def _band(bits: int, *c) -> F.Column:
+    return F.shiftrightunsigned(F.xxhash64(*c), 64 - bits).cast("int")
 
 
 def quota_sample(items: DataFrame, item_id: str, strata: list[str], needs: DataFrame, plan: str, needed: str, sigmas: float = 3.0, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -32,15 +37,17 @@ def quota_sample(items: DataFrame, item_id: str, strata: list[str], needs: DataF
 
     Each category accepts items independently with probability
     (needed + sigmas * sqrt(needed) + 1) / available. The accepted ones are found
-    by their geometric gaps over the stratum's items in random order, so the work
-    follows the size of the sample, not plans times items. Surplus is cut by a
-    random priority; a category that accepted too few draws the rest from its
-    other items. Counts are therefore exact: drawn = min(needed, available).
+    by their geometric gaps over the stratum's items in random order, so that the
+    draws follow the size of the sample, not plans times items; the items
+    themselves are numbered once. Surplus is cut by a random priority. A category
+    that accepted too few draws again, with more oversampling, among the items it
+    left; what is short even then takes its other items one by one. Counts are
+    therefore exact: drawn = min(needed, available).
 
     A category with null strata, or needed null or below 1, draws nothing; items
     with null strata are in no category; repeated item rows are repeated items.
-    Neither table is collected, and numbering is cut into bands so that a stratum
-    or category may hold most of the rows.
+    Neither table is collected, and numbering is cut into pieces of about PIECE rows,
+    so that a stratum or category may hold most of the rows.
     """
     names = [f"_s{i}" for i in range(len(strata))]
     pool = items.select(*[F.col(c).alias(n) for c, n in zip(strata, names)], F.col(item_id).alias("_item"))
@@ -49,8 +56,9 @@ def quota_sample(items: DataFrame, item_id: str, strata: list[str], needs: DataF
     # Items, categories and accepted ranks are read several times each; they are written once.
     pool = cut_lineage(pool)
     salt = F.lit(seed)
-    ranked = spread_rank(pool, names, _band("_item", salt), [F.xxhash64("_item", salt), F.col("_item")], "_rank")
-    available = pool.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    available = cut_lineage(pool.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")))
+    bits = _bits(available.agg(F.max("_n")).first()[0])
+    ranked = spread_rank(pool, names, _band(bits, "_item", salt), [F.xxhash64("_item", salt), F.col("_item")], "_rank")
     k = F.col("_need").cast("double")
     categories = cut_lineage(
         needs.select(F.col(plan).alias("_plan"), *[F.col(c).alias(n) for c, n in zip(strata, names)], F.col(needed).cast("bigint").alias("_need"))
@@ -60,9 +68,6 @@ def quota_sample(items: DataFrame, item_id: str, strata: list[str], needs: DataF
         .withColumn("_p", F.when(F.col("_n") > 0, F.least(F.lit(1.0), (k + sigmas * F.sqrt(F.greatest(k, F.lit(0.0))) + 1) / F.col("_n")))),
     )
     cat = ["_plan", *names]
-    ranges = categories.where("_take > 0").withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(RANGE).cast("bigint"))))
-    work = ranges.select(F.struct(*cat, "_take").alias("c"), F.xxhash64(*cat, "_lo", salt).alias("seed"), "_lo", F.least(F.lit(RANGE), F.col("_n") - F.col("_lo")).alias("len"), "_p")
-
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ranks, prio, rep = [], [], []
@@ -86,21 +91,37 @@ def quota_sample(items: DataFrame, item_id: str, strata: list[str], needs: DataF
             cat_of = lambda v, t: pa.array(np.concatenate(v).astype(t) if v else np.empty(0, t))
             yield pa.RecordBatch.from_arrays([b.column(0).take(cat_of(rep, np.int64)), cat_of(ranks, np.int64), cat_of(prio, np.float64)], names=["c", "_rank", "_prio"])
 
-    kind = work.schema["c"].dataType.simpleString()
-    accepted = cut_lineage(work.mapInArrow(accept, f"c {kind}, _rank bigint, _prio double").select("c.*", "_rank", "_prio"))
-    kept = spread_rank(accepted, cat, F.floor(F.col("_prio") * BANDS).cast("int"), [F.col("_prio"), F.col("_rank")], "_k").where("_k <= _take").select(*cat, "_rank")
-    # Categories that accepted too few: the rest comes from the ranks they left.
-    got = accepted.groupBy(*cat).agg(F.count(F.lit(1)).alias("_got"))
-    short = categories.where("_take > 0").join(got, cat, "left").withColumn("_miss", F.col("_take") - F.coalesce("_got", F.lit(0))).where("_miss > 0")
-    others = (
-        short.withColumn("_lo", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"), F.lit(RANGE).cast("bigint"))))
-        .withColumn("_rank", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + RANGE - 1, F.col("_n")))))
-        .select(*cat, "_miss", "_rank")
-        .join(accepted.select(*cat, "_rank"), [*cat, "_rank"], "left_anti")
-    )
-    order = F.xxhash64(*cat, "_rank", salt)
-    filled = spread_rank(others, cat, _band(*cat, "_rank", salt), [order, F.col("_rank")], "_k").where("_k <= _miss").select(*cat, "_rank")
-    chosen = kept.unionAll(filled)
+    def drawn_by_chance(some: DataFrame, turn: int) -> DataFrame:
+        """cat, _rank, _prio: ranks 1.._n that each category accepts with its _p."""
+        ranges = some.withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(RANGE).cast("bigint"))))
+        work = ranges.select(F.struct(*cat, "_take").alias("c"), F.xxhash64(*cat, "_lo", F.lit(seed + turn)).alias("seed"), "_lo", F.least(F.lit(RANGE), F.col("_n") - F.col("_lo")).alias("len"), "_p")
+        kind = work.schema["c"].dataType.simpleString()
+        return work.mapInArrow(accept, f"c {kind}, _rank bigint, _prio double").select("c.*", "_rank", "_prio")
+
+    wanted = categories.where("_take > 0")
+    accepted = cut_lineage(drawn_by_chance(wanted, 0))
+    got = cut_lineage(accepted.groupBy(*cat).agg(F.count(F.lit(1)).alias("_got")))
+    fine = _bits(got.agg(F.max("_got")).first()[0])
+    by_prio = lambda rows: spread_rank(rows, cat, F.floor(F.col("_prio") * (1 << fine)).cast("int"), [F.col("_prio"), F.col("_rank")], "_k")
+    chosen = by_prio(accepted).where("_k <= _take").select(*cat, "_rank")
+    missing = F.col("_take") - F.coalesce("_got", F.lit(0))
+    left = (F.col("_n") - F.coalesce("_got", F.lit(0))).cast("double")
+    more = F.least(F.lit(1.0), (F.col("_miss") + 2 * sigmas**2 + 2 * abs(sigmas) * F.sqrt("_miss") + 8) / left)
+    short = cut_lineage(wanted.join(got, cat, "left").withColumn("_miss", missing).where("_miss > 0").withColumn("_p", more).drop("_got"))
+    if not short.isEmpty():
+        again = cut_lineage(drawn_by_chance(short.withColumn("_take", F.col("_miss")), 1).join(accepted.select(*cat, "_rank"), [*cat, "_rank"], "left_anti"))
+        filled = cut_lineage(by_prio(again).where("_k <= _take").select(*cat, "_rank"))
+        chosen = chosen.unionAll(filled)
+        still = cut_lineage(short.join(filled.groupBy(*cat).agg(F.count(F.lit(1)).alias("_got")), cat, "left").withColumn("_miss", F.col("_miss") - F.coalesce("_got", F.lit(0))).where("_miss > 0"))
+        if not still.isEmpty():
+            others = (
+                still.withColumn("_lo", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"), F.lit(RANGE).cast("bigint"))))
+                .withColumn("_rank", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + RANGE - 1, F.col("_n")))))
+                .select(*cat, "_miss", "_rank")
+                .join(accepted.select(*cat, "_rank").unionAll(filled), [*cat, "_rank"], "left_anti")
+            )
+            order = F.xxhash64(*cat, "_rank", salt)
+            chosen = chosen.unionAll(spread_rank(others, cat, _band(bits, *cat, "_rank", salt), [order, F.col("_rank")], "_k").where("_k <= _miss").select(*cat, "_rank"))
     sample = chosen.join(ranked, [*names, "_rank"])
     drawn = sample.groupBy(*cat).agg(F.count(F.lit(1)).alias("_drawn"))
     report = categories.join(drawn, cat, "left").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))

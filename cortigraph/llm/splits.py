@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +80,11 @@ def closest_subset(sizes: dict[int, int], target: int, bits: int = BITS) -> dict
     """How many groups of each size to take for a total closest to target.
 
     Subset-sum over size multiplicities: bit t of a set says that total t can be
-    made; a multiplicity m enters as 1, 2, 4, ... copies. Totals above `bits` are
-    first searched in units, then filled up with what still fits, largest first.
+    made; a multiplicity m enters as 1, 2, 4, ... copies, and of each total only
+    the item that first made it is kept, which leads back to the choice. Totals
+    above `bits` are first searched in units, then filled up with what still fits,
+    largest first: exact where there are enough groups of one record, else within
+    half of the smallest group left.
     """
     if target <= 0:
         return {}
@@ -96,12 +100,17 @@ def closest_subset(sizes: dict[int, int], target: int, bits: int = BITS) -> dict
             m -= take
             part *= 2
     goal = target // unit
-    limit = (1 << (2 * goal + 2)) - 1
-    sets = [1]
-    for size, copies in items:
-        w = -(-size // unit) * copies
-        sets.append(sets[-1] if w > 2 * goal + 1 else (sets[-1] | sets[-1] << w) & limit)
-    reach = sets[-1]
+    length = 2 * goal + 2
+    limit = (1 << length) - 1
+    weight = lambda size, copies: -(-size // unit) * copies
+    first = np.full(length, -1, np.int32)
+    reach = 1
+    for i, (size, copies) in enumerate(items):
+        w = weight(size, copies)
+        if w < length and (fresh := reach << w & limit & ~reach):
+            made = np.unpackbits(np.frombuffer(fresh.to_bytes(-(-length // 8), "little"), np.uint8), bitorder="little")[:length]
+            first[made.astype(bool)] = i
+            reach |= fresh
     below = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
     above = reach >> (goal + 1)
     t = below
@@ -109,17 +118,19 @@ def closest_subset(sizes: dict[int, int], target: int, bits: int = BITS) -> dict
         up = goal + 1 + (above & -above).bit_length() - 1
         t = up if up - goal < goal - below else below
     taken: dict[int, int] = {}
-    for i in range(len(items), 0, -1):
-        if not sets[i - 1] >> t & 1:
-            size, copies = items[i - 1]
-            t -= -(-size // unit) * copies
-            taken[size] = taken.get(size, 0) + copies
+    while t:
+        size, copies = items[first[t]]
+        t -= weight(size, copies)
+        taken[size] = taken.get(size, 0) + copies
     left = target - sum(s * n for s, n in taken.items())
     for size in sorted(sizes, reverse=True):
         more = min(sizes[size] - taken.get(size, 0), max(0, left) // size)
         if more > 0:
             taken[size] = taken.get(size, 0) + more
             left -= more * size
+    rest = [s for s in sizes if sizes[s] > taken.get(s, 0) and 0 < s < 2 * left]
+    if rest:
+        taken[min(rest)] = taken.get(min(rest), 0) + 1
     return taken
 
 
