@@ -7,6 +7,8 @@ import numpy as np
 LORENZ = {"sigma": 10.0, "rho": 60.0, "beta": 8.0 / 3.0}
 ROESSLER = {"a": 0.2, "b": 0.2, "c": 5.7}
 MODES = ("additive", "diffusive", "x_only", "nearest")
+#: Equation that x_only coupling enters: y for Lorenz, x for Roessler.
+COUPLED = {"lorenz": 1, "roessler": 0}
 
 
 def lorenz(s: np.ndarray) -> np.ndarray:
@@ -26,7 +28,7 @@ class Network:
     """Right-hand side of N coupled oscillators for several coupling strengths.
 
     State: (couplings, N, 3). additive: eps * A s on all components. diffusive:
-    -eps * L s. x_only: -eps * L x on the y equation. nearest: eps * (next +
+    -eps * L s. x_only: -eps * L x on one equation (COUPLED). nearest: eps * (next +
     previous - 2 s) on a ring. The state is clipped before the local field, the
     field and the sum are clipped and cleaned.
     """
@@ -35,7 +37,7 @@ class Network:
         if mode not in MODES:
             raise ValueError(f"unknown coupling mode {mode!r}")
         self.a, self.degree, self.eps = a, a.sum(axis=1), np.asarray(eps, float)[:, None, None]
-        self.field, self.mode, self.state_clip, self.rate_clip = FIELDS[field], mode, state_clip, rate_clip
+        self.field, self.target, self.mode, self.state_clip, self.rate_clip = FIELDS[field], COUPLED[field], mode, state_clip, rate_clip
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
         s = np.clip(s, -self.state_clip, self.state_clip)
@@ -44,7 +46,7 @@ class Network:
             d = d + self.eps * (np.roll(s, 1, axis=1) + np.roll(s, -1, axis=1) - 2 * s)
         elif self.mode == "x_only":
             x = s[..., 0]
-            d[..., 1] -= self.eps[..., 0] * (self.degree * x - x @ self.a.T)
+            d[..., self.target] -= self.eps[..., 0] * (self.degree * x - x @ self.a.T)
         else:
             spread = np.einsum("nm,emc->enc", self.a, s, optimize=True)
             d = d + self.eps * (spread if self.mode == "additive" else spread - self.degree[None, :, None] * s)

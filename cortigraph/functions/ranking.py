@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cortigraph.session import cut_lineage, shuffle_partitions
+
+_IN_PARTITION = (1 << 33) - 1
+
 
 def spread_rank(df: DataFrame, keys: list[str], band: Column, order: list[Column], name: str = "rank") -> DataFrame:
     """row_number over `keys` by (band, *order), without one task per group.
@@ -30,11 +34,54 @@ def spread_rank(df: DataFrame, keys: list[str], band: Column, order: list[Column
     return joined.withColumn(name, F.col("_before") + F.col("_rn")).drop("_band", "_rn", "_before", "_sband", *[f"_k{i}" for i in range(len(keys))])
 
 
+def sorted_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Place of each row by `order` over the whole table, from 1, without one task for all rows.
+
+    One range shuffle; the sorted rows are written, so that places within
+    partitions stay, and each partition's numbers begin behind those before it.
+    Equal rows by `order` are cut as well, so ties may hold most of the rows if
+    `order` ends with something that tells them apart.
+    """
+    placed = cut_lineage(df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order))
+    placed = placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    # One row per partition.
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_before")
+    numbered = placed.join(F.broadcast(parts), F.col("_part") == F.col("_p"))
+    return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit(_IN_PARTITION)) + 1).drop("_at", "_part", "_p", "_before")
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float] | None:
+    """Exact quantiles with linear interpolation; None if there is no value.
+
+    Values are counted first, so that many equal ones are few rows; then only the
+    values at the wanted places reach the driver, two per quantile.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = sorted_rank(counts, [F.col("_v")], "_r")
+    total = ranked.agg(F.sum("_c")).first()[0]
+    if not total:
+        return None
+    below = running_total(ranked, [], F.floor((F.col("_r") - 1) / 65_536), [F.col("_r")], "_c", "_below")
+    at = [q * (total - 1) for q in shares]
+    wanted = sorted({int(x) for x in at} | {min(int(x) + 1, total - 1) for x in at})
+    here = F.filter(F.array(*map(F.lit, wanted)), lambda w: (w >= F.col("_below")) & (w < F.col("_below") + F.col("_c")))
+    value = {w: r["_v"] for r in below.select("_v", here.alias("w")).where(F.size("w") > 0).collect() for w in r["w"]}
+    return [value[int(x)] + (value[min(int(x) + 1, total - 1)] - value[int(x)]) * (x - int(x)) for x in at]
+
+
 def range_band(df: DataFrame, column: str, bands: int = 256) -> Column:
     """Number of the value range a row falls in, ranges holding about as many rows each: at most `bands` cuts."""
     cuts = df.agg(F.percentile_approx(column, [i / bands for i in range(1, bands)], 10 * bands).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0)
+
+    def side(lo: int, hi: int) -> Column:  # binary search among cuts[lo:hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(column) <= cuts[mid], side(lo, mid)).otherwise(side(mid + 1, hi))
+
+    return side(0, len(cuts))
 
 
 def running_total(df: DataFrame, keys: list[str], band: Column, order: list[Column], value: str, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cortigraph.functions import ode
 from cortigraph.functions.arrays import unit_hash
+from cortigraph.operators import similarity
 
 STATS = ("mean", "max", "min", "median", "var", "std")
 
@@ -68,12 +69,10 @@ def evolve(scale_edges: DataFrame, nodes: DataFrame, couplings: list[float], h:
 
 def sync_with_centre(paths: DataFrame) -> DataFrame:
     """Correlation of each node's whole trajectory with that of the first node; 0 where undefined."""
-    flat = paths.withColumn("v", F.concat("x", "y", "z"))
+    flat = paths.select("scale", "coupling", "node", F.concat("x", "y", "z").alias("v"))
     centre = flat.groupBy("scale", "coupling").agg(F.min_by("v", "node").alias("c"))
     both = flat.join(centre, ["scale", "coupling"])
-    pair = both.select("scale", "coupling", "node", F.explode(F.arrays_zip("v", "c")).alias("p"))
-    r = pair.groupBy("scale", "coupling", "node").agg(F.corr("p.v", "p.c").alias("sync"))
-    return r.withColumn("sync", F.coalesce(F.nanvl("sync", F.lit(0.0)), F.lit(0.0)))
+    return both.select("scale", "coupling", "node", F.coalesce(F.nanvl(similarity.pearson(F.col("v"), F.col("c")), F.lit(0.0)), F.lit(0.0)).alias("sync"))
 
 
 def lyapunov(paths: DataFrame, v: str = "x") -> DataFrame:

@@ -15,8 +15,8 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, block
 
     Input: one row per interval, bounds as whole milliseconds (bigint). Output:
     `keys`, kind ('period' or 'gap'), start_ms, end_ms. Rows with a null key or
-    bound, and rows that don't end after their start, are ignored; intervals that
-    touch belong to one period; repeated rows count once; other columns are
+    bound, and rows that don't end after their start, are ignored; bounds may be any
+    bigint whose length is one too; intervals that touch belong to one period; repeated rows count once; other columns are
     dropped; an empty table gives an empty result. With touch=False intervals that
     only touch stay apart, and bounds may be of any numeric type.
 
@@ -33,14 +33,20 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, block
     for c in [*k, "_s", "_e"]:
         rows = rows.where(F.col(c).isNotNull())
     # At most one row per entity and start travels on: repeated marks collapse before the shuffle.
-    longest = rows.where("_e > _s").withColumn("_b", F.floor(F.col("_s") / F.lit(block))).groupBy(*k, "_b", "_s").agg(F.max("_e").alias("_e"))
+    rows = rows.where("_e > _s")
+    if touch:  # whole numbers of any size
+        rows = rows.withColumn("_at", F.pmod("_s", F.lit(int(block)).cast("bigint"))).withColumn("_b", F.expr(f"(_s - _at) div {int(block)}"))
+    else:
+        rows = rows.withColumn("_b", F.floor(F.col("_s") / F.lit(block)))
+    longest = rows.groupBy(*k, "_b", "_s").agg(F.max("_e").alias("_e"), *([F.first("_at").alias("_at")] if touch else []))
     if not touch:
         return _joined(cut_lineage(longest.select(*k, "_b", "_s", "_e")), keys, k, F.col("_s") >= F.col("_prev"))
-    length = F.col("_e") - F.col("_s")
-    gap = F.make_interval(days=F.try_divide(length, F.lit(86_400_000)).cast("int"), secs=(length % 86_400_000) / F.lit(1000).cast("decimal(18,3)"))
+    # Within a block only the distance to other starts of the block counts, so the time is the place in it.
+    reach = F.least(F.col("_e") - F.col("_s"), F.lit(2 * int(block)).cast("bigint"))
+    gap = F.make_interval(secs=reach / F.lit(1000).cast("decimal(18,3)"))
     # The merged pieces are read several times below; they are written once.
     pieces = cut_lineage(
-        longest.groupBy(*k, "_b", F.session_window(F.timestamp_millis("_s"), gap).alias("_w"))
+        longest.groupBy(*k, "_b", F.session_window(F.timestamp_millis("_at"), gap).alias("_w"))
         .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
         .select(*k, "_b", "_s", "_e"),
     )

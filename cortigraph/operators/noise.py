@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cortigraph.functions import arrays as A
+from cortigraph.functions import iir
 
 SCALES = {"emg_burst": {"mild": 0.25, "moderate": 0.5, "severe": 1.0}, "eog_blink": {"mild": 0.5, "moderate": 1.0, "severe": 2.0}}
 CHANNELS = 18
+FLOOR = 1e-8
 
 
 def window_and_channel(row: Column) -> tuple[Column, Column]:
@@ -32,39 +38,80 @@ def awgn(df: DataFrame, v: str, row: str, snr_db: float, seed: int = 42) -> Data
     return _with_noise(df, v, row, seed, F.sqrt(F.greatest(power / F.lit(10 ** (snr_db / 10)), F.lit(1e-8))))
 
 
+def _rms(v: Column) -> Column:
+    return F.sqrt(A.dot(v, v) / F.size(v) + FLOOR)
+
+
 def eog_blink(df: DataFrame, v: str, row: str, level: str, rate: float, seed: int = 42) -> DataFrame:
-    """0 to 2 Gaussian pulses; front thirds of the channels get 1, 0.55, 0.25 of the amplitude."""
+    """0 to 2 Gaussian pulses of 0.2 to 0.4 s at RMS 1, times the signal's RMS; front thirds of the channels get 1, 0.55, 0.25 of it."""
     window, channel = window_and_channel(F.col(row))
     u = lambda *k: A.unit_hash(F.lit(seed), window, *map(F.lit, k))
     weight = F.when(channel < CHANNELS / 3, 1.0).when(channel < 2 * CHANNELS / 3, 0.55).otherwise(0.25)
-    out = df.withColumn("_n", F.floor(u("n") * 3)).withColumn("_a", weight * SCALES["eog_blink"][level] * A.deviation(F.col(v)))
+    out = df.withColumn("_n", F.floor(u("n") * 3)).withColumn("_a", weight * SCALES["eog_blink"][level] * _rms(F.col(v)))
     for p in range(2):
-        out = out.withColumn(f"_c{p}", u("centre", p) * F.size(v)).withColumn(f"_s{p}", (0.2 + 0.2 * u("width", p)) * rate / 6)
-    pulse = lambda i, p: F.when(F.col("_n") > p, F.exp(-F.pow((i - F.col(f"_c{p}")) / F.col(f"_s{p}"), F.lit(2.0)) / 2)).otherwise(0.0)
-    out = out.withColumn(v, F.transform(v, lambda x, i: x + F.col("_a") * (pulse(i, 0) + pulse(i, 1))))
+        centre, width = u("centre", p) * F.greatest(F.lit(1), F.size(v) - 1), F.greatest(F.lit(1.0), (0.2 + 0.2 * u("width", p)) * rate / 6)
+        out = out.withColumn(f"_c{p}", centre).withColumn(f"_s{p}", width)
+        pulse = F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.exp(-F.pow((i - F.col(f"_c{p}")) / F.col(f"_s{p}"), F.lit(2.0)) / 2))  # noqa: B023
+        scaled = A.let(pulse, lambda x: A.let(_rms(x), lambda r: F.transform(x, lambda y: y / r)))
+        added = F.zip_with(F.col(v), scaled, lambda x, y: x + F.col("_a") * y)
+        out = out.withColumn(v, F.when((F.col("_n") > p) & (F.size(v) > 0), added).otherwise(F.col(v)))
     return out.drop("_n", "_a", "_c0", "_s0", "_c1", "_s1")
 
 
-def emg_burst(df: DataFrame, v: str, row: str, level: str, rate: float, seed: int = 42) -> DataFrame:
-    """1 to 3 bursts of 20-70 Hz noise under a Hann window on 2 to 4 neighbouring channels.
+def bursts(seed: int, window: int, size: int, rate: float) -> list[tuple[int, np.ndarray, int, int]]:
+    """(start, values, first channel, last channel) of a window's 1 to 3 bursts of 0.1 to 0.5 s.
 
-    The band is made of seeded cosines in it, scaled to the signal's deviation.
+    White noise through a Butterworth band of 20 to 70 Hz (below the Nyquist rate),
+    under a Hann window, at RMS 1; a burst of three values or fewer is silent. The
+    2 to 4 neighbouring channels lie around one of them and end with the head.
     """
-    window, channel = window_and_channel(F.col(row))
-    u = lambda *k: A.unit_hash(F.lit(seed), window, *map(F.lit, k))
-    first, many = F.floor(u("first") * CHANNELS), 2 + F.floor(u("many") * 3)
-    hit = F.pmod(channel - first, F.lit(CHANNELS)) < many
-    top = min(70.0, 0.45 * rate)
-    low = min(20.0, top / 2)
-    tones = 8
-    out = df.withColumn("_n", F.when(hit, 1 + F.floor(u("n") * 3)).otherwise(0)).withColumn("_a", F.lit(SCALES["emg_burst"][level]) * A.deviation(F.col(v)))
-    for b in range(3):
-        out = out.withColumn(f"_l{b}", F.greatest(F.lit(4.0), F.size(v) * (0.1 + 0.2 * u("length", b)))).withColumn(f"_b{b}", u("begin", b) * (F.size(v) - F.col(f"_l{b}")))
-    wave = lambda i, b: sum((F.cos(2 * 3.141592653589793 * ((low + (top - low) * u("tone", b, t)) * i / rate + u("phase", b, t))) for t in range(tones)), F.lit(0.0)) * (2 / tones) ** 0.5
-    hann = lambda i, b: F.when((i >= F.col(f"_b{b}")) & (i <= F.col(f"_b{b}") + F.col(f"_l{b}")), 0.5 - 0.5 * F.cos(2 * 3.141592653589793 * (i - F.col(f"_b{b}")) / F.col(f"_l{b}"))).otherwise(0.0)
-    burst = lambda i: sum((F.when(F.col("_n") > b, hann(i, b) * wave(i, b)).otherwise(0.0) for b in range(3)), F.lit(0.0))
-    out = out.withColumn(v, F.transform(v, lambda x, i: x + F.col("_a") * burst(i)))
-    return out.drop("_n", "_a", *[f"_{c}{b}" for c in "lb" for b in range(3)])
+    rng = np.random.default_rng([seed, window])
+    out = []
+    for _ in range(rng.integers(1, 4)):
+        n = min(max(1, round(rng.uniform(0.1, 0.5) * rate)), size)
+        start = int(rng.integers(0, max(1, size - n + 1)))
+        white = rng.normal(size=n)
+        group, centre = int(rng.integers(2, 5)), int(rng.integers(0, CHANNELS))
+        values = np.zeros(n)
+        if n > 3:
+            high = min(70.0 / (rate / 2), 0.999)
+            low = max(20.0 / (rate / 2), 1e-4)
+            b, a = iir.butterworth(4, "band", max(high * 0.5, 1e-4) if low >= high else low, high)
+            values = iir.both_ways(b, a, white[None, :])[0] * np.hanning(n)
+            values /= np.sqrt(np.mean(values**2) + FLOOR)
+        out.append((start, values, centre - group // 2, centre + group - group // 2 - 1))
+    return out
+
+
+def emg_burst(df: DataFrame, v: str, row: str, level: str, rate: float, seed: int = 42) -> DataFrame:
+    """Bursts (see `bursts`) times the signal's RMS on the channels of each window that they hit; fixed by seed and window."""
+    schema = df.withColumn(v, A.doubles(F.col(v))).schema
+    names = schema.fieldNames()
+    at, by, scale = names.index(v), names.index(row), SCALES["emg_burst"][level]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            out = batch.column(at).to_pylist()
+            for i, k in enumerate(batch.column(by).to_pylist()):
+                if not out[i] or k is None:
+                    continue
+                x = np.array(out[i], float)
+                key = (k // CHANNELS, len(x))
+                if key not in made:
+                    if len(made) > 10_000:
+                        made.clear()
+                    made[key] = bursts(seed, key[0], key[1], rate)
+                rms = np.sqrt(np.mean(x**2) + FLOOR)
+                for start, values, first, last in made[key]:
+                    if first <= k % CHANNELS <= last:
+                        x[start : start + len(values)] += scale * rms * values
+                out[i] = x
+            arrays = [*batch.columns]
+            arrays[at] = pa.array(out, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return df.withColumn(v, A.doubles(F.col(v))).mapInArrow(run, schema)
 
 
 def apply(df: DataFrame, v: str, row: str, kind: str, level: str | float | None, rate: float = 256.0, seed: int = 42) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cortigraph.functions.arrays import unit_hash
-from cortigraph.functions.ranking import spread_rank
+from cortigraph.functions.ranking import sorted_rank, spread_rank
 
 
 def hash_band(c: Column, bits: int = 8) -> Column:
@@ -44,7 +44,8 @@ def fair_quotas(counts: DataFrame, group: str, n: str, target: int) -> DataFrame
     level = steps.where(F.col("done") + F.col("open") * F.col("size") >= target).agg(F.min(F.struct("size", "done", "open")).alias("s"))
     at = level.select(F.floor((F.lit(target) - F.col("s.done")) / F.col("s.open")).alias("level"), ((F.lit(target) - F.col("s.done")) % F.col("s.open")).alias("extra"))
     placed = counts.crossJoin(F.broadcast(at)).withColumn("_over", F.when(F.col(n) > F.col("level"), 1).otherwise(0))
-    ranked = spread_rank(placed, ["_over"], F.lit(0), [F.col(group)], "_r")
+    # Open groups come first in the order, so their places are from 1.
+    ranked = sorted_rank(placed, [F.col("_over").desc(), F.col(group)], "_r")
     quota = F.when(F.col("level").isNull(), F.col(n)).otherwise(F.least(F.col(n), F.col("level") + F.when((F.col("_over") == 1) & (F.col("_r") <= F.col("extra")), 1).otherwise(0)))
     return ranked.select(group, n, quota.cast("bigint").alias("quota"))
 
@@ -72,13 +73,13 @@ def group_folds(df: DataFrame, group: str, k: int, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(k)).cast("int"))
 
 
-def bootstrap(df: DataFrame, row_id: str, replicates: int, seed: int = 42, most: int = 8) -> DataFrame:
+def bootstrap(df: DataFrame, row_id: str, replicates: int, seed: int = 42) -> DataFrame:
     """Poisson(1) bootstrap: replicate and times drawn, for the rows drawn at least once."""
     cut, p, total = [], 0.36787944117144233, 0.0
-    for i in range(most):
+    while total + p > total:  # as far as a double tells two sums apart
         total += p
         cut.append(total)
-        p /= i + 1
+        p /= len(cut)
     u = unit_hash(F.lit(seed), F.col(row_id), F.col("replicate"))
     times = sum((F.when(u > c, 1).otherwise(0) for c in cut), F.lit(0))
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("times", times).where("times > 0")
@@ -89,9 +90,18 @@ def pick_nodes(nodes: DataFrame, node: str, n: int, method: str = "hybrid", rand
     total = nodes.count()
     if total <= n:
         return nodes.select(node)
-    ranked = spread_rank(nodes.select(node).withColumn("_one", F.lit(1)), ["_one"], F.floor(F.col(node) / 4096).cast("int"), [F.col(node)], "_pos")
+    ranked = sorted_rank(nodes.select(node), [F.col(node)], "_pos").withColumn("_one", F.lit(1))
     ranked = shuffled_rank(ranked, ["_one"], node, seed, "_rnd")
-    even = lambda m: F.array_contains(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.floor(i * F.lit((total - 1) / max(1, m - 1))).cast("bigint")), F.col("_pos") - 1)
+
+    def even(m: int) -> Column:
+        """Is the place p one of floor(i * step), i < m? There is at most one such i, next to p / step."""
+        p, step = F.col("_pos") - 1, (total - 1) / max(1, m - 1)
+        near = [F.ceil(p / F.lit(step)) + d for d in (-1, 0, 1)] if step > 0 else [F.lit(0)]
+        hit = F.lit(False)
+        for i in near:
+            hit = hit | ((i >= 0) & (i < m) & (F.floor(i * F.lit(step)) == p))
+        return hit
+
     if method == "random":
         return ranked.where(F.col("_rnd") <= n).select(node)
     if method == "uniform":

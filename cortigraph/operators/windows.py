@@ -33,10 +33,14 @@ def overlapping(windows: DataFrame, spans: DataFrame, keys: list[str], condition
 
     Both sides are spread over time buckets, so the join has an equality key and
     a key with most of the rows is spread over its own time; a window is dropped
-    or kept once. Windows must be distinct rows.
+    or kept once. Windows may be of any length: they are spread over the time that
+    spans of their key reach only. Windows must be distinct rows.
     """
     condition = condition if condition is not None else (F.col("start_sec") < F.col("hi")) & (F.col("end_sec") > F.col("lo"))
-    w, s = _buckets(windows, "start_sec", "end_sec", width), _buckets(spans.select(*keys, "lo", "hi"), "lo", "hi", width)
+    s = spans.select(*keys, "lo", "hi")
+    near = windows.join(s.groupBy(*keys).agg(F.min("lo").alias("_from"), F.max("hi").alias("_to")), keys).where("start_sec <= _to and end_sec >= _from")
+    near = near.withColumn("_a", F.greatest("start_sec", "_from")).withColumn("_z", F.least("end_sec", "_to"))
+    w, s = _buckets(near, "_a", "_z", width).drop("_from", "_to", "_a", "_z"), _buckets(s, "lo", "hi", width)
     met = w.join(s, [*keys, "_bucket"]).where(condition).select(*windows.columns).distinct()
     if how == "left_semi":
         return met
@@ -45,7 +49,13 @@ def overlapping(windows: DataFrame, spans: DataFrame, keys: list[str], condition
 
 
 def majority_inside(windows: DataFrame, spans: DataFrame, keys: list[str], share: float = 0.5, width: float = 300.0) -> DataFrame:
-    """Windows with more than `share` of their length inside one span (overlap semi-join)."""
+    """Windows with more than `share` of their length inside one span (overlap semi-join).
+
+    A window that is too long for its key's longest span is none; the others are
+    compared with the spans near them.
+    """
+    longest = spans.groupBy(*keys).agg(F.max(F.col("hi") - F.col("lo")).alias("_longest"))
+    windows = windows.join(longest, keys).where(share * (F.col("end_sec") - F.col("start_sec")) < F.col("_longest")).select(*windows.columns)
     inside = overlap(F.col("start_sec"), F.col("end_sec"), F.col("lo"), F.col("hi")) > share * (F.col("end_sec") - F.col("start_sec"))
     return overlapping(windows, spans, keys, inside, "left_semi", width)
 

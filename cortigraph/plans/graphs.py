@@ -116,8 +116,7 @@ def leave_one_out_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = graph.triangles(positive(spark, sf_dir))
-    return t.select(F.explode(F.array("i", "j", "k")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_triangles"))
+    return graph.triangle_counts(positive(spark, sf_dir))
 
 
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,6 +211,7 @@ def _pairs(prepare: str, pair: str) -> str:
 
 PEARSON = _pairs(_CENTRED.format("v"), _CORR)
 SPARSE = PEARSON + f", e AS (SELECT * FROM p WHERE w > {LEAST})\n"
+POSITIVE = PEARSON + ", e AS (SELECT * FROM p WHERE w > 0)\n"
 _ENDS = ", x AS (SELECT i AS node, j AS other, w FROM e UNION ALL SELECT j, i, w FROM e), d AS (SELECT node, sum(w) AS degree, sum(w * w) AS squares, count(*) AS edges FROM x GROUP BY node), c AS (SELECT count(*) AS n FROM s)\n"
 _SCALED = (
     PEARSON
@@ -227,26 +227,26 @@ SQL = {
     "spearman_edges": _pairs(_CENTRED.format("r"), _CORR).replace("u0 AS", f"sr AS (SELECT id, label, {_RANKS} AS r FROM s), u0 AS").replace("AS c FROM s)", "AS c FROM sr)") + "SELECT i, j, round(w, 6) AS w FROM p WHERE w > 0.2503",
     "rbf_edges": _pairs("v", "exp(-0.02 * (a.n * a.n + b.n * b.n - 2 * list_dot_product(a.c, b.c)))") + "SELECT i, j, round(w, 6) AS w FROM p WHERE w > 0.1",
     "laplacian_kernel_edges": _pairs("v", "exp(-0.05 * list_sum(list_transform(list_zip(a.c, b.c), lambda z: abs(z[1] - z[2]))))") + "SELECT i, j, round(w, 6) AS w FROM p WHERE w > 0.1",
-    "kernel_adjacency": SPARSE + "SELECT i, j, round(1 - exp(-w / 3.0), 6) AS w FROM e",
-    "gaussian_kernel_edges": SPARSE + "SELECT i, j, round(exp(-(1 - w) / (SELECT median(1 - w) FROM e)), 6) AS w FROM e",
-    "sparsified": SPARSE + "SELECT i, j, round(w / (SELECT max(w) FROM e), 6) AS w FROM e",
-    "multiscale_percentile": SPARSE
+    "kernel_adjacency": POSITIVE + "SELECT i, j, round(1 - exp(-w / 3.0), 6) AS w FROM e",
+    "gaussian_kernel_edges": POSITIVE + "SELECT i, j, round(exp(-(1 - w) / (SELECT median(1 - w) FROM e)), 6) AS w FROM e",
+    "sparsified": POSITIVE + "SELECT i, j, round(w / (SELECT max(w) FROM e), 6) AS w FROM e WHERE w >= 1e-6",
+    "multiscale_percentile": POSITIVE
     + ", t AS (SELECT unnest(range(0, 5)) AS scale, unnest((SELECT quantile_cont(w, [0.0, 0.25, 0.5, 0.75, 1.0]) FROM e)) - 1e-12 AS alpha) SELECT CAST(scale AS INTEGER) AS scale, count(*) AS n_edges, round(min(w), 6) AS least FROM e JOIN t ON w >= alpha GROUP BY scale",
-    "multiscale_bands": SPARSE
+    "multiscale_bands": POSITIVE
     + ", r AS (SELECT min(w) AS lo, max(w) AS hi FROM e), t AS (SELECT k, lo + (hi - lo) * k / 5 - 1e-12 AS alpha FROM r, (SELECT unnest(range(0, 6)) AS k)), g AS (SELECT w, (SELECT max(k) FROM t WHERE w >= alpha) AS scale FROM e) SELECT CAST(scale AS INTEGER) AS scale, count(*) AS n_edges, round(sum(w), 5) AS weight FROM g GROUP BY scale",
-    "multiscale_band_rank": SPARSE + ", g AS (SELECT w, ntile(7) OVER (ORDER BY w DESC, i, j) - 1 AS scale FROM e) SELECT CAST(scale AS INTEGER) AS scale, count(*) AS n_edges, round(min(w), 6) AS low, round(max(w), 6) AS high FROM g GROUP BY scale",
+    "multiscale_band_rank": POSITIVE + ", g AS (SELECT w, ntile(7) OVER (ORDER BY w DESC, i, j) - 1 AS scale FROM e) SELECT CAST(scale AS INTEGER) AS scale, count(*) AS n_edges, round(min(w), 6) AS low, round(max(w), 6) AS high FROM g GROUP BY scale",
     "knn_graph": PEARSON
     + ", x AS (SELECT i AS node, j AS other, w FROM p UNION ALL SELECT j, i, w FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(w, 12) DESC, other) AS rn FROM x) SELECT least(node, other) AS i, greatest(node, other) AS j, round(max(w), 6) AS w FROM k WHERE rn <= 5 GROUP BY 1, 2",
-    "knn_cut": SPARSE + _ENDS + ", k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, other) AS rn FROM x) SELECT least(node, other) AS i, greatest(node, other) AS j, round(max(w), 6) AS w FROM k WHERE rn <= 3 GROUP BY 1, 2",
-    "laplacian_entries": SPARSE + _ENDS + 'SELECT node AS "row", node AS "column", round(degree, 5) AS value FROM d UNION ALL SELECT node, other, round(-w, 5) FROM x',
-    "degree_stats": SPARSE + _ENDS + "SELECT CAST(sum(edges) // 2 AS BIGINT) AS edges, any_value(n) - count(*) AS isolated, round(sum(degree) / any_value(n), 5) AS avg_degree, round(max(degree), 5) AS max_degree, round(CASE WHEN count(*) < any_value(n) THEN 0 ELSE min(degree) END, 5) AS min_degree FROM d, c",
-    "leave_one_out_spectral": SPARSE
+    "knn_cut": POSITIVE + _ENDS + ", k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, other) AS rn FROM x) SELECT least(node, other) AS i, greatest(node, other) AS j, round(max(w), 6) AS w FROM k WHERE rn <= 3 GROUP BY 1, 2",
+    "laplacian_entries": POSITIVE + _ENDS + 'SELECT node AS "row", node AS "column", round(degree, 5) AS value FROM d UNION ALL SELECT node, other, round(-w, 5) FROM x',
+    "degree_stats": POSITIVE + _ENDS + "SELECT CAST(sum(edges) // 2 AS BIGINT) AS edges, any_value(n) - count(*) AS isolated, round(sum(degree) / any_value(n), 5) AS avg_degree, round(max(degree), 5) AS max_degree, round(CASE WHEN count(*) < any_value(n) THEN 0 ELSE min(degree) END, 5) AS min_degree FROM d, c",
+    "leave_one_out_spectral": POSITIVE
     + _ENDS
     + """, full0 AS (SELECT sum(degree) AS t, sum(degree * degree + squares) AS q FROM d),
 loo AS (SELECT r.node AS gone, x.node, sum(x.w) AS degree, sum(x.w * x.w) AS squares FROM d r JOIN x ON x.node <> r.node AND x.other <> r.node GROUP BY 1, 2),
 g AS (SELECT gone, sum(degree) AS t, sum(degree * degree + squares) AS q FROM loo GROUP BY gone)
 SELECT gone AS node, round(abs(f.t - g.t), 5) AS d_sum, round(abs(f.t / n - g.t / (n - 1)), 5) AS d_mean, round(abs(sqrt(f.q / n - pow(f.t / n, 2)) - sqrt(greatest(0, g.q / (n - 1) - pow(g.t / (n - 1), 2)))), 5) AS d_std FROM g, full0 f, c""",
-    "triangles": SPARSE + ", t AS (SELECT a.i AS i, a.j AS j, b.j AS k FROM e a JOIN e b ON a.j = b.i JOIN e c ON c.i = a.i AND c.j = b.j) SELECT unnest([i, j, k]) AS node, count(*) AS n_triangles FROM t GROUP BY 1",
+    "triangles": POSITIVE + ", t AS (SELECT a.i AS i, a.j AS j, b.j AS k FROM e a JOIN e b ON a.j = b.i JOIN e c ON c.i = a.i AND c.j = b.j) SELECT unnest([i, j, k]) AS node, count(*) AS n_triangles FROM t GROUP BY 1",
     "induced_subgraph": SPARSE + "SELECT i, j, round(w, 6) AS w FROM e WHERE i IN (SELECT id FROM s WHERE label >= 2) AND j IN (SELECT id FROM s WHERE label >= 2)",
     "knn_classify": _pairs("v", "list_dot_product(a.c, b.c) / (a.n * b.n)")
     + """, x AS (SELECT i AS id, j AS other, w FROM p UNION ALL SELECT j, i, w FROM p), f AS (SELECT x.*, row_number() OVER (PARTITION BY id ORDER BY round(w, 12) DESC, other) AS rn FROM x WHERE id % 5 <> other % 5),

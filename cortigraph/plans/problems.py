@@ -13,7 +13,7 @@ from cortigraph.session import table
 
 def _millis(c: str) -> Column:
     x = F.col(c).cast("double") * 1000
-    return F.when(F.abs(x) < 9e15, F.round(x)).cast("bigint")  # NaN and infinite bounds are no bounds
+    return F.when(F.abs(x) < 4.6e18, F.round(x)).cast("bigint")  # what is no number, or no length in a bigint, is no bound
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

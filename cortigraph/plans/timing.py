@@ -38,7 +38,7 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def majority_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of window_meta that lie by more than half inside a marked event."""
     spans = seizures(spark, sf_dir).select("file_name", F.col("start_sec").cast("double").alias("lo"), F.col("end_sec").cast("double").alias("hi"))
-    w = window_rows(spark, sf_dir).where("file_name is not null and end_sec > start_sec and end_sec - start_sec < 86400").select("window_id", "file_name", "start_sec", "end_sec").distinct()
+    w = window_rows(spark, sf_dir).where("file_name is not null and end_sec > start_sec").select("window_id", "file_name", "start_sec", "end_sec").distinct()
     return windows.majority_inside(w, spans, ["file_name"]).select("window_id")
 
 
@@ -135,7 +135,7 @@ SQL = {
     "sliding_windows": BASE
     + "SELECT file_name, count(*) AS n_windows, round(CAST(min(s) AS DOUBLE), 3) AS first_start, round(CAST(max(s) + 4.0 AS DOUBLE), 3) AS last_end FROM (SELECT file_name, unnest(range(start_sec, end_sec - 4 + 1)) AS s FROM e WHERE end_sec - start_sec >= 4) GROUP BY file_name",
     "majority_windows": BASE
-    + "SELECT DISTINCT w.window_id FROM (SELECT DISTINCT window_id, file_name, start_sec, end_sec FROM w WHERE end_sec > start_sec AND end_sec - start_sec < 86400) w JOIN e ON w.file_name = e.file_name WHERE least(w.end_sec, e.end_sec) - greatest(w.start_sec, e.start_sec) > 0.5 * (w.end_sec - w.start_sec)",
+    + "SELECT DISTINCT w.window_id FROM (SELECT DISTINCT window_id, file_name, start_sec, end_sec FROM w WHERE end_sec > start_sec) w JOIN e ON w.file_name = e.file_name WHERE least(w.end_sec, e.end_sec) - greatest(w.start_sec, e.start_sec) > 0.5 * (w.end_sec - w.start_sec)",
     "exclusion_zones": BASE + "SELECT patient_id, count(*) AS n, round(CAST(min(lo) AS DOUBLE), 3) AS first_lo, round(CAST(max(hi) AS DOUBLE), 3) AS last_hi FROM z WHERE hi > lo GROUP BY patient_id",
     "merged_zones": BASE
     + """, d AS (SELECT DISTINCT * FROM z WHERE hi > lo), p AS (SELECT *, max(hi) OVER (PARTITION BY patient_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM d),
@@ -146,9 +146,9 @@ SELECT patient_id, round(CAST(min(lo) AS DOUBLE), 3) AS lo, round(CAST(max(hi) A
 SELECT patient_id, file_name, count(*) AS n_windows, round(CAST(sum(s) AS DOUBLE), 3) AS sum_start FROM g WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.patient_id = g.patient_id AND hi > lo AND off + s < hi AND off + s + 60 > lo) GROUP BY 1, 2""",
     "preictal_windows": BASE
     + """, p AS (SELECT *, lag(file_name) OVER (PARTITION BY patient_id ORDER BY file_name) AS pf, lag(duration_sec) OVER (PARTITION BY patient_id ORDER BY file_name) AS pd FROM f),
-x AS (SELECT patient_id, file_name, min(start_sec) AS onset FROM e GROUP BY 1, 2), k AS (SELECT x.*, pf, pd, onset - unnest(range(0, 19)) * 30.0 AS en FROM x JOIN p ON x.patient_id = p.patient_id AND x.file_name = p.file_name),
+x AS (SELECT DISTINCT patient_id, file_name, start_sec AS onset FROM e), k AS (SELECT x.*, pf, pd, onset - unnest(range(0, 19)) * 30.0 AS en FROM x JOIN p ON x.patient_id = p.patient_id AND x.file_name = p.file_name),
 s AS (SELECT *, en - 60.0 AS st FROM k WHERE en > 0)
-SELECT patient_id, file_name, round(CAST(st AS DOUBLE), 3) AS start_sec, CASE WHEN st < 0 AND pf IS NOT NULL THEN 2 ELSE 1 END AS n_segments FROM s
+SELECT patient_id, file_name, round(CAST(onset AS DOUBLE), 3) AS onset, round(CAST(st AS DOUBLE), 3) AS start_sec, CASE WHEN st < 0 AND pf IS NOT NULL THEN 2 ELSE 1 END AS n_segments FROM s
 WHERE abs((CASE WHEN st < 0 AND pf IS NOT NULL THEN pd - greatest(0, pd + st) ELSE 0 END) + en - greatest(0, st) - 60.0) <= 0.1""",
     "file_predecessors": BASE + "SELECT patient_id, file_name, lag(file_name) OVER (PARTITION BY patient_id ORDER BY file_name) AS previous_file, lag(duration_sec) OVER (PARTITION BY patient_id ORDER BY file_name) AS previous_duration FROM f",
     "clock_durations": f"SELECT file_name, CASE WHEN d < 0 THEN d + 86400 ELSE d END AS clock_sec, (CASE WHEN d < 0 THEN d + 86400 ELSE d END) = duration_sec AS agrees FROM (SELECT file_name, duration_sec, {_CLOCK.format('end_time')} - {_CLOCK.format('start_time')} AS d FROM file_info) WHERE d IS NOT NULL",

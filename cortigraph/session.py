@@ -31,12 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it from there.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (local tests) a folder of this process is used.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a folder
+    of this machine is used by a local session only; a cluster has none in common.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager)
 

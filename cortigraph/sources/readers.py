@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cortigraph.functions.ranking import spread_rank
+from cortigraph.functions.ranking import sorted_rank
 from cortigraph.operators.windows import clock_duration
 
 
@@ -24,8 +24,9 @@ def text_signals(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[tT][xX][tT]").select(F.col("_metadata.file_path").alias("path"), "value")
     v = F.transform(F.filter(F.split("value", r"[\s,;]+"), lambda x: x != ""), lambda x: x.try_cast("double"))
     rows = raw.select("path", v.alias("v")).where((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull()))
-    ranked = spread_rank(rows.withColumn("_one", F.lit(1)), ["_one"], F.lit(0), [F.col("path")], "sample_id")
-    return ranked.select((F.col("sample_id") - 1).alias("sample_id"), "path", "v")
+    # Paths alone are sorted; the values stay where they are read.
+    ranked = sorted_rank(rows.select("path"), [F.col("path")], "sample_id")
+    return rows.join(ranked, "path").select((F.col("sample_id") - 1).alias("sample_id"), "path", "v")
 
 
 def same_length(df: DataFrame, v: str) -> int:
@@ -137,7 +138,7 @@ def summaries(texts: DataFrame, patient: str, text: str) -> DataFrame:
         F.col(patient),
         F.coalesce(number(t, r"Data Sampling Rate:\s*(\d+)\s*Hz"), F.lit(256)).alias("sampling_rate"),
         F.transform(F.regexp_extract_all(F.get(head, F.lit(0)), F.lit(r"(?m)^Channel\s+\d+:\s*(\S+)"), F.lit(1)), F.btrim).alias("channels"),
-        F.posexplode(F.slice(F.split(t, r"(?m)^File Name:"), 2, 1 << 20)).alias("position", "_b"),
+        F.posexplode(F.filter(F.split(t, r"(?m)^File Name:"), lambda x, i: i > 0)).alias("position", "_b"),
     )
     b = F.col("_b")
     starts, ends = numbers(b, r"Seizure(?:\s+\d+)?\s+Start Time:\s*(\d+)\s*seconds"), numbers(b, r"Seizure(?:\s+\d+)?\s+End Time:\s*(\d+)\s*seconds")
