@@ -12,65 +12,104 @@ COUPLED = {"lorenz": 1, "roessler": 0}
 
 
 def lorenz(s: np.ndarray) -> np.ndarray:
-    x, y, z = s[..., 0], s[..., 1], s[..., 2]
-    return np.stack([LORENZ["sigma"] * (y - x), x * (LORENZ["rho"] - z) - y, x * y - LORENZ["beta"] * z], axis=-1)
+    """Rates of states whose last axis but one is x, y, z."""
+    x, y, z = s[..., 0, :], s[..., 1, :], s[..., 2, :]
+    return np.stack([LORENZ["sigma"] * (y - x), x * (LORENZ["rho"] - z) - y, x * y - LORENZ["beta"] * z], axis=-2)
 
 
 def roessler(s: np.ndarray) -> np.ndarray:
-    x, y, z = s[..., 0], s[..., 1], s[..., 2]
-    return np.stack([-y - z, x + ROESSLER["a"] * y, ROESSLER["b"] + z * (x - ROESSLER["c"])], axis=-1)
+    x, y, z = s[..., 0, :], s[..., 1, :], s[..., 2, :]
+    return np.stack([-y - z, x + ROESSLER["a"] * y, ROESSLER["b"] + z * (x - ROESSLER["c"])], axis=-2)
 
 
 FIELDS = {"lorenz": lorenz, "roessler": roessler}
 
 
+def _within(s: np.ndarray, limit: float) -> np.ndarray:
+    return np.minimum(np.maximum(s, -limit), limit)
+
+
+class Neighbours:
+    """Product of a symmetric weight matrix with states: dense, or by neighbour lists where few pairs have a weight."""
+
+    def __init__(self, a: np.ndarray, sparse_below: float = 0.02):
+        row, column = np.nonzero(a)
+        self.dense = a if len(row) > sparse_below * a.size else None
+        self.column, self.weight = column, a[row, column][:, None]
+        self.first = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else row
+        self.rows = row[self.first]
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense @ s
+        out = np.zeros_like(s)
+        if len(self.rows):
+            out[self.rows] = np.add.reduceat(s[self.column] * self.weight, self.first, axis=0)
+        return out
+
+
 class Network:
     """Right-hand side of N coupled oscillators for several coupling strengths.
 
-    State: (couplings, N, 3). additive: eps * A s on all components. diffusive:
-    -eps * L s. x_only: -eps * L x on one equation (COUPLED). nearest: eps * (next +
-    previous - 2 s) on a ring. The state is clipped before the local field, the
-    field and the sum are clipped and cleaned.
+    State: (N, 3, couplings). additive: eps * A s on all components. diffusive:
+    -eps * L s. x_only: -eps * L x on one equation (COUPLED). nearest: eps * (next
+    + previous - 2 s) on a ring. The state is clipped before the local field, the
+    field and the sum are clipped; a clipped state is finite, so they are, too.
     """
 
     def __init__(self, a: np.ndarray, eps: np.ndarray, field: str = "lorenz", mode: str = "additive", state_clip: float = 200.0, rate_clip: float = 5000.0):
         if mode not in MODES:
             raise ValueError(f"unknown coupling mode {mode!r}")
-        self.a, self.degree, self.eps = a, a.sum(axis=1), np.asarray(eps, float)[:, None, None]
+        self.near, self.degree, self.eps = Neighbours(a), a.sum(axis=1)[:, None], np.asarray(eps, float)
         self.field, self.target, self.mode, self.state_clip, self.rate_clip = FIELDS[field], COUPLED[field], mode, state_clip, rate_clip
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
-        s = np.clip(s, -self.state_clip, self.state_clip)
-        d = np.clip(np.nan_to_num(self.field(s), nan=0.0, posinf=1000.0, neginf=-1000.0), -self.rate_clip, self.rate_clip)
+        s = _within(s, self.state_clip)
+        d = _within(self.field(s), self.rate_clip)
         if self.mode == "nearest":
-            d = d + self.eps * (np.roll(s, 1, axis=1) + np.roll(s, -1, axis=1) - 2 * s)
+            d += self.eps * (np.roll(s, 1, axis=0) + np.roll(s, -1, axis=0) - 2 * s)
         elif self.mode == "x_only":
-            x = s[..., 0]
-            d[..., self.target] -= self.eps[..., 0] * (self.degree * x - x @ self.a.T)
+            x = np.ascontiguousarray(s[:, 0])
+            d[:, self.target] -= self.eps * (self.degree * x - self.near(x))
         else:
-            spread = np.einsum("nm,emc->enc", self.a, s, optimize=True)
-            d = d + self.eps * (spread if self.mode == "additive" else spread - self.degree[None, :, None] * s)
-        return np.clip(d, -self.rate_clip, self.rate_clip)
+            spread = self.near(s.reshape(len(s), -1)).reshape(s.shape)
+            d += self.eps * (spread if self.mode == "additive" else spread - self.degree[..., None] * s)
+        return _within(d, self.rate_clip)
 
     def trajectory(self, s: np.ndarray, h: float, steps: int, transient: int, method: str = "rk4") -> np.ndarray:
-        """(couplings, N, steps - transient + 1, 3): node-major, from the end of the transient."""
+        """(steps - transient + 1, N, 3, couplings) from the end of the transient; s: (N, 3, couplings), values that are no number count as 0."""
         if method not in ("rk4", "euler"):
             raise ValueError(f"unknown method {method!r}")
-        out = np.empty((*s.shape[:2], steps - transient + 1, 3))
+        out = np.empty((steps - transient + 1, *s.shape))
+        s = np.nan_to_num(s)
         for t in range(steps + 1):
             if t >= transient:
-                out[:, :, t - transient] = s
-            s = np.clip(s, -self.state_clip, self.state_clip)
+                out[t - transient] = s
+            s = _within(s, self.state_clip)
             k1 = self(s)
             if method == "euler":
                 s = s + h * k1
                 continue
             k2 = self(s + h / 2 * k1)
             k3 = self(s + h / 2 * k2)
-            s = s + h / 6 * (k1 + 2 * k2 + 2 * k3 + self(s + h * k3))
+            k4 = self(s + h * k3)
+            k2 += k3
+            k2 *= 2
+            k2 += k1
+            k2 += k4
+            s = s + h / 6 * k2
         return out
 
 
+def sync_with_first(path: np.ndarray) -> np.ndarray:
+    """Correlation of each node's whole trajectory (steps, nodes, 3) with that of the first; 0 where undefined."""
+    v = path.transpose(1, 0, 2).reshape(path.shape[1], -1)
+    v = v - v.mean(axis=1, keepdims=True)
+    n = np.linalg.norm(v, axis=1)
+    ok = n * n[0] > 0
+    return np.where(ok, v @ v[0] / np.where(ok, n * n[0], 1), 0.0)
+
+
 def largest_lyapunov(x: np.ndarray, tau: int = 1, dimension: int = 10, separation: int = 10, length: int = 20) -> float:
     """Rosenstein: mean log divergence of nearest neighbours apart in time, slope of the line."""
     n = len(x) - (dimension - 1) * tau
@@ -79,9 +118,14 @@ def largest_lyapunov(x: np.ndarray, tau: int = 1, dimension: int = 10, separatio
     e = np.stack([x[i * tau : i * tau + n] for i in range(dimension)], axis=1)
     m = n - length
     q = (e[:m] ** 2).sum(1)
-    d = q[:, None] + q[None, :] - 2 * e[:m] @ e[:m].T
-    d[np.abs(np.subtract.outer(np.arange(m), np.arange(m))) < separation] = np.inf
-    j = d.argmin(axis=1)
+    # The own length is the same for all neighbours of a point: q_j - 2 e_i e_j tells the nearest.
+    left, right = np.column_stack([e[:m], np.ones(m)]), np.ascontiguousarray(np.column_stack([-2 * e[:m], q]).T)
+    j = np.empty(m, np.int64)
+    for a in range(0, m, 64):  # rows at a time, so that the products stay in the cache
+        d = left[a : a + 64] @ right
+        for r in range(len(d)):
+            d[r, max(0, a + r - separation + 1) : a + r + separation] = np.inf
+        j[a : a + 64] = d.argmin(axis=1)
     i = np.arange(m)
     steps = []
     for k in range(length):

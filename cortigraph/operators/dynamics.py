@@ -20,27 +20,32 @@ def initial_state(nodes: DataFrame, seed: int = 42) -> DataFrame:
     return nodes.select("node", (u("x") * 20 - 10).alias("x0"), (u("y") * 20 - 10).alias("y0"), (u("z") * 50).alias("z0"))
 
 
-def evolve(scale_edges: DataFrame, nodes: DataFrame, couplings: list[float], h: float = 1e-3, steps: int = 3000, transient: int = 2000, field: str = "lorenz", mode: str = "additive", method: str = "rk4", output: str = "stats", max_nodes: int = 5000, batch: int = 8, stride: int = 1) -> DataFrame:
+def evolve(scale_edges: DataFrame, nodes: DataFrame, couplings: list[float], h: float = 1e-3, steps: int = 3000, transient: int = 2000, field: str = "lorenz", mode: str = "additive", method: str = "rk4", output: str = "stats", max_nodes: int = 5000, batch: int = 11, stride: int = 1, memory: float = 3e8) -> DataFrame:
     """Integrate the network of every (scale, coupling).
 
     scale_edges: scale, i, j, w. nodes: node (all nodes take part on every
-    scale). output 'stats': six statistics of x, y and z per node; 'trajectory':
-    arrays x, y, z with every stride-th step after the transient.
+    scale). output 'stats': six statistics of x, y and z per node; 'sync': the
+    correlation of a node's whole trajectory with that of the first node, 0 where
+    undefined; 'lyapunov': the largest exponent of x; 'trajectory': arrays x, y, z
+    with every stride-th step after the transient.
 
     A graph with its state is the unit of work and must fit a task: the node set
     is cut to max_nodes beforehand (sampling.pick_nodes) and a larger one is
-    refused. Couplings are split into batches that share the matrix; (scale,
+    refused. Couplings are split into batches that share the matrix, of at most
+    `batch` and such that their trajectories take about `memory` bytes; (scale,
     batch) is the group, so scales and couplings run in parallel.
     """
-    if nodes.count() > max_nodes:
+    n_nodes = nodes.count()
+    if n_nodes > max_nodes:
         raise ValueError(f"more than {max_nodes} nodes: sample them first")
     start = initial_state(nodes)
+    batch = max(1, min(batch, int(memory / (24 * max(1, n_nodes) * (steps - transient + 1)))))
     batches = [couplings[i : i + batch] for i in range(0, len(couplings), batch)]
     scales = scale_edges.select(F.col("scale").alias("on_scale")).distinct()
     seeds = scales.crossJoin(start).withColumn("in_part", F.explode(F.sequence(F.lit(0), F.lit(len(batches) - 1))))
     edges = scale_edges.select("scale", "i", "j", "w").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(batches) - 1))))
-    names = [f"{c}_{s}" for c in "xyz" for s in STATS]
-    schema = "scale int, coupling double, node bigint, " + ", ".join(f"{n} double" for n in names) if output == "stats" else "scale int, coupling double, node bigint, x array<double>, y array<double>, z array<double>"
+    columns = {"stats": [f"{c}_{s} double" for c in "xyz" for s in STATS], "sync": ["sync double"], "lyapunov": ["lyapunov double"], "trajectory": [f"{c} array<double>" for c in "xyz"]}
+    schema = ", ".join(["scale int", "coupling double", "node bigint", *columns[output]])
 
     def run(e: pa.Table, s: pa.Table) -> pa.Table:
         order = np.argsort(s.column("node").to_numpy())
@@ -52,16 +57,21 @@ def evolve(scale_edges: DataFrame, nodes: DataFrame, couplings: list[float], h:
             a[i, j] = w
             a[j, i] = w
         eps = np.array(batches[s.column("in_part")[0].as_py()])
-        path = ode.Network(a, eps, field, mode).trajectory(np.repeat(state[None], len(eps), axis=0), h, steps, transient, method)
+        path = ode.Network(a, eps, field, mode).trajectory(np.repeat(state[:, :, None], len(eps), axis=2), h, steps, transient, method)
         n, scale = len(ids), s.column("on_scale")[0].as_py()
         out = {"scale": np.full(n * len(eps), scale, np.int32), "coupling": np.repeat(eps, n), "node": np.tile(ids, len(eps))}
         if output == "stats":
-            for c, p in zip("xyz", np.moveaxis(path, -1, 0)):
+            for k, c in enumerate("xyz"):
+                p = np.ascontiguousarray(path[:, :, k].T)  # couplings, nodes, steps
                 for name, f in zip(STATS, (np.mean, np.max, np.min, np.median, np.var, np.std)):
                     out[f"{c}_{name}"] = f(p, axis=-1).ravel()
-            return pa.table(out)
-        for k, c in enumerate("xyz"):
-            out[c] = pa.array(list(path[..., ::stride, k].reshape(n * len(eps), -1)), pa.list_(pa.float64()))
+        elif output == "sync":
+            out["sync"] = np.concatenate([ode.sync_with_first(path[..., k]) for k in range(len(eps))])
+        elif output == "lyapunov":
+            out["lyapunov"] = np.array([ode.largest_lyapunov(path[:, i, 0, k]) for k in range(len(eps)) for i in range(n)])
+        else:
+            for k, c in enumerate("xyz"):
+                out[c] = pa.array(list(path[::stride, :, k].T.reshape(n * len(eps), -1)), pa.list_(pa.float64()))
         return pa.table(out)
 
     return edges.groupBy("scale", "part").cogroup(seeds.groupBy("on_scale", "in_part")).applyInArrow(run, schema)

@@ -232,12 +232,69 @@ def eigen_metrics(edges: DataFrame, by: str, nodes: int, max_nodes: int = 5000,
     return edges.groupBy(by).applyInArrow(solve, f"{by} {kind}, largest double, smallest_nonzero double, components bigint")
 
 
+def rips_bars(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> list[tuple[int, float, float]]:
+    """(dim, birth, death) of the H0 and H1 bars of a Rips complex on a graph with edge lengths d.
+
+    Components die by Kruskal. Cycles come from the coboundaries of the other
+    edges, longest first: an edge is paired with its first triangle that no longer
+    edge has taken, after the columns of those edges are added. Most edges take
+    their first triangle at once.
+    """
+    nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    order = np.lexsort((j, i, d))
+    u, v, d = at[: len(i)][order], at[len(i) :][order], d[order]
+    n, m = len(nodes), len(d)
+    absent = np.int64(m)
+    rank = np.full((n, n), absent)
+    rank[u, v] = rank[v, u] = np.arange(m)
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out, cycles = [], []
+    for e in range(m):
+        a, b = root(u[e]), root(v[e])
+        if a != b:
+            parent[a] = b
+            out.append((0, 0.0, float(d[e])))
+        else:
+            cycles.append(e)
+
+    def coboundary(e: int) -> np.ndarray:
+        """Triangles on e, each by its longest edge and the node opposite to it, first to last."""
+        a, b = u[e], v[e]
+        x, y = rank[a], rank[b]
+        k = np.flatnonzero(np.maximum(x, y) < absent)
+        x, y = x[k], y[k]
+        longest = np.maximum(np.maximum(x, y), e)
+        return np.sort(longest * n + np.where(longest == e, k, np.where(longest == x, b, a)))
+
+    taken: dict[int, int] = {}
+    reduced: dict[int, np.ndarray] = {}
+    for e in reversed(cycles):
+        column, added = coboundary(e), False
+        while len(column) and (other := taken.get(int(column[0]))) is not None:
+            column = np.setxor1d(column, reduced[other] if other in reduced else coboundary(other), assume_unique=True)
+            added = True
+        if not len(column):
+            out.append((1, float(d[e]), float("inf")))
+            continue
+        taken[int(column[0])] = e
+        if added:
+            reduced[e] = column
+        out.append((1, float(d[e]), float(d[column[0] // n])))
+    return out
+
+
 def persistence(edges: DataFrame, by: str, max_edges: int = 150_000, least: float = 2e-5) -> DataFrame:
-    """H0 and H1 bars of the Rips complex on distances 1 - minmax(w), the strongest edges only.
+    """H0 and H1 bars of the Rips complex on distances 1 - minmax(w), of more than `least`.
 
-    One graph is one group; it holds at most max_edges edges, picked by a top-k
-    per graph before grouping. Components die by Kruskal; cycles by reduction of
-    the triangle columns.
+    One graph is one group; it holds at most max_edges edges, the strongest, as
+    the measure is defined; they are picked by a top-k per graph before grouping.
     """
     order = Window.partitionBy(by).orderBy(F.col("w").desc(), F.col("i"), F.col("j"))
     top = edges.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_edges).drop("_r")
@@ -246,42 +303,7 @@ def persistence(edges: DataFrame, by: str, max_edges: int = 150_000, least: floa
     def bars(t: pa.Table) -> pa.Table:
         i, j, w = (t.column(c).to_numpy() for c in ("i", "j", "w"))
         span = w.max() - w.min()
-        d = 1 - (w - w.min()) / span if span > 0 else np.zeros(len(w))
-        nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        order = np.lexsort((j, i, d))
-        u, v, d = at[: len(i)][order], at[len(i) :][order], d[order]
-        parent = list(range(len(nodes)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out, near, index, born = [], [set() for _ in nodes], {}, {}
-        triangles: list[tuple[int, tuple[int, int, int]]] = []
-        for e, (a, b) in enumerate(zip(u.tolist(), v.tolist())):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[ra] = rb
-                out.append((0, 0.0, float(d[e])))
-            else:
-                born[e] = float(d[e])
-            index[(min(a, b), max(a, b))] = e
-            for c in near[a] & near[b]:
-                triangles.append((e, (e, index[(min(a, c), max(a, c))], index[(min(b, c), max(b, c))])))
-            near[a].add(b)
-            near[b].add(a)
-        low: dict[int, set[int]] = {}
-        for e, sides in triangles:
-            column = set(sides)
-            while column and (p := max(column)) in low:
-                column ^= low[p]
-            if column:
-                low[p] = column
-                out.append((1, born.pop(p), float(d[e])))
-        out += [(1, b, float("inf")) for b in born.values()]
-        kept = [x for x in out if x[2] - x[1] > least]
+        kept = [x for x in rips_bars(i, j, 1 - (w - w.min()) / span if span > 0 else np.zeros(len(w))) if x[2] - x[1] > least]
         return pa.table({by: pa.array([t.column(by)[0].as_py()] * len(kept)), "dim": pa.array([x[0] for x in kept], pa.int32()), "birth": pa.array([x[1] for x in kept], pa.float64()), "death": pa.array([x[2] for x in kept], pa.float64())}, schema=pa.schema([(by, t.schema.field(by).type), ("dim", pa.int32()), ("birth", pa.float64()), ("death", pa.float64())]))
 
     return top.groupBy(by).applyInArrow(bars, f"{by} {kind}, dim int, birth double, death double")

@@ -158,17 +158,17 @@ COUPLINGS = [k / 2 for k in range(41)]
 def _dynamics(**options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes, scales = _sampled(spark, sf_dir)
-        return dynamics.evolve(scales, nodes, COUPLINGS, h=1e-3, steps=3000, transient=2000, batch=4, **options)
+        return dynamics.evolve(scales, nodes, COUPLINGS, h=1e-3, steps=3000, transient=2000, **options)
 
     return query
 
 
 def sync_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dynamics.sync_with_centre(_dynamics(output="trajectory")(spark, sf_dir))
+    return _dynamics(output="sync")(spark, sf_dir)
 
 
 def lyapunov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dynamics.lyapunov(_dynamics(output="trajectory")(spark, sf_dir)).groupBy("scale", "coupling").agg(F.avg("lyapunov").alias("mean_lyapunov"))
+    return _dynamics(output="lyapunov")(spark, sf_dir).groupBy("scale", "coupling").agg(F.avg("lyapunov").alias("mean_lyapunov"))
 
 
 def knn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:

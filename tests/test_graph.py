@@ -88,14 +88,14 @@ def test_scales_bands_and_laplacian(spark, cloud):
 
 
 def test_oscillators():
-    s0 = np.random.default_rng(0).uniform(-5, 5, (1, 1, 3))
+    s0 = np.random.default_rng(0).uniform(-5, 5, (1, 3, 1))
     free = ode.Network(np.zeros((1, 1)), np.array([0.0]))
-    ends = [free.trajectory(s0, h, round(0.2 / h), round(0.2 / h))[0, 0, -1] for h in (0.004, 0.002, 0.001)]
+    ends = [free.trajectory(s0, h, round(0.2 / h), round(0.2 / h))[-1, 0, :, 0] for h in (0.004, 0.002, 0.001)]
     assert 8 < np.linalg.norm(ends[0] - ends[1]) / np.linalg.norm(ends[1] - ends[2]) < 32  # order 4
-    two = np.repeat(s0, 2, axis=1)
+    two = np.repeat(s0, 2, axis=0)
     a = np.array([[0, 1.0], [1.0, 0]])
     same = ode.Network(a, np.array([2.0]), mode="diffusive").trajectory(two, 0.001, 50, 0)
-    np.testing.assert_allclose(same[0, 0], free.trajectory(s0, 0.001, 50, 0)[0, 0])
+    np.testing.assert_allclose(same[:, 0], free.trajectory(s0, 0.001, 50, 0)[:, 0])
     with pytest.raises(ValueError):
         ode.Network(a, np.array([1.0]), mode="other")
 
@@ -109,6 +109,11 @@ def test_evolve(spark):
     assert out.select("scale", "coupling", "node", F.round("x_mean", 9)).exceptAll(again.select("scale", "coupling", "node", F.round("x_mean", 9))).count() == 0
     paths = dynamics.evolve(edges, nodes, [1.0], h=0.01, steps=60, transient=20, output="trajectory")
     assert dynamics.sync_with_centre(paths).where("node = 0 and abs(sync - 1) > 1e-9").count() == 0
+    inside = dynamics.evolve(edges, nodes, [1.0], h=0.01, steps=60, transient=20, output="sync").withColumnRenamed("sync", "here")
+    assert dynamics.sync_with_centre(paths).join(inside, ["scale", "coupling", "node"]).where("abs(sync - here) < 1e-9").count() == 12
+    chaos = dynamics.evolve(edges, nodes, [1.0], h=0.01, steps=160, transient=20, output="lyapunov").withColumnRenamed("lyapunov", "here")
+    longer = dynamics.evolve(edges, nodes, [1.0], h=0.01, steps=160, transient=20, output="trajectory")
+    assert dynamics.lyapunov(longer).join(chaos, ["scale", "coupling", "node"]).where("abs(lyapunov - here) < 1e-9").count() == 12
 
 
 def test_metrics(spark):

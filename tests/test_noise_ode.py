@@ -10,25 +10,41 @@ def network(field):
 
 
 def test_coupling_enters_y_for_lorenz_and_x_for_roessler():
-    s = np.array([[[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]])
+    s = np.array([[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]])[:, :, None]
     pull = -0.5 * 2.0 * np.array([1.0 - 4.0, 4.0 - 1.0])  # -eps * (degree * x - A x)
     lorenz = np.array([[10 * (2 - 1), 1 * (60 - 3) - 2, 1 * 2 - 8 / 3 * 3], [10 * (5 - 4), 4 * (60 - 6) - 5, 4 * 5 - 8 / 3 * 6]])
     lorenz[:, 1] += pull
-    assert np.allclose(network("lorenz")(s)[0], lorenz)
+    assert np.allclose(network("lorenz")(s)[..., 0], lorenz)
     roessler = np.array([[-2 - 3, 1 + 0.2 * 2, 0.2 + 3 * (1 - 5.7)], [-5 - 6, 4 + 0.2 * 5, 0.2 + 6 * (4 - 5.7)]])
     roessler[:, 0] += pull
-    assert np.allclose(network("roessler")(s)[0], roessler)
+    assert np.allclose(network("roessler")(s)[..., 0], roessler)
 
 
 def test_ring_and_diffusive_coupling():
-    s = np.array([[[1.0, 0.0, 0.0], [4.0, 0.0, 0.0], [9.0, 0.0, 0.0]]])
+    s = np.array([[1.0, 0.0, 0.0], [4.0, 0.0, 0.0], [9.0, 0.0, 0.0]])[:, :, None]
     a = np.ones((3, 3)) - np.eye(3)
     plain = ode.lorenz(s)
     ring = ode.Network(a, np.array([0.1]), mode="nearest")(s) - plain
-    assert np.allclose(ring[0, :, 0], 0.1 * np.array([4 + 9 - 2, 9 + 1 - 8, 1 + 4 - 18]))
+    assert np.allclose(ring[:, 0, 0], 0.1 * np.array([4 + 9 - 2, 9 + 1 - 8, 1 + 4 - 18]))
     assert np.allclose(ode.Network(a, np.array([0.1]), mode="diffusive")(s) - plain, ring)
 
 
+def test_neighbour_lists_like_the_matrix():
+    rng = np.random.default_rng(3)
+    a = np.where(rng.random((80, 80)) < 0.01, rng.random((80, 80)), 0)
+    a = np.triu(a, 1) + np.triu(a, 1).T
+    s = rng.normal(size=(80, 6))
+    lists = ode.Neighbours(a, sparse_below=1.0)
+    assert lists.dense is None and np.allclose(lists(s), a @ s) and np.allclose(ode.Neighbours(np.zeros((4, 4)))(s[:4]), 0)
+
+
+def test_sync_in_the_kernel_like_corrcoef():
+    path = np.random.default_rng(1).normal(size=(50, 4, 3))
+    path[:, 2] = 1.0
+    got = ode.sync_with_first(path)
+    assert got[2] == 0 and np.isclose(got[3], np.corrcoef(path[:, 0].ravel(), path[:, 3].ravel())[0, 1]) and np.isclose(got[0], 1)
+
+
 def test_bursts():
     found = [b for w in range(40) for b in noise.bursts(7, w, 256, 256.0)]
     assert 40 <= len(found) <= 120

@@ -59,6 +59,48 @@ def test_equal_weights_in_bands(spark):
     assert got == {i: 28 if i == 0 else 27 for i in range(7)}
 
 
+def bars_by_columns(i, j, d):
+    """All triangles as columns, reduced one by one."""
+    order = sorted(range(len(d)), key=lambda e: (d[e], i[e], j[e]))
+    index = {(i[e], j[e]): r for r, e in enumerate(order)}
+    parent, out, born = {x: x for x in [*i, *j]}, [], {}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r, e in enumerate(order):
+        a, b = root(i[e]), root(j[e])
+        if a != b:
+            parent[a] = b
+            out.append((0, 0.0, d[e]))
+        else:
+            born[r] = d[e]
+    nodes = sorted(parent)
+    triangles = [sorted(index[p] for p in ((a, b), (a, c), (b, c))) for a in nodes for b in nodes for c in nodes if a < b < c and (a, b) in index and (a, c) in index and (b, c) in index]
+    low = {}
+    for sides in sorted(triangles, key=lambda t: t[::-1]):
+        column = set(sides)
+        while column and max(column) in low:
+            column ^= low[max(column)]
+        if column:
+            low[max(column)] = column
+            out.append((1, born.pop(max(column)), d[order[sides[2]]]))
+    return sorted(x for x in out + [(1, b, float("inf")) for b in born.values()] if x[2] > x[1])
+
+
+def test_bars_like_the_plain_reduction():
+    rng = random.Random(6)
+    for n, share in ((8, 0.9), (14, 0.5), (20, 0.35), (12, 1.0)):
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < share]
+        for ties in (False, True):
+            d = [round(rng.random(), 1) if ties else rng.random() for _ in pairs]
+            i, j = [p[0] for p in pairs], [p[1] for p in pairs]
+            got = sorted(x for x in graph.rips_bars(np.array(i), np.array(j), np.array(d)) if x[2] > x[1])
+            assert got == bars_by_columns(i, j, d)
+
+
 def test_binarised(spark):
     e = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.2), (2, 3, 0.9)], "i bigint, j bigint, w double")
     assert sorted(map(tuple, graph.binarise(e, 0.4).collect())) == [(1, 2, 1.0), (2, 3, 1.0)]
