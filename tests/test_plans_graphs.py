@@ -29,7 +29,7 @@ def test_whole_sweep(spark, embeddings, monkeypatch, name):
 
     def evolve(scales, nodes, couplings, **options):
         asked.update(options, couplings=couplings)
-        return spark.createDataFrame([], "scale int, coupling double, node bigint, x array<double>, y array<double>, z array<double>")
+        return spark.createDataFrame([], "scale int, coupling double, node bigint, x array<double>, y array<double>, z array<double>, sync double, lyapunov double")
 
     monkeypatch.setattr(dynamics, "evolve", evolve)
     graphs.FOUND[name](spark, embeddings[0])
