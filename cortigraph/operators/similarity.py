@@ -71,6 +71,7 @@ METHODS = {
     "cosine": (unit, lambda a, b, gamma: A.dot(a, b)),
     "rbf": (lambda v: v, rbf),
     "laplacian": (lambda v: v, laplacian_kernel),
+    "dot": (lambda v: v, lambda a, b, gamma: A.dot(a, b)),
 }
 
 
@@ -99,6 +100,11 @@ def _rows(column: pa.ChunkedArray) -> np.ndarray:
 def _products(x: np.ndarray, y: np.ndarray, method: str, gamma: float) -> np.ndarray:
     if method in ("pearson", "spearman", "cosine"):
         return np.clip(x @ y.T, -1, 1)
+    if method == "dot":
+        return x @ y.T
+    if method == "channels_rbf":  # gamma: one number for each channel
+        parts = zip(np.split(x, len(gamma), axis=1), np.split(y, len(gamma), axis=1), gamma)
+        return sum(_products(a, b, "rbf", g) for a, b, g in parts) / len(gamma)
     if method == "rbf":
         return np.exp(-gamma * np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
     return np.exp(-gamma * np.stack([np.abs(x - r).sum(axis=1) for r in y], axis=1))
@@ -108,7 +114,7 @@ def _blocks(vectors: DataFrame, method: str, block: int) -> tuple[DataFrame, int
     """Rows with their block, replicated to the unordered block pairs they take part in."""
     n = max(1, vectors.count())
     nb = -(-n // block)
-    prepared = vectors.select("id", METHODS[method][0](A.doubles(F.col("v"))).alias("v"), F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("own"))
+    prepared = vectors.select("id", METHODS["dot" if method == "channels_rbf" else method][0](A.doubles(F.col("v"))).alias("v"), F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("own"))
     replicated = prepared.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     return replicated.select("id", "v", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")), nb
 
@@ -253,6 +259,32 @@ def block_topk(queries: DataFrame, vectors: DataFrame, k: int, method: str = "pe
     return winners.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def channels_mean(pairs: DataFrame, channels: int | None = None) -> DataFrame:
-    """Multi-channel similarity: (i, j, w) per channel to its mean, over all channels or those met."""
-    return pairs.groupBy("i", "j").agg((F.avg("w") if channels is None else F.sum("w") / channels).alias("w"))
+def _channel(v: Column, c, length: Column) -> Column:
+    return F.slice(v, (c * length + 1).cast("int"), length.cast("int"))
+
+
+def multichannel_pearson(vectors: DataFrame, channels: int, least: float = 0.0, live_only: bool = False, block: int = BLOCK) -> DataFrame:
+    """Edges i < j, w of recordings of several channels: the mean of the channels' correlations.
+
+    v holds the channels one behind the other. A channel that is constant in a
+    recording counts as 0. The mean is over all channels, or with live_only over
+    those that are not constant in every recording. Centred channels of length 1,
+    side by side, turn the mean into one product.
+    """
+    length = F.size("v") / F.lit(channels)
+    units = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: centred_unit(_channel(F.col("v"), c, length))))
+    rows = vectors.withColumn("v", A.doubles(F.col("v"))).select("id", units.alias("v"))
+    n = channels
+    if live_only:
+        live = rows.agg(*[F.max(F.exists(_channel(F.col("v"), F.lit(c), length), lambda x: x != 0)).alias(f"c{c}") for c in range(channels)]).first()
+        n = max(1, sum(bool(x) for x in live))
+    return all_pairs(rows.select("id", F.transform("v", lambda x: x / F.lit(n**0.5)).alias("v")), "dot", least, block=block)
+
+
+def multichannel_rbf(vectors: DataFrame, channels: int, least: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """Edges i < j, w: the mean of the channels' RBF kernels, gamma of a channel 1 / (its length * its variance over all recordings)."""
+    rows = vectors.select("id", A.doubles(F.col("v")).alias("v"))
+    long = rows.select(F.posexplode("v").alias("p", "x"), F.size("v").alias("n"))
+    by = long.groupBy(F.floor(F.col("p") * channels / F.col("n")).cast("int").alias("c")).agg(F.var_pop("x").alias("s"), F.max("n").alias("n"))
+    scale = {r["c"]: channels / (r["n"] * r["s"]) if r["s"] > 0 else 1.0 for r in by.collect()}  # a row per channel
+    return all_pairs(rows, "channels_rbf", least, gamma=[scale.get(c, 1.0) for c in range(channels)], block=block)

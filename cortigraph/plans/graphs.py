@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cortigraph.functions import arrays as A
-from cortigraph.operators import dynamics, evaluation, graph, noise, sampling, similarity
+from cortigraph.operators import dynamics, evaluation, features, graph, noise, sampling, similarity
 from cortigraph.session import cut_lineage, table
 
 #: Weight from which pairs are edges in pearson_edges, cosine_edges and induced_subgraph.
@@ -133,6 +133,37 @@ def correlation_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def multichannel_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as recordings of four channels of sixteen values."""
+    return similarity.multichannel_pearson(vectors(spark, sf_dir), 4, LEAST).select("i", "j", F.round("w", 6).alias("w"))
+
+
+def multichannel_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.multichannel_rbf(vectors(spark, sf_dir), 4, 0.2).select("i", "j", F.round("w", 6).alias("w"))
+
+
+def _step_features(width: int | None):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Features of each vector as a series, up to every 16th step and the last."""
+        f = features.features_at_steps(vectors(spark, sf_dir).select("id", "v"), "v", features.steps_of(64, 16, width), width)
+        return f.select("id", "step", *[F.round(F.get("f", F.lit(k)), 6).alias(n) for k, n in enumerate(features.FEATURES)])
+
+    return query
+
+
+def diversity_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diversity of the vectors' features over the steps."""
+    f = features.features_at_steps(vectors(spark, sf_dir).select("id", "v"), "v", features.steps_of(64, 16))
+    d = features.diversity(f, "step", "id", "f")
+    return d.select("step", *[F.round(c, 6).alias(c) for c in d.columns[1:]])
+
+
+def critical_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nodes whose loss changes the spectral sum most."""
+    d = graph.leave_one_out(positive(spark, sf_dir), vectors(spark, sf_dir).count())
+    return d.select("node", F.round("d_sum", 5).alias("d_sum")).orderBy(F.col("d_sum").desc(), "node").limit(10)
+
+
 def _sampled(spark: SparkSession, sf_dir: str, most: int = 5000) -> tuple[DataFrame, DataFrame]:
     """All nodes, above `most` a hybrid sample of them (the same on all scales), and the nested scales of their whole graph."""
     nodes = cut_lineage(sampling.pick_nodes(vectors(spark, sf_dir).select(F.col("id").alias("node")), "node", most))
@@ -187,6 +218,8 @@ FOUND = {
     "spearman_edges": _edges("spearman", 0.2503),
     "rbf_edges": _edges("rbf", 0.1, 0.02),
     "laplacian_kernel_edges": _edges("laplacian", 0.1, 0.05),
+    "prefix_features": _step_features(None),
+    "trailing_features": _step_features(16),
     "dynamics_additive": _dynamics(mode="additive"),
     "dynamics_diffusive": _dynamics(mode="diffusive"),
     "dynamics_roessler": _dynamics(field="roessler", mode="x_only"),
@@ -194,7 +227,7 @@ FOUND = {
         f.__name__: f
         for f in (
             multiscale_percentile, multiscale_bands, multiscale_band_rank, kernel_adjacency, gaussian_kernel_edges, sparsified, knn_graph, knn_cut, laplacian_entries, degree_stats,
-            leave_one_out_spectral, triangles, induced_subgraph, correlation_shift, eigen_metrics, persistence, sync_corr, lyapunov, knn_classify,
+            leave_one_out_spectral, critical_nodes, triangles, induced_subgraph, multichannel_pearson, multichannel_rbf, diversity_steps, correlation_shift, eigen_metrics, persistence, sync_corr, lyapunov, knn_classify,
         )
     },
 }
@@ -254,3 +287,46 @@ v AS (SELECT f.id, k, s.label, count(*) AS n FROM f JOIN s ON s.id = f.other JOI
 b AS (SELECT id, k, arg_min(label, (-n, label)) AS predicted FROM v GROUP BY 1, 2)
 SELECT k, round(avg(CASE WHEN predicted = s.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM b JOIN s ON s.id = b.id GROUP BY k""",
 }
+
+_CHANNELS = _S + ", ".join(f"c{c} AS (SELECT id, v[{16 * c + 1}:{16 * c + 16}] AS v FROM s)" for c in range(4))
+SQL["multichannel_pearson"] = (
+    _CHANNELS
+    + ", "
+    + ", ".join(f"u{c} AS (SELECT id, {_CENTRED.format('v')} AS c FROM c{c}), n{c} AS (SELECT id, c, sqrt(list_dot_product(c, c)) AS n FROM u{c})" for c in range(4))
+    + ", w AS (SELECT a0.id AS i, b0.id AS j, ("
+    + " + ".join(f"coalesce(list_dot_product(a{c}.c, b{c}.c) / nullif(a{c}.n * b{c}.n, 0), 0)" for c in range(4))
+    + ") / 4 AS w FROM n0 a0 JOIN n0 b0 ON a0.id < b0.id "
+    + " ".join(f"JOIN n{c} a{c} ON a{c}.id = a0.id JOIN n{c} b{c} ON b{c}.id = b0.id" for c in range(1, 4))
+    + f") SELECT i, j, round(w, 6) AS w FROM w WHERE w > {LEAST}"
+)
+SQL["multichannel_rbf"] = (
+    _CHANNELS
+    + ", "
+    + ", ".join(f"g{c} AS (SELECT 1 / (16 * var_pop(x)) AS g FROM (SELECT unnest(v) AS x FROM c{c}))" for c in range(4))
+    + ", w AS (SELECT a0.id AS i, b0.id AS j, ("
+    + " + ".join(f"exp(-g{c}.g * list_sum(list_transform(list_zip(a{c}.v, b{c}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))" for c in range(4))
+    + ") / 4 AS w FROM c0 a0 JOIN c0 b0 ON a0.id < b0.id "
+    + " ".join(f"JOIN c{c} a{c} ON a{c}.id = a0.id JOIN c{c} b{c} ON b{c}.id = b0.id" for c in range(1, 4))
+    + " CROSS JOIN g0 CROSS JOIN g1 CROSS JOIN g2 CROSS JOIN g3) SELECT i, j, round(w, 6) AS w FROM w WHERE w > 0.2"
+)
+
+
+def _step_sql(width: int | None) -> str:
+    first = f"greatest(1, step + 1 - {width})" if width else "1"
+    return _S + f"t AS (SELECT id, CAST(step AS INTEGER) AS step, v[{first}:step + 1] AS y FROM s, (SELECT unnest({features.steps_of(64, 16, width)}) AS step)), f AS (SELECT id, step, list_avg(y) AS mean, list_max(y) AS max, list_min(y) AS min, list_aggregate(y, 'median') AS median, list_aggregate(y, 'stddev_pop') AS std FROM t)\n"
+
+
+_ROUNDED = "SELECT id, step, round(mean, 6) AS mean, round(max, 6) AS max, round(min, 6) AS min, round(median, 6) AS median, round(std, 6) AS std FROM f"
+SQL["prefix_features"], SQL["trailing_features"] = _step_sql(None) + _ROUNDED, _step_sql(16) + _ROUNDED
+SQL["diversity_steps"] = (
+    _step_sql(None)
+    + """, x AS (SELECT step, id, unnest([mean, max, min, median, std]) AS x, unnest([0, 1, 2, 3, 4]) AS p FROM f),
+sd AS (SELECT step, avg(s) AS std FROM (SELECT step, p, stddev_pop(x) AS s FROM x GROUP BY 1, 2) GROUP BY 1),
+a AS (SELECT step, var_pop(x) AS variance, sqrt(sum(x * x)) AS frobenius, min(x) AS lo, max(x) AS hi, count(*) AS n FROM x GROUP BY 1),
+h AS (SELECT x.step, least(19, floor(coalesce((x - lo) / nullif(hi - lo, 0), 0.5) * 20 + 1e-9)) AS bin, count(*) AS c FROM x JOIN a ON a.step = x.step GROUP BY 1, 2),
+e AS (SELECT a.step, -sum((coalesce(c, 0) + 1e-10) / (n + 20e-10) * ln((coalesce(c, 0) + 1e-10) / (n + 20e-10))) AS entropy FROM a CROSS JOIN (SELECT unnest(range(0, 20)) AS bin) b LEFT JOIN h ON h.step = a.step AND h.bin = b.bin GROUP BY 1),
+d AS (SELECT a.step, avg(sqrt(pow(a.mean - b.mean, 2) + pow(a.max - b.max, 2) + pow(a.min - b.min, 2) + pow(a.median - b.median, 2) + pow(a.std - b.std, 2))) AS mean_distance FROM f a JOIN f b ON a.step = b.step AND a.id < b.id GROUP BY 1)
+SELECT a.step, round(std, 6) AS std, round(frobenius, 6) AS frobenius, round(mean_distance, 6) AS mean_distance, round(variance, 6) AS variance, round(entropy, 6) AS entropy,
+  CASE WHEN std = mean_distance AND std = variance THEN round(std, 6) ELSE 0 END AS combined FROM a JOIN sd ON sd.step = a.step JOIN e ON e.step = a.step JOIN d ON d.step = a.step"""
+)
+SQL["critical_nodes"] = SQL["leave_one_out_spectral"].replace("SELECT gone AS node, round(abs(f.t - g.t), 5) AS d_sum,", "SELECT node, d_sum FROM (SELECT gone AS node, round(abs(f.t - g.t), 5) AS d_sum,") + ") ORDER BY d_sum DESC, node LIMIT 10"
