@@ -56,10 +56,10 @@ def fourier_features(df: DataFrame, v: str, n: int = 256, gamma: float | None =
     return wide.mapInArrow(run, wide.schema)
 
 
-def _predict(train: DataFrame, test: DataFrame, estimator) -> DataFrame:
+def _predict(train: DataFrame, test: DataFrame, estimator, by: list[str] | None = None) -> DataFrame:
     estimator.setFeaturesCol("scaled")
     fitted = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), estimator]).fit(train)
-    return fitted.transform(test).select("id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
+    return fitted.transform(test).select("id", *(by or []), F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
 
 
 def cross_validate(df: DataFrame, make: Callable[[], object], folds: int = 5) -> DataFrame:
@@ -89,13 +89,13 @@ def ablation(df: DataFrame, sets: dict[str, list[tuple[int, int]]], models: dict
     return out
 
 
-def transfer(clean: DataFrame, noisy: DataFrame, make: Callable[[], object], folds: int = 5) -> DataFrame:
-    """Fitted on clean rows, tested on the noisy form of the other folds' rows."""
+def transfer(clean: DataFrame, noisy: DataFrame, make: Callable[[], object], folds: int = 5, by: list[str] | None = None) -> DataFrame:
+    """Fitted on clean rows, tested on the noisy form of the other folds' rows; metrics of each condition in `by`."""
     out = None
     for f in range(folds):
-        part = _predict(vectors(clean, "v", "label").where(F.col("fold") != f), vectors(noisy, "v", "label").where(F.col("fold") == f), make())
+        part = _predict(vectors(clean, "v", "label").where(F.col("fold") != f), vectors(noisy, "v", "label").where(F.col("fold") == f), make(), by)
         out = part if out is None else out.unionByName(part)
-    return evaluation.summary(out, "label", "predicted")
+    return evaluation.summary(out, "label", "predicted", by)
 
 
 def bagged(df: DataFrame, pool: int, make: Callable[[], object]) -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 
 from cortigraph.functions import arrays as A
 from cortigraph.functions.keys import latest_version, patient_key
-from cortigraph.operators import evaluation
+from cortigraph.operators import evaluation, experiments
 from cortigraph.plans.signals import trials
 from cortigraph.session import cut_lineage, table
 
@@ -173,9 +172,9 @@ FOUND = {
         fingerprints, pending_conditions, json_props, confusion, sens_spec, prf_weighted, auc_rank, auc_by_patient, consensus_curve, pca_projection,
     )
 } | {
-    "logistic_regression": _classifier(lambda: LogisticRegression(maxIter=50, regParam=0.001)),
-    "random_forest": _classifier(lambda: RandomForestClassifier(numTrees=20, maxDepth=6, seed=42)),
-    "gradient_boosting": _classifier(lambda: GBTClassifier(maxIter=5, maxDepth=3, stepSize=0.1, seed=42)),
+    "logistic_regression": _classifier(lambda: experiments.model("logistic")),
+    "random_forest": _classifier(lambda: experiments.model("forest")),
+    "gradient_boosting": _classifier(lambda: experiments.model("boosting")),
 }
 
 _PATIENT = "nullif(lower(translate(patient_id, chr(9) || chr(10) || chr(13) || chr(160) || ' -_', '')), '')"

@@ -235,4 +235,11 @@ SELECT sample_id, round(y[1], 5) AS first, round(y[len(y)], 5) AS last, round(li
     "landmark_rbf": BUNDLE + _LAND.format(prep=_two(_Z.format("v"), _Z.format("f")), pair="exp(-0.02 * list_sum(list_transform(list_zip(a, b), lambda z: pow(z[1] - z[2], 2))))"),
     "landmark_laplacian": BUNDLE + _LAND.format(prep=_two(_Z.format("v"), _Z.format("f")), pair="exp(-0.02 * list_sum(list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2]))))"),
 }
+SQL["landmark_check"] = (
+    # Versions of one time are ordered by the columns that are asked for.
+    BUNDLE.replace("features DESC NULLS LAST, label", "features DESC NULLS LAST, similarity DESC NULLS LAST, label")
+    + f""", m AS (SELECT landmark_id, {_UNIT.format("f")} AS b, row_number() OVER (ORDER BY landmark_id) AS p FROM (SELECT landmark_id, CAST(features AS DOUBLE[]) AS f FROM landmark_sample)),
+u AS (SELECT label, {_UNIT.format("v")} AS a, stored FROM t WHERE len(stored) = 16 AND len(list_filter(stored, lambda x: isfinite(x))) = 16)
+SELECT label, count(*) AS n, round(avg(abs(greatest(-1, least(1, coalesce({_COS}, 0))) - stored[p])), 4) AS mean_difference FROM u, m GROUP BY label"""
+)
 SQL["good_trials"] = SQL["bad_trials"].replace("SELECT sample_id, coalesce", ", q AS (SELECT sample_id, coalesce", 1) + ") SELECT label, count(*) AS n FROM b JOIN q ON b.sample_id = q.sample_id WHERE NOT bad GROUP BY label"

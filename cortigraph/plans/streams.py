@@ -39,6 +39,14 @@ def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FOUND = {f.__name__: f for f in (stream_windows, stream_sessions, stream_baseline, session_episodes, window_stats)}
 SQL = {
+    # Windows and sessions that end before the watermark, an hour behind the latest event.
+    "stream_windows": """WITH w AS (SELECT event_type, unnest([floor(epoch_us(ts) / 10800000000) * 10800000000, floor(epoch_us(ts) / 10800000000) * 10800000000 - 10800000000]) AS s FROM events WHERE ts IS NOT NULL),
+k AS (SELECT event_type, s, count(*) AS n FROM w WHERE s + 21600000000 <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events) GROUP BY 1, 2)
+SELECT event_type, count(*) AS n_windows, CAST(sum(n) AS BIGINT) AS n_events FROM k GROUP BY 1""",
+    "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+n AS (SELECT user_id, k, count(*) AS n, max(epoch_us(ts)) + 1800000000 AS e FROM s GROUP BY 1, 2)
+SELECT user_id, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n_events FROM n WHERE e <= (SELECT epoch_us(max(ts)) - 3600000000 FROM events) GROUP BY user_id""",
     "stream_baseline": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type",
     "session_episodes": """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
 s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), n AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2)

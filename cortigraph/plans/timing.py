@@ -109,6 +109,12 @@ def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.permuted(window_rows(spark, sf_dir).select("window_id"), "window_id")
 
 
+def permutation_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, different places, and the first and last place of the permutation."""
+    p = permutation(spark, sf_dir)
+    return p.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("n_places"), F.min("position").alias("first"), F.max("position").alias("last"))
+
+
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.bootstrap(window_rows(spark, sf_dir).select("window_id", "label"), "window_id", 4).groupBy("replicate", "label").agg(F.sum("times").alias("drawn"))
 
@@ -117,7 +123,7 @@ FOUND = {
     f.__name__: f
     for f in (
         sliding_windows, majority_windows, exclusion_zones, merged_zones, interictal_antijoin, preictal_windows, file_predecessors, clock_durations, window_counts, sample_availability,
-        fair_quotas, balanced_sample, stratified_folds, group_folds, permutation, bootstrap,
+        fair_quotas, balanced_sample, stratified_folds, group_folds, permutation, permutation_places, bootstrap,
     )
 }
 
@@ -162,6 +168,7 @@ SELECT c.patient_id, n, count(s.rn) AS quota FROM c LEFT JOIN s ON s.patient_id
     "stratified_folds": BASE + ", r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY window_id) - 1 AS k FROM w WHERE label IN (0, 1)) SELECT label, CAST(k % 5 AS INTEGER) AS fold, count(*) AS n FROM r GROUP BY 1, 2",
     "group_folds": BASE + "SELECT patient_id, CAST(1 AS BIGINT) AS n_folds, count(*) AS n FROM w WHERE patient_id IS NOT NULL GROUP BY patient_id",
 }
+SQL["permutation_places"] = BASE + "SELECT count(*) AS n, count(*) AS n_places, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM w"
 SQL["balanced_sample"] = (
     BASE
     + """, c AS (SELECT label, patient_id, count(*) AS n FROM w WHERE label IN (0, 1) AND patient_id IS NOT NULL GROUP BY 1, 2), t AS (SELECT CAST(sum(n) AS BIGINT) // 10 AS target FROM c WHERE label = 1),
