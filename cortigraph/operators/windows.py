@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cortigraph.functions.ranking import spread_rank
 from cortigraph.operators.intervals import periods_and_gaps
 
 
@@ -116,6 +117,29 @@ def interictal(files: DataFrame, events: DataFrame, length: float, step: float,
     return kept.select("patient_id", "file_name", F.col("at").alias("start_sec"), (F.col("at") + length).alias("end_sec"))
 
 
+def extended(spans: DataFrame, before: float, after: float) -> DataFrame:
+    """Spans (lo, hi) with `before` and `after` added at their ends, not below 0."""
+    return spans.withColumn("lo", F.greatest(F.lit(0.0), F.col("lo") - before)).withColumn("hi", F.col("hi") + after)
+
+
+def interictal_draw(files: DataFrame, events: DataFrame, wanted: DataFrame, length: float, step: float, gap: float, seed: int = 42, width: float = 3600.0) -> DataFrame:
+    """`wanted` (patient_id, file_name, n) windows of each file at random, away from every zone of its patient.
+
+    A file without such a window draws from all of its grid. Fewer come out where
+    there are fewer. The order is fixed by seed, file and start, and a file with most of
+    the windows is numbered in pieces.
+    """
+    keys = ["patient_id", "file_name"]
+    wanted = wanted.groupBy(*keys).agg(F.sum("n").alias("_n"))
+    # The clock of a patient runs over all files, those that draw nothing included.
+    away = interictal(files, events, length, step, gap, width).join(wanted.select(*keys), keys, "left_semi")
+    none = files.join(wanted.select(*keys), keys, "left_semi").join(away.select(*keys).distinct(), keys, "left_anti").withColumn("_zero", F.lit(0))
+    grid = away.withColumn("fallback", F.lit(False)).unionByName(sliding(none, "_zero", "duration_sec", length, step).select(*keys, "start_sec", "end_sec").withColumn("fallback", F.lit(True)))
+    h = F.xxhash64(F.lit(seed), *keys, F.col("start_sec"))
+    ranked = spread_rank(grid, keys, F.shiftrightunsigned(h, 58).cast("int"), [h, F.col("start_sec")], "_r")
+    return ranked.join(wanted, keys).where("_r <= _n").drop("_r", "_n")
+
+
 def clock_seconds(c: Column) -> Column:
     """Seconds of HH:MM:SS text; hours may pass 24."""
     p = F.split(c, ":")

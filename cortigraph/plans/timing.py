@@ -58,6 +58,21 @@ def interictal_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("patient_id", "file_name").agg(F.count(F.lit(1)).alias("n_windows"), F.round(F.sum("start_sec"), 3).alias("sum_start"))
 
 
+def interictal_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two minute windows away from every zone for each marked event of a file."""
+    f, e = files(spark, sf_dir), seizures(spark, sf_dir)
+    wanted = e.groupBy("patient_id", "file_name").agg((2 * F.count(F.lit(1))).alias("n"))
+    w = windows.interictal_draw(f, e, wanted, 60.0, 60.0, GAP)
+    return w.groupBy("patient_id", "file_name").agg(F.count(F.lit(1)).alias("n_windows"), F.count_distinct("start_sec").alias("n_starts"), F.max("fallback").alias("fallback"))
+
+
+def extended_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows by more than half inside a marked event with a minute before and two after it."""
+    spans = seizures(spark, sf_dir).select("file_name", F.col("start_sec").cast("double").alias("lo"), F.col("end_sec").cast("double").alias("hi"))
+    w = window_rows(spark, sf_dir).where("file_name is not null and end_sec > start_sec").select("window_id", "file_name", "start_sec", "end_sec").distinct()
+    return windows.majority_inside(w, windows.extended(spans, 60.0, 120.0), ["file_name"]).select("window_id")
+
+
 def preictal_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows before every onset of a file; one that lies before several onsets is a row of each."""
     e = seizures(spark, sf_dir).select("patient_id", "file_name", F.col("start_sec").cast("double").alias("onset")).distinct()
@@ -122,7 +137,7 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOUND = {
     f.__name__: f
     for f in (
-        sliding_windows, majority_windows, exclusion_zones, merged_zones, interictal_antijoin, preictal_windows, file_predecessors, clock_durations, window_counts, sample_availability,
+        sliding_windows, majority_windows, extended_windows, interictal_draw, exclusion_zones, merged_zones, interictal_antijoin, preictal_windows, file_predecessors, clock_durations, window_counts, sample_availability,
         fair_quotas, balanced_sample, stratified_folds, group_folds, permutation, permutation_places, bootstrap,
     )
 }
@@ -168,6 +183,14 @@ SELECT c.patient_id, n, count(s.rn) AS quota FROM c LEFT JOIN s ON s.patient_id
     "stratified_folds": BASE + ", r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY window_id) - 1 AS k FROM w WHERE label IN (0, 1)) SELECT label, CAST(k % 5 AS INTEGER) AS fold, count(*) AS n FROM r GROUP BY 1, 2",
     "group_folds": BASE + "SELECT patient_id, CAST(1 AS BIGINT) AS n_folds, count(*) AS n FROM w WHERE patient_id IS NOT NULL GROUP BY patient_id",
 }
+SQL["extended_windows"] = SQL["majority_windows"].replace("least(w.end_sec, e.end_sec) - greatest(w.start_sec, e.start_sec)", "least(w.end_sec, e.end_sec + 120.0) - greatest(w.start_sec, greatest(0, e.start_sec - 60.0))")
+SQL["interictal_draw"] = (
+    BASE
+    + """, m AS (SELECT patient_id, file_name, 2 * count(*) AS n FROM e GROUP BY 1, 2), g AS (SELECT o.patient_id, o.file_name, off, unnest(range(0, CAST(duration_sec AS BIGINT) - 60 + 1, 60)) AS s FROM o WHERE duration_sec >= 60),
+k AS (SELECT *, NOT EXISTS (SELECT 1 FROM z WHERE z.patient_id = g.patient_id AND hi > lo AND off + s < hi AND off + s + 60 > lo) AS away FROM g),
+c AS (SELECT m.patient_id, m.file_name, any_value(m.n) AS n, count(*) AS grid, count(*) FILTER (away) AS away FROM m JOIN k ON k.patient_id = m.patient_id AND k.file_name = m.file_name GROUP BY 1, 2)
+SELECT patient_id, file_name, least(n, CASE WHEN away > 0 THEN away ELSE grid END) AS n_windows, least(n, CASE WHEN away > 0 THEN away ELSE grid END) AS n_starts, away = 0 AS fallback FROM c"""
+)
 SQL["permutation_places"] = BASE + "SELECT count(*) AS n, count(*) AS n_places, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM w"
 SQL["balanced_sample"] = (
     BASE

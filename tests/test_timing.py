@@ -12,3 +12,25 @@ def test_windows_before_every_onset(spark, tmp_path):
     assert sorted(r["start_sec"] for r in found if r["onset"] == 2000) == [1400.0 + 30 * k for k in range(19)]
     assert sorted((r["start_sec"], r["n_segments"]) for r in found if r["onset"] == 100) == [(-50.0, 2), (-20.0, 2), (10.0, 1), (40.0, 1)]
     assert len(found) == 23
+
+
+def test_draw_falls_back_to_the_whole_file(spark):
+    files = spark.createDataFrame([("p", "a", 600), ("p", "b", 7200), ("q", "c", 90)], "patient_id string, file_name string, duration_sec int")
+    events = spark.createDataFrame([("p", "a", 300, 320)], "patient_id string, file_name string, start_sec int, end_sec int")
+    wanted = spark.createDataFrame([("p", "a", 3), ("p", "b", 5), ("q", "c", 4)], "patient_id string, file_name string, n bigint")
+    rows = windows.interictal_draw(files, events, wanted, 60.0, 60.0, 600.0).collect()
+    by = {f: [r for r in rows if r["file_name"] == f] for f in "abc"}
+    assert [len(by[f]) for f in "abc"] == [3, 5, 1] and all(r["fallback"] for r in by["a"]) and not any(r["fallback"] for r in by["b"] + by["c"])
+    assert len({r["start_sec"] for r in by["b"]}) == 5
+    again = windows.interictal_draw(files.repartition(3), events, wanted, 60.0, 60.0, 600.0).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_windows_of_any_length_meet_spans(spark):
+    w = spark.createDataFrame([("f", 1, -1e12, 1e12), ("f", 2, 0.0, 30.0), ("f", 3, 1e9, 1e9 + 5), ("g", 4, 0.0, 9.0)], "file_name string, id int, start_sec double, end_sec double")
+    spans = windows.extended(spark.createDataFrame([("f", 30.0, 40.0)], "file_name string, lo double, hi double"), 20.0, 5.0)
+    assert [tuple(r) for r in spans.collect()] == [("f", 10.0, 45.0)]
+    met = windows.overlapping(w, spans, ["file_name"], how="left_semi")
+    assert sorted(r["id"] for r in met.collect()) == [1, 2]
+    assert sorted(r["id"] for r in windows.overlapping(w, spans, ["file_name"]).collect()) == [3, 4]
+    assert [r["id"] for r in windows.majority_inside(w, spans, ["file_name"]).collect()] == [2]
