@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cortigraph.functions.ranking import sorted_rank
@@ -51,8 +51,11 @@ def decode_npy(data: bytes) -> np.ndarray:
     return np.frombuffer(data, kind, int(np.prod(head["shape"], dtype=np.int64)), start).reshape(head["shape"], order="F" if head["fortran_order"] else "C")
 
 
-def npy_rows(spark: SparkSession, path: str) -> DataFrame:
-    """path, row, v: the rows of every .npy array of two dimensions or more, flattened; a vector is one row."""
+def npy_rows(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """path, row, v: the rows of every .npy array of two dimensions or more, flattened; a vector is one row.
+
+    keep: condition on path; other files aren't opened.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,9 +67,28 @@ def npy_rows(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([p] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(list(part), pa.list_(pa.float64()))], names=["path", "row", "v"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(path)
+    files = files if keep is None else files.where(keep)
     return files.select("path", "content").mapInArrow(decode, "path string, row bigint, v array<double>")
 
 
+def patient_arrays(spark: SparkSession, path: str, only: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """patient_id, row, v, label of every directory below `path` that holds x_data.npy, named by the directory.
+
+    Labels come from y_labels.npy beside it, null where there is none. `only` and
+    `without` choose directories before any file is opened.
+    """
+    patient = lambda name: F.regexp_extract("path", rf"([^/\\]+)[/\\]{name}\.npy$", 1)
+
+    def chosen(name: str) -> Column:
+        c = patient(name) != ""
+        c = c if only is None else c & patient(name).isin(only)
+        return c if not without else c & ~patient(name).isin(without)
+
+    x = npy_rows(spark, path, chosen("x_data")).select(patient("x_data").alias("patient_id"), "row", "v")
+    y = npy_rows(spark, path, chosen("y_labels")).select(patient("y_labels").alias("patient_id"), F.posexplode("v").alias("_p", "label"))
+    return x.join(y.select("patient_id", F.col("_p").cast("bigint").alias("row"), F.col("label").cast("int").alias("label")), ["patient_id", "row"], "left").select("patient_id", "row", "v", "label")
+
+
 def decode_edf(data: bytes) -> list[tuple[str, float, np.ndarray]]:
     """(label, rate, values) of the signals of an EDF file, in physical units."""
     n = int(data[252:256])

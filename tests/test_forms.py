@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from cortigraph.operators import dynamics, evaluation, experiments
@@ -39,3 +41,17 @@ def test_models_of_several_classes_and_kernels(spark):
     k = experiments.fourier_features(spark.createDataFrame(ring, "id bigint, label int, v array<double>, fold int"), "v", 64, gamma=0.5)
     s = evaluation.summary(experiments.cross_validate(experiments.vectors(k, "v", "label"), lambda: experiments.model("svm", maxIter=20), 3), "label", "predicted").first()
     assert s["accuracy"] > 0.95
+
+
+def test_patient_directories(spark, tmp_path):
+    for p in ("p1", "p2", "p3"):
+        (tmp_path / p).mkdir()
+        np.save(tmp_path / p / "x_data.npy", np.arange(6.0).reshape(3, 2))
+    np.save(tmp_path / "p1" / "y_labels.npy", np.array([0, 1, 1]))
+    (tmp_path / "p3" / "x_data.npy").write_bytes(b"broken")
+    (tmp_path / "notes").mkdir()
+    np.save(tmp_path / "notes" / "other.npy", np.zeros(2))
+    got = readers.patient_arrays(spark, str(tmp_path), without=["p3"]).collect()
+    assert sorted((r["patient_id"], r["row"], r["label"]) for r in got) == [("p1", 0, 0), ("p1", 1, 1), ("p1", 2, 1), ("p2", 0, None), ("p2", 1, None), ("p2", 2, None)]
+    assert {r["patient_id"] for r in readers.patient_arrays(spark, str(tmp_path), only=["p2"]).collect()} == {"p2"}
+    assert [r["v"] for r in got if r["patient_id"] == "p1" and r["row"] == 1] == [[2.0, 3.0]]
