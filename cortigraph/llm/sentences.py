@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def paragraphs(s: str) -> Iterator[tuple[int, int]]:
 # A token is taken from where its run of letters, digits, dots and hyphens begins.
 _DOTTED = re.compile(rf"(?<![^\W_])(?<![.\-�ºª{_MARKS}])((?:[^\W_]|[.\-�ºª{_MARKS}])+)(?<!\.)\.(?!\.)(?=(\s*)(\S?))")
 _UNIT = re.compile(r"[!?…]|\n[^\S\n]*\r?\n")
-_UPPER = re.compile(r"[^\W\d_]")
+_UPPER = regex.compile(r"[\p{Uppercase}\p{Lt}]")
 _PARTS = re.compile(r"[^\W_]+")
 #: A longer run of letters, dots and hyphens is no abbreviation (hosts, chains of initials): its last part is looked at.
 LONGEST = 64
@@ -135,7 +136,7 @@ class Document:
     def upper(self) -> list[int]:
         """Places of the capitals."""
         if self._upper is None:
-            self._upper = [m.start() for m in _UPPER.finditer(self.text) if not (c := m.group()).islower() and c.lower() != c]
+            self._upper = [m.start() for m in _UPPER.finditer(self.text)]
         return self._upper
 
     def flat(self, a: int, b: int) -> bool:
