@@ -70,20 +70,6 @@ def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float] |
     return [value[int(x)] + (value[min(int(x) + 1, total - 1)] - value[int(x)]) * (x - int(x)) for x in at]
 
 
-def range_band(df: DataFrame, column: str, bands: int = 256) -> Column:
-    """Number of the value range a row falls in, ranges holding about as many rows each: at most `bands` cuts."""
-    cuts = df.agg(F.percentile_approx(column, [i / bands for i in range(1, bands)], 10 * bands).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-
-    def side(lo: int, hi: int) -> Column:  # binary search among cuts[lo:hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(column) <= cuts[mid], side(lo, mid)).otherwise(side(mid + 1, hi))
-
-    return side(0, len(cuts))
-
-
 def running_total(df: DataFrame, keys: list[str], band: Column, order: list[Column], value: str, name: str) -> DataFrame:
     """Sum of `value` over the earlier rows of each group by (band, *order), without one task per group; from 0."""
     banded = df.withColumn("_band", band)

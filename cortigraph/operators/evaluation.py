@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cortigraph.functions.arrays import unit_hash
-from cortigraph.functions.ranking import range_band, running_total
+from cortigraph.functions.ranking import running_total, sorted_rank
+
+
+#: Distinct scores of a piece that is summed up by itself.
+PIECE = 65_536
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
@@ -49,12 +53,13 @@ def auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> D
     """ROC AUC of a binary truth (0, 1) by average ranks of the scores.
 
     Scores are first counted by value; ranks come from running sums over the
-    distinct scores, in ranges of the score.
+    distinct scores in pieces of their order, as many as the scores need.
     """
     by = by or []
     d = df.where(F.col(truth).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score))
     v = d.groupBy(*by, score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("q"))
-    below = running_total(v, by, range_band(v, score), [F.col(score)], "q", "_below")
+    placed = sorted_rank(v, [F.col(score), *map(F.col, by)], "_place")
+    below = running_total(placed, by, F.floor((F.col("_place") - 1) / PIECE), [F.col(score)], "q", "_below")
     u = below.withColumn("u", F.col("p") * (F.col("_below") + F.col("q") / 2))
     a = F.try_divide(F.sum("u"), F.sum("p") * F.sum("q"))
     out = [F.sum("p").alias("positives"), F.sum("q").alias("negatives"), a.alias("auc")]

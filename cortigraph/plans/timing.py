@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cortigraph.functions.keys import file_key, latest_version, patient_key
 from cortigraph.operators import sampling, windows
-from cortigraph.session import table
+from cortigraph.session import cut_lineage, table
 
 LENGTH, STEP, GAP = 4.0, 2.0, 600.0
 
@@ -100,13 +100,13 @@ def sample_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fair_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Water-filled quotas of a tenth of all preictal windows."""
-    rows = window_rows(spark, sf_dir).where("label = 1 and patient_id is not null")
+    rows = cut_lineage(window_rows(spark, sf_dir).where("label = 1 and patient_id is not null").select("patient_id"))
     counts = rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"))
     return sampling.fair_quotas(counts, "patient_id", "n", rows.count() // 10)
 
 
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = window_rows(spark, sf_dir).where("label in (0, 1) and patient_id is not null")
+    rows = cut_lineage(window_rows(spark, sf_dir).where("label in (0, 1) and patient_id is not null").select("window_id", "label", "patient_id"))
     n = rows.where("label = 1").count() // 10
     return sampling.balanced_sample(rows, "window_id", "label", "patient_id", {1: n, 0: 2 * n}).groupBy("label", "patient_id").agg(F.count(F.lit(1)).alias("n"))
 
