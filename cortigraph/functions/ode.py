@@ -110,27 +110,61 @@ def sync_with_first(path: np.ndarray) -> np.ndarray:
     return np.where(ok, v @ v[0] / np.where(ok, n * n[0], 1), 0.0)
 
 
+def _moving_sums(d: np.ndarray, width: int, gap: int, n: int) -> np.ndarray:
+    """Sums of `width` values `gap` apart along the last axis, for the first n starts; a value is added log(width) times."""
+    total, at, part, p = None, 0, d, 1
+    while True:
+        if width & p:
+            piece = part[..., at * gap : at * gap + n]
+            total = piece if total is None else total + piece
+            at += p
+        if 2 * p > width:
+            return total
+        part = part[..., : -p * gap] + part[..., p * gap :]
+        p *= 2
+
+
+def _nearest(e: np.ndarray, apart: int, rows: int = 64) -> np.ndarray:
+    """For each point of e (points, dimension) the nearest one at least `apart` places off (the first where there is none).
+
+    The own length is the same for all neighbours of a point, so q_j - 2 e_i e_j tells
+    the nearest. Points at no finite distance stand before and after the real ones, so
+    that the near places of `rows` points are one band of the product.
+    """
+    m, near = len(e), apart - 1
+    left = np.column_stack([e, np.ones(m)])
+    right = np.zeros((e.shape[1] + 1, m + 2 * near))
+    right[:-1, near : near + m] = -2 * e.T
+    right[-1] = np.inf
+    right[-1, near : near + m] = (e**2).sum(axis=1)
+    j = np.empty(m, np.int64)
+    for a in range(0, m, rows):  # rows at a time, so that the products stay in the cache
+        d = left[a : a + rows] @ right
+        band = np.lib.stride_tricks.as_strided(d[:, a:], (len(d), 2 * near + 1), (d.strides[0] + d.strides[1], d.strides[1]))
+        band[:] = np.inf
+        j[a : a + rows] = d.argmin(axis=1) - near
+    return np.maximum(j, 0)
+
+
 def largest_lyapunov(x: np.ndarray, tau: int = 1, dimension: int = 10, separation: int = 10, length: int = 20) -> float:
     """Rosenstein: mean log divergence of nearest neighbours apart in time, slope of the line."""
     n = len(x) - (dimension - 1) * tau
     if n <= length + separation + 1:
         return 0.0
-    e = np.stack([x[i * tau : i * tau + n] for i in range(dimension)], axis=1)
     m = n - length
-    q = (e[:m] ** 2).sum(1)
-    # The own length is the same for all neighbours of a point: q_j - 2 e_i e_j tells the nearest.
-    left, right = np.column_stack([e[:m], np.ones(m)]), np.ascontiguousarray(np.column_stack([-2 * e[:m], q]).T)
-    j = np.empty(m, np.int64)
-    for a in range(0, m, 64):  # rows at a time, so that the products stay in the cache
-        d = left[a : a + 64] @ right
-        for r in range(len(d)):
-            d[r, max(0, a + r - separation + 1) : a + r + separation] = np.inf
-        j[a : a + 64] = d.argmin(axis=1)
+    steps = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(x, float), (dimension - 1) * tau + length)[:m]
+    j = _nearest(steps[:, : (dimension - 1) * tau + 1 : tau], separation)
     # A pair's distance k steps on is made of squared differences that steps share.
-    t = np.arange((dimension - 1) * tau + length)
-    apart = (x[np.arange(m)[:, None] + t] - x[j[:, None] + t]) ** 2
-    later = np.sqrt(sum(apart[:, k * tau : k * tau + length] for k in range(dimension)))
-    steps = [np.log(r[r > 0]).mean() if (r > 0).any() else np.nan for r in later.T]
-    y = np.array(steps)
-    ok = np.isfinite(y)
-    return float(np.polyfit(np.arange(length)[ok], y[ok], 1)[0]) if ok.sum() > 1 else 0.0
+    apart = steps - steps[j]
+    apart *= apart
+    apart = _moving_sums(apart, dimension, tau, length)
+    some = apart > 0
+    count = some.sum(axis=0)
+    if not some.all():
+        apart = np.where(some, apart, 1.0)
+    t = np.flatnonzero(count)
+    if len(t) < 2:
+        return 0.0
+    y = np.log(apart).sum(axis=0)[t] / (2 * count[t])
+    t = t - t.mean()
+    return float(t @ y / (t @ t))

@@ -68,12 +68,16 @@ def evolve(scale_edges: DataFrame, nodes: DataFrame, couplings: list[float], h:
         elif output == "sync":
             out["sync"] = np.concatenate([ode.sync_with_first(path[..., k]) for k in range(len(eps))])
         elif output == "lyapunov":
-            out["lyapunov"] = np.array([ode.largest_lyapunov(path[:, i, 0, k]) for k in range(len(eps)) for i in range(n)])
+            x = np.ascontiguousarray(path[:, :, 0].T).reshape(n * len(eps), -1)  # couplings, nodes
+            out["lyapunov"] = np.array([ode.largest_lyapunov(v) for v in x])
         else:
             for k, c in enumerate("xyz"):
                 out[c] = pa.array(list(path[::stride, :, k].T.reshape(n * len(eps), -1)), pa.list_(pa.float64()))
         return pa.table(out)
 
+    # Groups are few and each is long: more partitions than groups, so that tasks seldom get two of them.
+    spread = 4 * len(batches) * max(1, scales.count())
+    edges, seeds = edges.repartition(spread, "scale", "part"), seeds.repartition(spread, "on_scale", "in_part")
     return edges.groupBy("scale", "part").cogroup(seeds.groupBy("on_scale", "in_part")).applyInArrow(run, schema)
 
 
