@@ -339,7 +339,8 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     are then compared, so a shared hash or template alone reports nothing. Lost
     letters (U+FFFD) match any letter. Null, empty and repeated items and texts:
     null and empty match nothing, repeated documents give repeated rows, null
-    document ids stay null; item ids are unique.
+    document ids stay null; item ids are unique, items without id are left out, a null
+    language is one with blanks. Other columns of both tables are ignored.
 
     Words, windows and texts of the items are tables. What the scan of the
     documents is given of them are filters of a fixed size, so neither the driver

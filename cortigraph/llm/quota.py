@@ -46,6 +46,7 @@ def quota_sample(items: DataFrame, item_id: str, strata: list[str], needs: DataF
 
     A category with null strata, or needed null or below 1, draws nothing; items
     with null strata are in no category; repeated item rows are repeated items.
+    Other columns of both tables are ignored; without items every need is a deficit.
     Neither table is collected, and numbering is cut into pieces of about PIECE rows,
     so that a stratum or category may hold most of the rows.
     """

@@ -29,7 +29,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of a graph: node, component (a number that all its nodes share).
 
     edges: u, v (bigint), any direction, repeats and loops allowed. A node appears
-    if it is in an edge. Rows with a null end are ignored; no edges, no rows.
+    if it is in an edge. Rows with a null end and other columns are ignored; no edges, no rows.
 
     Nodes are ordered by hash: in a random order every other node or so comes
     after a neighbour, whatever the shape of the graph, so rounds grow with the
@@ -149,6 +149,8 @@ def split_sizes(sizes: dict[int, int], shares: dict[str, float], rest: str) -> d
 def split_groups(groups: DataFrame, shares: dict[str, float] | None = None, rest: str = "train", seed: int = 5) -> DataFrame:
     """group, size to group, size, split, with split totals closest to the shares.
 
+    Other columns are ignored, a null group is a group, an empty table gives no rows.
+
     Only the histogram of sizes reaches the driver: at most sqrt(2 * records)
     different sizes. Which groups of a size go where is a seeded shuffle.
     """
