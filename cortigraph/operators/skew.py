@@ -105,7 +105,7 @@ def fragment_replicate(df: DataFrame, key: str, spread: list[str], side: DataFra
     row needs.
     """
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shards"), F.lit(1)) - 1))
-    one = df.withColumn("_row", F.struct(*[F.col(c) for c in df.columns])).withColumn("_k", F.col(key)).select("_k", "_row", *[F.col(c).alias(f"_sp{i}") for i, c in enumerate(spread)])
+    one = df.select(F.col(key).alias("_k"), F.struct(*[F.col(c) for c in df.columns]).alias("_row"), *[F.col(c).alias(f"_sp{i}") for i, c in enumerate(spread)])
     dealt = F.coalesce(F.pmod(F.xxhash64(*[f"_sp{i}" for i in range(len(spread))]), F.col("_shards")), F.lit(0)).cast("int")
     two = side.select(F.col(side_key).alias("_k"), F.struct(*[F.col(c) for c in side.columns]).alias("_side"))
     left = _placed(one, "_k", dealt, plan).select(F.col("_k").alias("_key"), "_shard", "_salt", "_row")
@@ -119,18 +119,32 @@ def top_per_key(df: DataFrame, key: str, order: list[Column], k: int, spread: li
     Each shard keeps its own first k on the task the plan packed it to, with the
     side that was replicated there; then the shards' winners of a key are merged:
     at most k rows per shard reach the merge. `order` must be total for ties to be
-    defined; columns of df and side must have different names, and side has one
-    row per key (of several the first by value is taken). Rows with a null key are
-    left out; rows without a side get nulls; an empty table gives an empty result.
+    defined, and equal rows count each. Of several side rows of a key the first by
+    value is taken. Rows with a null key are left out; rows without a side get nulls;
+    an empty table gives an empty result. All columns of df come out, then those of
+    side, with `side_` before a name that df has, too.
     """
     df = cut_lineage(df)  # read for the loads and for the shards
     plan = plan_loads(df, key, tasks)
     both = fragment_replicate(df, key, spread, side, side_key, plan)
-    values = both.select("_key", "_shard", "_salt", "_side", F.col("_row").isNotNull().alias("_is_row"), "_row.*")
-    shard = Window.partitionBy("_salt", "_shard", "_key").orderBy("_is_row", "_side", *order)
-    placed = values.withColumn("_found", F.first("_side", ignorenulls=True).over(shard)).withColumn("_at", F.row_number().over(shard))
-    # The side comes before the rows, so that k rows are among the first k + 1.
-    winners = placed.where((F.col("_at") <= k + 1) & F.col("_is_row")).select("_key", "_found", *df.columns)
-    whole = Window.partitionBy("_key").orderBy(*order)
-    best = winners.withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= k)
-    return best.select(*df.columns, *[F.col(f"_found.{c}").alias(c) for c in side.columns])
+    own = "_"  # begins no column of df
+    while any(c.startswith(own) for c in df.columns):
+        own += "_"
+    n = {c: own + c for c in ("key", "shard", "salt", "side", "is_row", "found", "at", "rank")}
+    values = both.select(*[F.col(f"_{c}").alias(n[c]) for c in ("key", "shard", "salt", "side")], F.col("_row").isNotNull().alias(n["is_row"]), "_row.*")
+    shard = Window.partitionBy(n["salt"], n["shard"], n["key"]).orderBy(n["is_row"], n["side"], *order)
+    upto = shard.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The side comes before the rows; only rows are counted.
+    placed = values.withColumn(n["found"], F.first(n["side"], ignorenulls=True).over(upto)).withColumn(n["at"], F.count_if(n["is_row"]).over(upto))
+    winners = placed.where((F.col(n["at"]) <= k) & F.col(n["is_row"])).select(n["key"], n["found"], *df.columns)
+    whole = Window.partitionBy(n["key"]).orderBy(*order)
+    best = winners.withColumn(n["rank"], F.row_number().over(whole)).where(F.col(n["rank"]) <= k)
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for c in side.columns:
+        name = c
+        while name.lower() in taken:
+            name = "side_" + name
+        taken.add(name.lower())
+        names.append(name)
+    return best.select(*df.columns, *[F.col(f"{n['found']}.{c}").alias(name) for c, name in zip(side.columns, names)])

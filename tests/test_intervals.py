@@ -3,6 +3,8 @@ import random
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from cortigraph.operators.intervals import periods_and_gaps
 
 SCHEMA = "k string, s bigint, e bigint, start_ms string"
@@ -47,3 +49,13 @@ def test_one_entity_over_many_blocks(spark):
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(-60, 60), st.integers(-60, 60)), max_size=25))
 def test_like_brute_force(spark, rows):
     assert run(spark, rows, 7) == brute(rows)
+
+
+def test_clashing_extra_columns(spark):
+    rows = [("a", 0, 10), ("a", 5, 20), ("a", 30, 40), ("a", None, 50), (None, 1, 2)]
+    df = spark.createDataFrame(rows, "f string, s bigint, e bigint")
+    clash = df
+    for c in ("kind", "start_ms", "end_ms", "_k0", "_s", "_e", "session_window", "_block"):
+        clash = clash.withColumn(c, F.lit("extra"))
+    got = lambda d: sorted(periods_and_gaps(d, ["f"], "s", "e").collect())
+    assert got(clash) == got(df) == [("a", "gap", 20, 30), ("a", "period", 0, 20), ("a", "period", 30, 40)]

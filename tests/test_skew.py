@@ -78,3 +78,16 @@ def test_one_exchange_by_task(spark):
     assert sum("_salt" in x for x in wide) == 1
     assert all(x.count("_salt") == 1 and "_shard" not in x for x in wide if "_salt" in x)
     assert "SortMergeJoin" not in plan
+
+
+def test_clashing_names_repeated_rows_and_sides(spark):
+    """Names of the operator's own columns and of the side, equal rows, several sides of a key, null keys on both sides."""
+    rows = [("a", i // 2, i // 2) for i in range(40)] + [("b", 1, None), (None, 2, 3), (None, None, None)]
+    df = spark.createDataFrame(rows, "key string, id bigint, n int")
+    for c in ("_key", "_row", "_k", "_salt", "_shard", "_side", "_at", "_rank", "_found", "_is_row", "__key", "_sp0"):
+        df = df.withColumn(c, F.col("id"))
+    side = spark.createDataFrame([("a", 9, "x"), ("a", 8, "y"), ("a", 8, "y"), (None, 1, "z")], "key string, id bigint, clean string")
+    top = top_per_key(df, "key", [F.col("n").desc(), F.col("id")], 3, ["_sp0"], side, "key", 4)
+    assert top.columns == [*df.columns, "side_key", "side_id", "clean"]
+    got = sorted((r["key"], r["id"], r["_rank"], r["side_key"], r["side_id"], r["clean"]) for r in top.collect())
+    assert got == [("a", 18, 18, "a", 8, "y"), ("a", 19, 19, "a", 8, "y"), ("a", 19, 19, "a", 8, "y"), ("b", 1, 1, None, None, None)]
