@@ -41,7 +41,7 @@ def _adjacency(w: np.ndarray) -> np.ndarray:
     return 1 - np.exp(-np.maximum(w, 0) / 3.0)
 
 
-def _scale_sums(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float], int]:
+def scale_sums(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float], int]:
     v = vectors(spark, sf_dir)
     lo, hi = similarity.pair_range(v, weight=_adjacency)
     # A hair below each threshold: the last scale is an equality with the largest weight.
@@ -51,13 +51,13 @@ def _scale_sums(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float
 
 def spectral_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nested scales of the full graph: active nodes and eigenvalue sum, mean, deviation by trace identities."""
-    sums, _, n = _scale_sums(spark, sf_dir)
+    sums, _, n = scale_sums(spark, sf_dir)
     t = graph.spectral_trace(sums, n, ["scale"])
     return t.select("scale", "active_nodes", *[F.round(c, 4).alias(c) for c in ("trace", "mean", "std")])
 
 
 def multiscale_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums, limits, n = _scale_sums(spark, sf_dir)
+    sums, limits, n = scale_sums(spark, sf_dir)
     by = sums.groupBy("scale").agg((F.sum("edges") / 2).cast("bigint").alias("n_edges"), F.count_if(F.col("edges") == 0).alias("isolated"), F.round(F.max("degree"), 5).alias("max_degree"))
     return by
 
@@ -164,6 +164,20 @@ def critical_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("node", F.round("d_sum", 5).alias("d_sum")).orderBy(F.col("d_sum").desc(), "node").limit(10)
 
 
+def graph_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report rows of the whole similarity matrix, a row per measure; from the sums of each node, no pairs are written."""
+    v = vectors(spark, sf_dir)
+    d = similarity.pair_summary(v, [0.0]).agg(F.count_if(F.col("edges") > 0).alias("active"), F.sum("edges").alias("e"), F.sum("degree").alias("w"), F.sum("squares").alias("q"), F.max("degree").alias("top"))
+    n, e = F.col("n").cast("double"), F.col("e")
+    mean = F.try_divide("w", e)
+    measures = {
+        "nodes": n, "isolated": n - F.col("active"), "edges": e / 2, "density": F.try_divide(e, n * (n - 1)), "mean_weight": mean,
+        "std_weight": F.sqrt(F.greatest(F.try_divide("q", e) - mean * mean, F.lit(0.0))), "mean_degree": F.try_divide("w", n), "max_degree": F.col("top"),
+    }
+    row = d.crossJoin(v.agg(F.count(F.lit(1)).alias("n"))).select(*[F.round(F.coalesce(c, F.lit(0.0)).cast("double"), 5).alias(name) for name, c in measures.items()])
+    return row.unpivot([], list(measures), "measure", "value")
+
+
 def _sampled(spark: SparkSession, sf_dir: str, most: int = 5000) -> tuple[DataFrame, DataFrame]:
     """All nodes, above `most` a hybrid sample of them (the same on all scales), and the nested scales of their whole graph."""
     nodes = cut_lineage(sampling.pick_nodes(vectors(spark, sf_dir).select(F.col("id").alias("node")), "node", most))
@@ -227,7 +241,7 @@ FOUND = {
         f.__name__: f
         for f in (
             multiscale_percentile, multiscale_bands, multiscale_band_rank, kernel_adjacency, gaussian_kernel_edges, sparsified, knn_graph, knn_cut, laplacian_entries, degree_stats,
-            leave_one_out_spectral, critical_nodes, triangles, induced_subgraph, multichannel_pearson, multichannel_rbf, diversity_steps, correlation_shift, eigen_metrics, persistence, sync_corr, lyapunov, knn_classify,
+            leave_one_out_spectral, critical_nodes, graph_report, triangles, induced_subgraph, multichannel_pearson, multichannel_rbf, diversity_steps, correlation_shift, eigen_metrics, persistence, sync_corr, lyapunov, knn_classify,
         )
     },
 }
@@ -330,3 +344,10 @@ SELECT a.step, round(std, 6) AS std, round(frobenius, 6) AS frobenius, round(mea
   CASE WHEN std = mean_distance AND std = variance THEN round(std, 6) ELSE 0 END AS combined FROM a JOIN sd ON sd.step = a.step JOIN e ON e.step = a.step JOIN d ON d.step = a.step"""
 )
 SQL["critical_nodes"] = SQL["leave_one_out_spectral"].replace("SELECT gone AS node, round(abs(f.t - g.t), 5) AS d_sum,", "SELECT node, d_sum FROM (SELECT gone AS node, round(abs(f.t - g.t), 5) AS d_sum,") + ") ORDER BY d_sum DESC, node LIMIT 10"
+SQL["graph_report"] = (
+    POSITIVE
+    + _ENDS
+    + """, g AS (SELECT count(*) AS active, sum(edges) AS e, sum(degree) AS w, sum(squares) AS q, max(degree) AS top FROM d), m AS (SELECT *, CAST(c.n AS DOUBLE) AS k FROM g, c)
+SELECT unnest(['nodes', 'isolated', 'edges', 'density', 'mean_weight', 'std_weight', 'mean_degree', 'max_degree']) AS measure,
+  unnest([k, k - active, e / 2, round(e / (k * (k - 1)), 5), round(w / e, 5), round(sqrt(greatest(q / e - pow(w / e, 2), 0)), 5), round(w / k, 5), round(top, 5)]) AS value FROM m"""
+)

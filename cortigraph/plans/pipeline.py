@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cortigraph.functions import arrays as A
 from cortigraph.operators import grouped, noise, sampling, signal
+from cortigraph.plans import graphs
 from cortigraph.plans.signals import RATE, trials
 from cortigraph.session import cut_lineage
 
@@ -105,7 +106,23 @@ def noise_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.abs(snr - F.first(level)) < 0.22, F.lit(False)).alias("as_stated"))
 
 
-FOUND = {f.__name__: f for f in (patient_counts, patient_pipeline, patient_pipeline_size, patient_pipeline_summary, best_sets, noise_robustness, noise_conditions)}
+#: Node features of a scale: strength, edges | root of the squared weights, mean weight.
+SCALE_SETS = {"size": [(1, 2)], "weight": [(3, 2)], "size+weight": [(1, 4)]}
+
+
+def scale_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold metrics of every scale of the graph and set of node features; classes are the labels below 2 and the others."""
+    v = graphs.vectors(spark, sf_dir)
+    sums, _, _ = graphs.scale_sums(spark, sf_dir)
+    f = F.array(F.col("degree"), F.col("edges").cast("double"), F.sqrt("squares"), F.coalesce(F.try_divide("degree", "edges"), F.lit(0.0)))
+    known = v.where("label is not null").select(F.col("id").alias("node"), (F.col("label") >= 2).cast("int").alias("label"))
+    fold = F.pmod(F.xxhash64(F.lit(42), "node"), F.lit(FOLDS)).cast("int")
+    rows = cut_lineage(sums.select("scale", "node", f.alias("v")).join(known, "node").select("scale", F.col("node").alias("id"), "label", "v", fold.alias("fold")))
+    models = grouped.fold_models(grouped.moments(rows, ["scale", "fold"], "v", "label", 4), ["scale"], "fold", SCALE_SETS, 4)
+    return grouped.group_metrics(cut_lineage(grouped.predicted(rows, models, ["scale", "fold"], "v")), ["scale", "set"], "label")
+
+
+FOUND = {f.__name__: f for f in (patient_counts, patient_pipeline, patient_pipeline_size, patient_pipeline_summary, best_sets, scale_ablation, noise_robustness, noise_conditions)}
 
 _PATIENT = "nullif(lower(translate(patient_id, chr(9) || chr(10) || chr(13) || chr(160) || ' -_', '')), '')"
 _T = f"""WITH b AS (SELECT sample_id, label, {_PATIENT} AS patient_id, CAST(features AS DOUBLE[]) AS v FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY built_at DESC NULLS LAST, features DESC NULLS LAST, label DESC NULLS LAST) AS rn FROM feature_bundle) WHERE rn = 1),

@@ -71,6 +71,19 @@ def near_best_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.crossJoin(F.broadcast(top)).where("a >= top - 0.01").select("noise_type", "noise_level", "model", F.round("a", 10).alias("accuracy"))
 
 
+def condition_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best model of every condition and best condition of every model, by mean accuracy: the smaller name among equals."""
+    level = F.concat_ws(":", "noise_type", "noise_level").alias("condition")
+    means = scores(spark, sf_dir).groupBy(level, "model").agg(F.round(F.avg("accuracy"), 10).alias("accuracy"))
+    of = lambda key, what: evaluation.best_per_group(means, [key], what, "accuracy").select(F.lit(key).alias("by"), F.col(key).alias("name"), F.col(what).alias("best"), "accuracy")
+    return of("condition", "model").unionByName(of("model", "condition"))
+
+
+def summary_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary by condition with a row per measure."""
+    return summary_by_condition(spark, sf_dir).unpivot(["noise_type", "noise_level", "model"], ["accuracy_mean", "accuracy_std"], "measure", "value").where("value is not null")
+
+
 def patient_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs, failures and mean accuracy of each patient."""
     raw = latest_version(table(spark, sf_dir, "patient_result"), "result_id", "loaded_at", ["patient_id", "error"])
@@ -168,7 +181,7 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOUND = {
     f.__name__: f
     for f in (
-        summary_by_condition, summary_with_average, pivot_scale_coupling, best_per_group, reference_classifier, condition_ranks, near_best_cells, patient_report, parse_key_rsplit,
+        summary_by_condition, summary_with_average, pivot_scale_coupling, best_per_group, reference_classifier, condition_ranks, near_best_cells, condition_trend, summary_long, patient_report, parse_key_rsplit,
         fingerprints, pending_conditions, json_props, confusion, sens_spec, prf_weighted, auc_rank, auc_by_patient, consensus_curve, pca_projection,
     )
 } | {
@@ -202,6 +215,10 @@ SQL = {
     "reference_classifier": RUNS + "SELECT model, round(avg(accuracy), 10) AS accuracy FROM s WHERE noise_type = 'clean' GROUP BY model ORDER BY 2 DESC, 1 LIMIT 1",
     "condition_ranks": RUNS
     + ", c AS (SELECT DISTINCT noise_type, noise_level FROM s) SELECT noise_type, noise_level, CAST(row_number() OVER (ORDER BY CASE noise_type WHEN 'clean' THEN 0 WHEN 'awgn' THEN 1 ELSE 2 END, noise_type NULLS FIRST, -coalesce(TRY_CAST(noise_level AS DOUBLE), 0), CASE noise_level WHEN 'mild' THEN 1 WHEN 'moderate' THEN 2 WHEN 'severe' THEN 3 ELSE 4 END, noise_level NULLS FIRST) AS INTEGER) AS position FROM c",
+    "condition_trend": RUNS
+    + ", m AS (SELECT concat_ws(':', noise_type, noise_level) AS condition, model, round(avg(accuracy), 10) AS accuracy FROM s GROUP BY 1, 2) SELECT 'condition' AS by, condition AS name, arg_min(model, (-accuracy, model)) AS best, max(accuracy) AS accuracy FROM m GROUP BY condition UNION ALL SELECT 'model', model, arg_min(condition, (-accuracy, condition)), max(accuracy) FROM m GROUP BY model",
+    "summary_long": RUNS
+    + ", g AS (SELECT noise_type, noise_level, model, round(avg(accuracy), 10) AS a, round(stddev_samp(accuracy), 10) AS d FROM s GROUP BY 1, 2, 3) SELECT noise_type, noise_level, model, 'accuracy_mean' AS measure, a AS value FROM g UNION ALL SELECT noise_type, noise_level, model, 'accuracy_std', d FROM g WHERE d IS NOT NULL",
     "near_best_cells": RUNS + ", c AS (SELECT noise_type, noise_level, model, avg(accuracy) AS a FROM s GROUP BY 1, 2, 3) SELECT noise_type, noise_level, model, round(a, 10) AS accuracy FROM c WHERE a >= (SELECT max(a) FROM c) - 0.01",
     "patient_report": RUNS
     + ", n AS (SELECT pid, count(*) AS n_runs, count(*) FILTER (coalesce(error, '') <> '') AS n_failed FROM a GROUP BY 1), g AS (SELECT patient_id, round(avg(accuracy), 10) AS m, round(stddev_samp(accuracy), 10) AS sd FROM s GROUP BY 1) SELECT pid AS patient_id, n_runs, n_failed, m AS mean_accuracy, sd AS std_accuracy FROM n LEFT JOIN g ON pid = g.patient_id",

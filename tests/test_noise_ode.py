@@ -98,3 +98,15 @@ def test_lyapunov_and_sync(spark):
     assert all(abs(got[n] - np.corrcoef(flat(rows[0]), flat(rows[n]))[0, 1]) < 1e-9 for n in range(3)) and got[3] == 0
     both = dynamics.lyapunov(paths.limit(1)).first()
     assert both["lyapunov"] == 0.0
+
+
+def test_nearest_points():
+    """Like brute force: the nearest at least `apart` off, the first among equals, the first of all where there is none."""
+    rng = np.random.default_rng(5)
+    for m, apart in ((200, 10), (70, 1), (65, 30), (12, 10)):
+        e = rng.normal(size=(m, 3)).round(1)
+        d = ((e[:, None] - e[None]) ** 2).sum(axis=2)
+        i = np.arange(m)
+        d[abs(i[:, None] - i) < apart] = np.inf
+        j = ode._nearest(e, apart)
+        assert np.allclose(d[i, j], d.min(axis=1)) and (j[np.isinf(d.min(axis=1))] == 0).all()

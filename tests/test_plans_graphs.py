@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from cortigraph.operators import dynamics, similarity
-from cortigraph.plans import graphs
+from cortigraph.plans import graphs, pipeline
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +57,19 @@ def test_shift_counts_pairs_of_either_sign(spark):
         got = similarity.pair_shift(frame(v), frame(u), block=block).first()
         assert tuple(got) == pytest.approx((np.abs(d).mean(), np.linalg.norm(d), np.abs(d).max()))
     assert tuple(similarity.pair_shift(frame(v[:0]), frame(u[:0])).first()) == (0.0, 0.0, 0.0)
+
+
+def test_scale_ablation(spark, monkeypatch):
+    """A class of alike vectors has strong nodes on every scale, the other one has not."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64)
+    rows = [(i, (base * (i % 2) * 3 + rng.normal(size=64)).tolist(), 2 * (i % 2)) for i in range(80)]
+    monkeypatch.setattr(graphs, "vectors", lambda s, d: s.createDataFrame([*rows, (99, rows[0][1], None)], "id bigint, v array<double>, label int"))
+    got = pipeline.scale_ablation(spark, "").collect()
+    assert {r["set"] for r in got} == set(pipeline.SCALE_SETS)
+    assert min(r["accuracy"] for r in got if r["scale"] == 0) > 0.95
+    report = {r["measure"]: r["value"] for r in graphs.graph_report(spark, "").collect()}
+    c = np.corrcoef([r[1] for r in [*rows, rows[0]]])
+    w = c[np.triu_indices(81, 1)]
+    w = w[w > 0]
+    assert report["edges"] == len(w) and report["nodes"] == 81 and report["mean_weight"] == pytest.approx(w.mean(), abs=1e-5) and report["std_weight"] == pytest.approx(w.std(), abs=1e-5)
