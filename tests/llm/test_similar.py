@@ -58,6 +58,36 @@ def test_tables_hold_the_recall_at_any_size(n):
     assert met >= 0.955 and tables < 40
 
 
+def test_every_pair_at_the_limit_is_found(spark, tmp_path):
+    # Pairs a hair above 0.9, spread over all components, in one and in few; plain cells lose some of them.
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=(1500, 64))
+    a[:300, 2:] *= 1e-3
+    a[300:600, :60] *= 1e-3
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (b * a).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.concatenate([a, 0.9002 * a + np.sqrt(1 - 0.9002**2) * b]).astype(np.float32).astype(float)
+    want = brute(x, 0.9)
+    assert len(want) > 1500
+    for block in (2048, 70):
+        rows = similar.similar_pairs(frame(spark, x), 64, 0.9, block=block, exact=True).collect()
+        assert {(r["lo"], r["hi"]) for r in rows} == want and len(rows) == len(want)
+    from cortigraph.llm import queries
+
+    frame(spark, x).selectExpr("id AS sample_id", "v AS features", "timestamp_micros(0) AS built_at").write.parquet(f"{tmp_path}/feature_bundle.parquet")
+    assert {tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()} == want
+
+
+def test_candidates_lose_nothing():
+    rng = np.random.default_rng(12)
+    for x in (rng.normal(size=(700, 64)), np.eye(64)[rng.integers(0, 64, 700)], rng.normal(size=(700, 16)), np.outer(rng.normal(size=700), np.ones(30))):
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        got = {p for r, c in similar.candidates(x, x[:600], 0.5) for p in zip(r.tolist(), c.tolist())}
+        assert got >= set(zip(*(i.tolist() for i in np.nonzero(x.astype(float) @ x[:600].T.astype(float) >= 0.5))))
+
+
 def test_copies_fill_one_cell(spark):
     x = np.tile(np.random.default_rng(0).normal(size=64), (150, 1))
     assert similar.similar_pairs(frame(spark, x), 64, 0.9, block=20).count() == 150 * 149 // 2
