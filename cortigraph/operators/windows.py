@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cortigraph.functions.ranking import spread_rank
 from cortigraph.operators.intervals import periods_and_gaps
+from cortigraph.session import cut_lineage
 
 
 def sliding(df: DataFrame, start: str, end: str, length: float, step: float) -> DataFrame:
@@ -108,13 +109,50 @@ def merge_strict(spans: DataFrame, keys: list[str], block: float = 3600.0) -> Da
     return merged.select(*keys, F.col("start_ms").alias("lo"), F.col("end_ms").alias("hi"))
 
 
+def _away(files: DataFrame, events: DataFrame, length: float, step: float, gap: float, width: float, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The files (of `only`) with a grid, its places 0 to _n; and of those the runs of places _k0 to _k1 away from every zone.
+
+    The zones that reach into a file are merged together with a mark before and one
+    behind it, so that the gaps between them are all the time away from zones. The
+    places that fit are worked out by comparing the bounds of windows as they will be,
+    so that no grid is made to find them. Nothing here is sent to all executors by a
+    join: repeated names compress so well that large tables would pass for small ones.
+    """
+    keys = ["patient_id", "file_name"]
+    # The clock of a patient runs over all files, those without a window included.
+    f = global_offsets(files, "patient_id", "file_name", "duration_sec").where(F.col("duration_sec") >= length)
+    if only is not None:
+        f = f.join(only.select(*keys).distinct().hint("merge"), keys, "left_semi")
+    n = F.floor((F.col("duration_sec") - F.lit(float(length))) / F.lit(float(step)) + 1e-9) if step else F.lit(0).cast("bigint")
+    f = cut_lineage(f.select(*keys, "duration_sec", "offset", n.alias("_n")))
+    reach = f.select(*keys, F.col("offset").cast("double").alias("_from"), (F.col("offset") + F.col("duration_sec")).cast("double").alias("_to"))
+    zones = exclusion_zones(events, files, gap).distinct()
+    near = _buckets(reach, "_from", "_to", width).join(_buckets(zones, "lo", "hi", width).hint("merge"), ["patient_id", "_bucket"]).where("lo < _to and hi > _from").select(*keys, "lo", "hi")
+    mark = lambda c: F.struct(c.alias("lo"), (c + 1).alias("hi"))
+    marks = reach.select(*keys, F.explode(F.array(mark(F.col("_from") - length - 1), mark(F.col("_to") + length))).alias("_m")).select(*keys, "_m.lo", "_m.hi")
+    free = periods_and_gaps(near.unionByName(marks), keys, "lo", "hi", width, touch=False).where((F.col("kind") == "gap") & (F.col("end_ms") > F.col("start_ms")))
+    at = lambda k: F.col("offset") + _place(k, length, step)
+    begins, fits = lambda k: at(k) >= F.col("start_ms"), lambda k: F.col("offset") + (_place(k, length, step) + length) <= F.col("end_ms")
+    first, last = F.lit(0).cast("bigint"), F.col("_n")
+    if step:
+        first = F.greatest(first, F.ceil((F.col("start_ms") - F.col("offset")) / step) - 1)
+        last = F.least(last, F.floor((F.col("end_ms") - length - F.col("offset")) / step) + 1)
+    c = free.join(f.hint("merge"), keys).withColumn("_c", first).withColumn("_d", last)
+    c = c.withColumn("_k0", F.when(begins(F.col("_c")), F.col("_c")).when(begins(F.col("_c") + 1), F.col("_c") + 1).otherwise(F.col("_c") + 2))
+    c = c.withColumn("_k1", F.when(fits(F.col("_d")), F.col("_d")).when(fits(F.col("_d") - 1), F.col("_d") - 1).otherwise(F.col("_d") - 2))
+    return f, c.where("_k1 >= _k0").select(*keys, "duration_sec", "_k0", "_k1")
+
+
+def _place(k: Column, length: float, step: float) -> Column:
+    """Where the k-th window of a file's grid begins; see `sliding`."""
+    return k * F.lit(float(step)) if step else F.greatest(F.lit(0.0), F.col("duration_sec") / 2 - length / 2)
+
+
 def interictal(files: DataFrame, events: DataFrame, length: float, step: float, gap: float, width: float = 3600.0) -> DataFrame:
     """Complete windows of each file's grid that meet no exclusion zone of the patient."""
-    f = global_offsets(files, "patient_id", "file_name", "duration_sec").withColumn("_zero", F.lit(0))
-    grid = sliding(f, "_zero", "duration_sec", length, step)
-    placed = grid.select("patient_id", "file_name", F.col("start_sec").alias("at"), (F.col("offset") + F.col("start_sec")).alias("start_sec"), (F.col("offset") + F.col("end_sec")).alias("end_sec"))
-    kept = overlapping(placed, exclusion_zones(events, files, gap), ["patient_id"], width=width)
-    return kept.select("patient_id", "file_name", F.col("at").alias("start_sec"), (F.col("at") + length).alias("end_sec"))
+    _, away = _away(files, events, length, step, gap, width)
+    w = away.withColumn("_k", F.explode(F.sequence("_k0", "_k1"))).withColumn("start_sec", _place(F.col("_k"), length, step))
+    return w.select("patient_id", "file_name", "start_sec", (F.col("start_sec") + length).alias("end_sec"))
 
 
 def extended(spans: DataFrame, before: float, after: float) -> DataFrame:

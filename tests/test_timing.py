@@ -35,3 +35,30 @@ def test_windows_of_any_length_meet_spans(spark):
     assert sorted(r["id"] for r in met.collect()) == [1, 2]
     assert sorted(r["id"] for r in windows.overlapping(w, spans, ["file_name"]).collect()) == [3, 4]
     assert [r["id"] for r in windows.majority_inside(w, spans, ["file_name"]).collect()] == [2]
+
+
+def test_windows_away_are_those_that_meet_no_zone(spark):
+    rng = __import__("random").Random(5)
+    files = [(p, f"{p}{i:02d}", rng.choice([30, 59, 60, 61, 180, 601, 3600, 9001])) for p in "pqr" for i in range(12)]
+    marks = [(p, f, s, s + rng.randint(1, 90)) for p, f, d in files if p != "r" for s in [rng.randint(0, d) for _ in range(rng.choice([0, 0, 1, 3]))]]
+    marks += [("p", "p00", 0.1, 0.3), ("q", "q05", 7.7, 8.25)]
+    schema = "patient_id string, file_name string"
+    f, e = spark.createDataFrame(files, f"{schema}, duration_sec int"), spark.createDataFrame([(p, n, float(a), float(b)) for p, n, a, b in marks], f"{schema}, start_sec double, end_sec double")
+    offset, clock = {}, {p: 0 for p in "pqr"}
+    for p, n, d in sorted(files):
+        offset[n] = (clock[p], d)
+        clock[p] += d
+    for length, step, gap in ((60.0, 60.0, 600.0), (60.0, 7.3, 33.3), (60.0, 0, 120.0)):
+        zones = [(p, max(0.0, offset[n][0] + a - gap), offset[n][0] + min(b + gap, float(offset[n][1]))) for p, n, a, b in marks]
+        want = set()
+        for p, n, d in files:
+            places = [max(0.0, d / 2 - length / 2)] if step == 0 else [k * step for k in range(int((d - length) / step + 1e-9) + 1 if d >= length else 0)]
+            for s in places if d >= length else []:
+                at = offset[n][0] + s
+                if not any(q == p and lo < hi and at < hi and offset[n][0] + (s + length) > lo for q, lo, hi in zones):
+                    want.add((p, n, s, s + length))
+        made = windows.interictal(f, e, length, step, gap)
+        assert sorted(map(tuple, made.collect())) == sorted(want) and want
+        # Windows come last: no join or exchange of windows, which large tables sent to the driver.
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan.split("Generate")[0] and "Generate" in plan
