@@ -9,6 +9,9 @@ from cortigraph.functions.ranking import spread_rank
 from cortigraph.operators.intervals import periods_and_gaps
 from cortigraph.session import cut_lineage
 
+#: Places of a grid that are made together.
+PIECE = 65_536
+
 
 def sliding(df: DataFrame, start: str, end: str, length: float, step: float) -> DataFrame:
     """start_sec, end_sec of the complete windows of each span [start, end); step 0 takes the one in the middle."""
@@ -168,14 +171,21 @@ def interictal_draw(files: DataFrame, events: DataFrame, wanted: DataFrame, leng
     the windows is numbered in pieces.
     """
     keys = ["patient_id", "file_name"]
-    wanted = wanted.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    # The clock of a patient runs over all files, those that draw nothing included.
-    away = interictal(files, events, length, step, gap, width).join(wanted.select(*keys), keys, "left_semi")
-    none = files.join(wanted.select(*keys), keys, "left_semi").join(away.select(*keys).distinct(), keys, "left_anti").withColumn("_zero", F.lit(0))
-    grid = away.withColumn("fallback", F.lit(False)).unionByName(sliding(none, "_zero", "duration_sec", length, step).select(*keys, "start_sec", "end_sec").withColumn("fallback", F.lit(True)))
+    wanted = wanted.groupBy(*keys).agg(F.sum("n").alias("_w"))
+    f, away = _away(files, events, length, step, gap, width, only=wanted)
+    away = cut_lineage(away)
+    none = f.join(away.select(*keys).distinct().hint("merge"), keys, "left_anti").select(*keys, "duration_sec", F.lit(0).cast("bigint").alias("_k0"), F.col("_n").alias("_k1"))
+    runs = away.withColumn("fallback", F.lit(False)).unionByName(none.withColumn("fallback", F.lit(True))).join(wanted.hint("merge"), keys)
+    # Windows are made where they are drawn: a piece of the grid gives its first by hash, as many as the file wants at most, and only these travel.
+    part = lambda k: F.expr(f"{k} div {PIECE}")
+    runs = runs.withColumn("_part", F.explode(F.sequence(part("_k0"), part("_k1")))).repartition(*keys, "_part")
+    runs = runs.withColumn("_k", F.explode(F.sequence(F.greatest("_k0", F.col("_part") * PIECE), F.least("_k1", F.col("_part") * PIECE + PIECE - 1))))
     h = F.xxhash64(F.lit(seed), *keys, F.col("start_sec"))
-    ranked = spread_rank(grid, keys, F.shiftrightunsigned(h, 58).cast("int"), [h, F.col("start_sec")], "_r")
-    return ranked.join(wanted, keys).where("_r <= _n").drop("_r", "_n")
+    band, order = F.shiftrightunsigned(h, 58).cast("int"), [h, F.col("start_sec")]
+    grid = runs.withColumn("start_sec", _place(F.col("_k"), length, step)).withColumn("end_sec", F.col("start_sec") + length)
+    grid = grid.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(band, *order))).where("_r <= _w")
+    ranked = spread_rank(grid.select(*keys, "start_sec", "end_sec", "fallback", "_w"), keys, band, order, "_r")
+    return ranked.where("_r <= _w").drop("_r", "_w")
 
 
 def clock_seconds(c: Column) -> Column:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from cortigraph.operators import windows
 from cortigraph.plans import timing
 
@@ -62,3 +64,20 @@ def test_windows_away_are_those_that_meet_no_zone(spark):
         # Windows come last: no join or exchange of windows, which large tables sent to the driver.
         plan = made._jdf.queryExecution().sparkPlan().toString()
         assert "Join" not in plan.split("Generate")[0] and "Generate" in plan
+
+
+def test_drawn_windows_are_picked_before_they_travel(spark):
+    files = spark.createDataFrame([("p", "a", 12_000_000), ("p", "b", 600)], "patient_id string, file_name string, duration_sec int")
+    events = spark.createDataFrame([("p", "a", 300, 320)], "patient_id string, file_name string, start_sec int, end_sec int")
+    wanted = spark.createDataFrame([("p", "a", 50)], "patient_id string, file_name string, n bigint")
+    drawn = windows.interictal_draw(files, events, wanted, 60.0, 60.0, 600.0)
+    # The first 50 by hash of the whole grid, which has several pieces.
+    h = F.xxhash64(F.lit(42), "patient_id", "file_name", "start_sec")
+    away = windows.interictal(files, events, 60.0, 60.0, 600.0).where("file_name = 'a'")
+    first = away.orderBy(F.shiftrightunsigned(h, 58), h, "start_sec").limit(50)
+    assert away.count() > 2 * windows.PIECE
+    assert sorted(r["start_sec"] for r in drawn.collect()) == sorted(r["start_sec"] for r in first.collect())
+    # Between the making of windows and the first exchange of them stands the choice.
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    made = plan[: plan.index("explode(sequence(greatest(_k0")].splitlines()[::-1]
+    assert any("Filter" in line and "_r#" in line for line in made[: next(i for i, line in enumerate(made) if "Exchange" in line)])
