@@ -13,14 +13,16 @@ from cortigraph.functions.ranking import running_total, sorted_rank
 PIECE = 65_536
 
 
-def confusion(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
-    return df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(*(by or []), truth, predicted).agg(F.count(F.lit(1)).alias("n"))
+def confusion(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None, n: str | None = None) -> DataFrame:
+    """Rows of each truth and prediction; n: the column that says how many rows a row stands for."""
+    rows = F.sum(n) if n else F.count(F.lit(1))
+    return df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(*(by or []), truth, predicted).agg(rows.alias("n"))
 
 
-def per_class(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
+def per_class(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None, n: str | None = None) -> DataFrame:
     """tp, fp, fn, tn, precision, recall (sensitivity), specificity, f1, support of every class; 0 where undefined."""
     by = by or []
-    c = confusion(df, truth, predicted, by)
+    c = confusion(df, truth, predicted, by, n)
     cell = F.explode(
         F.array(
             F.struct(F.col(truth).alias("label"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("named"), F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0).alias("tp")),
@@ -38,10 +40,10 @@ def per_class(df: DataFrame, truth: str, predicted: str, by: list[str] | None =
     return sums.select(*by, "label", "support", "tp", fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), p.alias("precision"), r.alias("recall"), ratio(tn, tn + fp).alias("specificity"), ratio(2 * p * r, p + r).alias("f1"))
 
 
-def summary(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
+def summary(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None, n: str | None = None) -> DataFrame:
     """Accuracy, macro and support-weighted metrics of each evaluation."""
     by = by or []
-    x = per_class(df, truth, predicted, by)
+    x = per_class(df, truth, predicted, by, n)
     x = x.where("support > 0")
     out = [F.coalesce(F.try_divide(F.sum("tp"), F.sum("support")), F.lit(0.0)).alias("accuracy")]
     for m in ("precision", "recall", "specificity", "f1"):

@@ -34,22 +34,13 @@ def moments(df: DataFrame, keys: list[str], v: str, label: str, dim: int) -> Dat
     fine = df.where((F.size(x) == dim) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.col(label).isin(0, 1))
     kind = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    def out(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
-        columns = [pa.array([k[i] for k in held], types[i]) for i in range(len(keys))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([g.tobytes() for g in held.values()], pa.binary())], names=[*keys, "g"])
-
-    types: list[pa.DataType] = []
-
-    def learn_types(b: pa.RecordBatch) -> None:
-        if not types:
-            types.extend(b.column(i).type for i in range(len(keys)))
-
     def add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            learn_types(b)
+            types = types or [b.column(i).type for i in range(len(keys))]
             rows = b.column(len(keys) + 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             z = np.column_stack([np.ones(len(rows)), b.column(len(keys)).to_numpy(zero_copy_only=False), rows])
             at: dict[tuple, list[int]] = {}
@@ -58,17 +49,29 @@ def moments(df: DataFrame, keys: list[str], v: str, label: str, dim: int) -> Dat
             for k, i in at.items():
                 held[k] = held.get(k, 0) + z[i].T @ z[i]
             if len(held) > HELD:
-                yield out(held)
+                yield _record(held, keys, types)
                 held = {}
         if held:
-            yield out(held)
+            yield _record(held, keys, types)
+
+    parts = fine.select(*keys, F.col(label).cast("double").alias("_y"), x.alias("_x")).mapInArrow(add_rows, f"{kind}, g binary")
+    return added(parts, keys)
+
+
+def _record(held: dict[tuple, np.ndarray], keys: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array([k[i] for k in held], types[i]) for i in range(len(keys))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([g.tobytes() for g in held.values()], pa.binary())], names=[*keys, "g"])
+
+
+def added(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and g, the sum of the parts g (doubles as bytes) of each key."""
 
     def add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = None, None
+        last, total, types = None, None, []
         for b in batches:
             if not b.num_rows:
                 continue
-            learn_types(b)
+            types = types or [b.column(i).type for i in range(len(keys))]
             done: dict[tuple, np.ndarray] = {}
             for k, g in zip(zip(*(b.column(i).to_pylist() for i in range(len(keys)))), b.column(len(keys)).to_pylist()):
                 g = np.frombuffer(g)
@@ -79,12 +82,11 @@ def moments(df: DataFrame, keys: list[str], v: str, label: str, dim: int) -> Dat
                         done[last] = total
                     last, total = k, g
             if done:
-                yield out(done)
+                yield _record(done, keys, types)
         if last is not None:
-            yield out({last: total})
+            yield _record({last: total}, keys, types)
 
-    parts = fine.select(*keys, F.col(label).cast("double").alias("_y"), x.alias("_x")).mapInArrow(add_rows, f"{kind}, g binary")
-    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add_sums, f"{kind}, g binary")
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add_sums, parts.schema)
 
 
 def ridge(g: np.ndarray, columns: np.ndarray, penalty: float) -> np.ndarray | None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cortigraph.functions import arrays as A
-from cortigraph.functions import iir
+from cortigraph.functions import iir, xxhash
 
 SCALES = {"emg_burst": {"mild": 0.25, "moderate": 0.5, "severe": 1.0}, "eog_blink": {"mild": 0.5, "moderate": 1.0, "severe": 2.0}}
 CHANNELS = 18
@@ -65,21 +65,35 @@ def bursts(seed: int, window: int, size: int, rate: float) -> list[tuple[int, np
     under a Hann window, at RMS 1; a burst of three values or fewer is silent. The
     2 to 4 neighbouring channels lie around one of them and end with the head.
     """
-    rng = np.random.default_rng([seed, window])
-    out = []
-    for _ in range(rng.integers(1, 4)):
-        n = min(max(1, round(rng.uniform(0.1, 0.5) * rate)), size)
-        start = int(rng.integers(0, max(1, size - n + 1)))
-        white = rng.normal(size=n)
-        group, centre = int(rng.integers(2, 5)), int(rng.integers(0, CHANNELS))
-        values = np.zeros(n)
+    return bursts_of(seed, [window], size, rate)[window]
+
+
+def bursts_of(seed: int, windows: Iterable[int], size: int, rate: float) -> dict[int, list[tuple[int, np.ndarray, int, int]]]:
+    """`bursts` of several windows; those of equal length run through the filter together."""
+    drawn, lengths = [], {}
+    for window in windows:
+        rng = np.random.default_rng([seed, window])
+        for _ in range(rng.integers(1, 4)):
+            n = min(max(1, round(rng.uniform(0.1, 0.5) * rate)), size)
+            start = int(rng.integers(0, max(1, size - n + 1)))
+            white = rng.normal(size=n)
+            group, centre = int(rng.integers(2, 5)), int(rng.integers(0, CHANNELS))
+            lengths.setdefault(n, []).append(len(drawn))
+            drawn.append((window, start, white, centre - group // 2, centre + group - group // 2 - 1))
+    high = min(70.0 / (rate / 2), 0.999)
+    low = max(20.0 / (rate / 2), 1e-4)
+    b, a = iir.butterworth(4, "band", max(high * 0.5, 1e-4) if low >= high else low, high)
+    values: list[np.ndarray] = [np.zeros(0)] * len(drawn)
+    for n, at in lengths.items():
+        x = np.zeros((len(at), n))
         if n > 3:
-            high = min(70.0 / (rate / 2), 0.999)
-            low = max(20.0 / (rate / 2), 1e-4)
-            b, a = iir.butterworth(4, "band", max(high * 0.5, 1e-4) if low >= high else low, high)
-            values = iir.both_ways(b, a, white[None, :])[0] * np.hanning(n)
-            values /= np.sqrt(np.mean(values**2) + FLOOR)
-        out.append((start, values, centre - group // 2, centre + group - group // 2 - 1))
+            x = iir.both_ways(b, a, np.stack([drawn[k][2] for k in at])) * np.hanning(n)
+            x /= np.sqrt(np.mean(x**2, axis=1, keepdims=True) + FLOOR)
+        for k, y in zip(at, x):
+            values[k] = y
+    out: dict[int, list] = {}
+    for (window, start, _, first, last), y in zip(drawn, values):
+        out.setdefault(window, []).append((start, y, first, last))
     return out
 
 
@@ -92,18 +106,21 @@ def emg_burst(df: DataFrame, v: str, row: str, level: str, rate: float, seed: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[tuple[int, int], list] = {}
         for batch in batches:
-            out = batch.column(at).to_pylist()
-            for i, k in enumerate(batch.column(by).to_pylist()):
+            out, rows = batch.column(at).to_pylist(), batch.column(by).to_pylist()
+            if len(made) > 10_000:
+                made.clear()
+            missing: dict[int, set[int]] = {}
+            for x, k in zip(out, rows):
+                if x and k is not None and (k // CHANNELS, len(x)) not in made:
+                    missing.setdefault(len(x), set()).add(k // CHANNELS)
+            for size, windows in missing.items():
+                made.update({(w, size): found for w, found in bursts_of(seed, windows, size, rate).items()})
+            for i, k in enumerate(rows):
                 if not out[i] or k is None:
                     continue
                 x = np.array(out[i], float)
-                key = (k // CHANNELS, len(x))
-                if key not in made:
-                    if len(made) > 10_000:
-                        made.clear()
-                    made[key] = bursts(seed, key[0], key[1], rate)
                 rms = np.sqrt(np.mean(x**2) + FLOOR)
-                for start, values, first, last in made[key]:
+                for start, values, first, last in made[k // CHANNELS, len(x)]:
                     if first <= k % CHANNELS <= last:
                         x[start : start + len(values)] += scale * rms * values
                 out[i] = x
@@ -114,6 +131,59 @@ def emg_burst(df: DataFrame, v: str, row: str, level: str, rate: float, seed: in
     return df.withColumn(v, A.doubles(F.col(v))).mapInArrow(run, schema)
 
 
+def places(df: DataFrame, row: str, size: int, rate: float, seed: int = 42) -> DataFrame:
+    """df with what `variants` needs of each row: number, centres and widths of its window's pulses (see eog_blink), as _blinks."""
+    window, _ = window_and_channel(F.col(row))
+    u = lambda *k: A.unit_hash(F.lit(seed), window, *map(F.lit, k))
+    pulses = [c for p in range(2) for c in (u("centre", p) * max(1, size - 1), F.greatest(F.lit(1.0), (0.2 + 0.2 * u("width", p)) * rate / 6))]
+    return df.withColumn("_blinks", F.array(F.floor(u("n") * 3).cast("double"), *pulses))
+
+
+def variants(x: np.ndarray, rows: np.ndarray, blinks: np.ndarray, conditions: list[tuple[str, str]], rate: float, seed: int = 42) -> Iterator[np.ndarray]:
+    """The signals x (row by row, of one length) under each (type, level) of `apply`, in turn.
+
+    What the levels of a type share is made once: the normal numbers, the pulses
+    (blinks: `_blinks` of `places`) and the bursts of the rows' windows. A masked row
+    number is null: it has no bursts and counts as none of the front channels.
+    """
+    size = x.shape[1]
+    known, rows = ~np.ma.getmaskarray(rows), np.ma.getdata(rows)
+    kinds = {k for k, _ in conditions}
+    power = np.mean(x * x, axis=1)
+    rms = np.sqrt(power + FLOOR)
+    windows, channel = rows // CHANNELS, rows % CHANNELS
+    if "awgn" in kinds:
+        normal = xxhash.normal(seed, rows, size, known)
+    if "emg_burst" in kinds:
+        made, burst = bursts_of(seed, np.unique(windows[known]).tolist(), size, rate), []
+        for i, w, c in zip(np.flatnonzero(known).tolist(), windows[known].tolist(), channel[known].tolist()):
+            burst += [(i, start, values) for start, values, first, last in made[w] if first <= c <= last]
+    if "eog_blink" in kinds:
+        weight = np.where(~known, 0.25, np.where(channel < CHANNELS / 3, 1.0, np.where(channel < 2 * CHANNELS / 3, 0.55, 0.25)))
+        pulses = []
+        for p in range(2):
+            at = np.flatnonzero(blinks[:, 0] > p)
+            y = np.exp(-(((np.arange(size) - blinks[at, 1 + 2 * p, None]) / blinks[at, 2 + 2 * p, None]) ** 2) / 2)
+            pulses.append((at, y / np.sqrt(np.mean(y * y, axis=1, keepdims=True) + FLOOR)))
+    for kind, level in conditions:
+        if kind == "clean":
+            yield x
+        elif kind == "awgn":
+            yield x + np.sqrt(np.maximum(power / 10 ** (float(level) / 10), 1e-8))[:, None] * normal
+        elif kind == "emg_burst":
+            y = x.copy()
+            for i, start, values in burst:
+                y[i, start : start + len(values)] += SCALES[kind][level] * rms[i] * values
+            yield y
+        elif kind == "eog_blink":
+            y, strength = x.copy(), weight * SCALES[kind][level] * rms
+            for at, pulse in pulses:
+                y[at] += strength[at, None] * pulse
+            yield y
+        else:
+            raise ValueError(f"unknown noise {kind!r}")
+
+
 def apply(df: DataFrame, v: str, row: str, kind: str, level: str | float | None, rate: float = 256.0, seed: int = 42) -> DataFrame:
     """Noise by name, with noise_type and noise_level columns; 'clean' changes nothing."""
     kinds = {

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cortigraph.functions import arrays as A
-from cortigraph.operators import grouped, noise, sampling, signal
+from cortigraph.operators import grouped, noise, robustness, sampling, signal
 from cortigraph.plans import graphs
 from cortigraph.plans.signals import RATE, trials
-from cortigraph.session import cut_lineage
+from cortigraph.session import cut_lineage, table
 
 FOLDS = 5
 DIM = 64
@@ -22,12 +22,27 @@ CONDITIONS = ("clean", "awgn:20", "awgn:10", "awgn:5", "awgn:0", "emg_burst:mild
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, patient_id, label, v, fold of the usable trials of both classes; folds are stratified by patient and label."""
-    d = trials(spark, sf_dir).where("label in (0, 1) and patient_id is not null").select(F.col("sample_id").alias("id"), "patient_id", "label", "v")
+    return _with_fold(_usable(spark, sf_dir))
+
+
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials(spark, sf_dir).where("label in (0, 1) and patient_id is not null").select(F.col("sample_id").alias("id"), "patient_id", "label", "v")
+
+
+def _with_fold(d: DataFrame) -> DataFrame:
     h = F.xxhash64(F.lit(42), F.col("id"))
     d = sampling.spread_rank(d, ["patient_id", "label"], sampling.hash_band(h, 4), [h, F.col("id")], "_r")
     return d.withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(FOLDS)).cast("int")).drop("_r")
 
 
+def _light_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, label, fold, v of `_rows`, v of the table's own type: only rows without an id carry it while folds are made, the others get it back by id."""
+    d = _usable(spark, sf_dir)
+    folds = _with_fold(d.select("id", "patient_id", "label", F.when(F.col("id").isNull(), F.col("v")).alias("_own"))).drop("patient_id")
+    rows = folds.join(d.where("id is not null").select("id", "v"), "id", "left").withColumn("v", F.coalesce("_own", "v")).drop("_own")
+    return rows.withColumn("v", F.col("v").cast(table(spark, sf_dir, "feature_bundle").schema["features"].dataType))
+
+
 def patient_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patients with at least five samples of either class."""
     return grouped.eligible(_rows(spark, sf_dir), "patient_id", "label")
@@ -87,13 +102,11 @@ def _noisy(spark: SparkSession, sf_dir: str, wanted: str | None = None) -> DataF
 
 def noise_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of every noise condition by protocol: fitted on clean rows, or on rows under the same noise; always other folds."""
-    rows = cut_lineage(_noisy(spark, sf_dir))
-    models = cut_lineage(grouped.fold_models(grouped.moments(rows, ["condition", "fold"], "v", "label", DIM), ["condition"], "fold", {"all": [(1, DIM)]}, DIM))
-    same = grouped.predicted(rows, models, ["condition", "fold"], "v").withColumn("protocol", F.lit("noisy_to_noisy"))
-    clean = models.where("condition = 'clean'").drop("condition")
-    moved = grouped.predicted(rows, clean, ["fold"], "v").withColumn("protocol", F.lit("clean_to_noisy"))
-    both = cut_lineage(same.unionByName(moved))
-    return grouped.group_metrics(both, ["protocol", "condition"], "label")
+    rows = cut_lineage(robustness.by_window(_light_rows(spark, sf_dir), "id"))
+    rows = noise.places(signal.standardise(rows.withColumn("v", A.doubles(F.col("v"))), "v"), "id", DIM, RATE)
+    conditions = conditions_of(CONDITIONS)
+    models = grouped.fold_models(robustness.moments(rows, conditions, RATE, DIM), ["condition"], "fold", {"all": [(1, DIM)]}, DIM)
+    return robustness.metrics(rows, models, conditions, RATE, DIM)
 
 
 def noise_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
