@@ -110,3 +110,32 @@ def test_nearest_points():
         d[abs(i[:, None] - i) < apart] = np.inf
         j = ode._nearest(e, apart)
         assert np.allclose(d[i, j], d.min(axis=1)) and (j[np.isinf(d.min(axis=1))] == 0).all()
+
+
+def test_couplings_whose_state_stands_still_are_not_computed_on(monkeypatch):
+    """Strong additive coupling drives all nodes to the clip; the path is that of each coupling by itself, step by step."""
+    rng = np.random.default_rng(4)
+    a = np.triu(rng.random((30, 30)), 1)
+    a += a.T
+    eps = np.array([20.0, 0.0, 15.0, 0.01])
+    s = rng.uniform(-10, 10, (30, 3, 1)).repeat(4, axis=2)
+    widths, call = [], ode.Network.__call__
+    monkeypatch.setattr(ode.Network, "__call__", lambda self, x: widths.append(x.shape[2]) or call(self, x))
+    for method, transient in (("rk4", 0), ("rk4", 250), ("euler", 3)):
+        widths.clear()
+        path = ode.Network(a, eps).trajectory(s, 1e-3, 300, transient, method)
+        assert widths[0] == 4 and widths[-1] == 2 and path.shape == (301 - transient, 30, 3, 4)
+        one = ode.Network(a, eps, state_clip=200.0)
+        want, x = [], s
+        for _ in range(301):
+            want.append(x)
+            x = one._rk4(x, 1e-3, one) if method == "rk4" else one._euler(x, 1e-3, one)
+        assert np.allclose(path, want[transient:], rtol=1e-6, atol=1e-6)
+        assert (path[-1, ..., 0] == path[-2, ..., 0]).all() and len(np.unique(path[-1, ..., 1])) > 30
+    widths.clear()
+    assert (np.abs(ode.Network(a, eps[:1]).trajectory(s[..., :1], 1e-3, 3000, 2000)) == 205.0).all() and len(widths) < 4 * 400
+
+
+def test_constant_series_has_exponent_zero_at_once(monkeypatch):
+    monkeypatch.setattr(ode, "_nearest", None)
+    assert ode.largest_lyapunov(np.full(1001, 205.0)) == 0.0
