@@ -63,8 +63,9 @@ def evolve(scale_edges: DataFrame, nodes: DataFrame, couplings: list[float], h:
         if output == "stats":
             for k, c in enumerate("xyz"):
                 p = np.ascontiguousarray(path[:, :, k].T)  # couplings, nodes, steps
-                for name, f in zip(STATS, (np.mean, np.max, np.min, np.median, np.var, np.std)):
+                for name, f in zip(STATS, (np.mean, np.max, np.min, np.median, np.var)):
                     out[f"{c}_{name}"] = f(p, axis=-1).ravel()
+                out[f"{c}_std"] = np.sqrt(out[f"{c}_var"])
         elif output == "sync":
             out["sync"] = np.concatenate([ode.sync_with_first(path[..., k]) for k in range(len(eps))])
         elif output == "lyapunov":
