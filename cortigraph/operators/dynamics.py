@@ -76,13 +76,14 @@ def evolve(scale_edges: DataFrame, nodes: DataFrame, couplings: list[float], h:
         elif output == "sync":
             out["sync"] = np.concatenate([ode.sync_with_first(path[..., k]) for k in range(len(eps))])
         elif output == "lyapunov":
-            x = np.ascontiguousarray(path[:, :, 0].T)  # couplings, nodes, steps
             found = np.empty((len(eps), n))
-            for k in range(len(eps)):
-                # Nodes without edges move alike under all couplings.
-                known = (x[k] == x[0]).all(axis=1) if k else np.zeros(n, bool)
-                found[k] = np.where(known, found[0], 0.0)
-                found[k, ~known] = [ode.largest_lyapunov(v) for v in x[k, ~known]]
+            for r in range(0, n, ROWS):
+                x, f = np.ascontiguousarray(path[:, r : r + ROWS, 0].T), found[:, r : r + ROWS]  # couplings, nodes, steps
+                for k in range(len(eps)):
+                    # Nodes without edges move alike under all couplings.
+                    known = (x[k] == x[0]).all(axis=1) if k else np.zeros(x.shape[1], bool)
+                    f[k] = np.where(known, f[0], 0.0)
+                    f[k, ~known] = [ode.largest_lyapunov(v) for v in x[k, ~known]]
             out["lyapunov"] = found.ravel()
         else:
             for k, c in enumerate("xyz"):

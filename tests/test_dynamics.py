@@ -59,6 +59,18 @@ def _frames(spark, v, limits):
     return nodes, spark.createDataFrame(list(enumerate(limits)), "scale int, least double"), spark.createDataFrame(rows, "scale int, i bigint, j bigint, w double")
 
 
+@pytest.mark.parametrize("output", ["stats", "lyapunov"])
+def test_pieces_of_nodes(spark, monkeypatch, output):
+    v = np.random.default_rng(4).normal(size=(20, 16))
+    nodes, limits, _ = _frames(spark, v, [0.3])
+    options = {"h": 0.01, "steps": 120, "transient": 20, "output": output}
+    found = []
+    for n in (512, 7):
+        monkeypatch.setattr(dynamics, "ROWS", n)
+        found.append(sorted(dynamics.evolve(limits, nodes, [0.0, 1.0], **options).collect()))
+    assert found[0] == found[1] and len(found[0]) == 40
+
+
 @pytest.mark.parametrize("output, mode", [("stats", "diffusive"), ("sync", "additive"), ("lyapunov", "additive")])
 def test_matrix_made_in_the_task_and_kept_in_a_file(spark, output, mode):
     """Edges, vectors, pieces of nodes and files give the same."""
