@@ -86,6 +86,15 @@ def test_matrix_made_in_the_task_and_kept_in_a_file(spark, output, mode):
         assert g.keys() == want.keys() and all(g[k] == pytest.approx(want[k], rel=1e-5, abs=1e-5) for k in want)
 
 
+def test_sync_by_pieces_of_nodes():
+    path = np.random.default_rng(6).normal(size=(50, 20, 3))
+    path[:, 9] = 2.0
+    want = np.corrcoef(np.delete(path, 9, axis=1).transpose(1, 0, 2).reshape(19, -1))[0]
+    for rows in (1, 7, 20, 512):
+        got = ode.sync_with_first(path, rows)
+        assert got[9] == 0 and np.delete(got, 9) == pytest.approx(want)
+
+
 def test_room_is_a_file_above_the_memory():
     small, large = ode.room((10, 3), 240), ode.room((10, 3), 239)
     assert isinstance(large.base, np.memmap) and not isinstance(small.base, np.memmap)
